@@ -7,12 +7,15 @@ calls grows in step with the tables. The SQL texts run in Spark and in DuckDB.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dosegrid.functions import chrom_code
 from dosegrid.schemas import CALLS, VCF_FIXED
+from dosegrid.session import durable
 from dosegrid.sources import GenotypePanel, clean_associations, header_table, parse_catalogue
-from dosegrid.functions import chrom_code
 
 COHORT_SIZE = 100
 
@@ -125,8 +128,28 @@ def _cohorts(spark: SparkSession) -> DataFrame:
     )
 
 
+# Tables already stored by this application, by folder and name.
+_STORED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]):
+    """The table as a load step leaves it: written once, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STORED:
+        _STORED[key] = durable(build())
+    return _STORED[key]
+
+
 def panel(spark: SparkSession, sf_dir: str) -> GenotypePanel:
-    """All sites with the calls of their cohort."""
+    """All sites with the calls of their cohort, stored on first use."""
+    derived = derive_panel(spark, sf_dir)
+    return GenotypePanel(
+        _stored(spark, sf_dir, "calls", lambda: derived.calls), derived.headers
+    )
+
+
+def derive_panel(spark: SparkSession, sf_dir: str) -> GenotypePanel:
+    """The panel computed from the tables."""
     _register(spark, sf_dir)
     cohorts = _cohorts(spark)
     calls = (
@@ -182,7 +205,13 @@ def catalogue_lines(spark: SparkSession, sf_dir: str, newer: bool = False) -> Da
 
 
 def catalogue(spark: SparkSession, sf_dir: str, newer: bool = False) -> DataFrame:
-    return parse_catalogue(catalogue_lines(spark, sf_dir, newer))
+    """Parsed catalogue, stored on first use."""
+    return _stored(
+        spark,
+        sf_dir,
+        "newer" if newer else "catalogue",
+        lambda: parse_catalogue(catalogue_lines(spark, sf_dir, newer)),
+    )
 
 
 def associations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:

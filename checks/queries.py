@@ -20,15 +20,22 @@ from dosegrid.operators.harmonise import refresh_rsids, rsid_changes
 from dosegrid.operators.ids import trait_ids, variant_ids
 from dosegrid.operators.score import lookup_scores
 from dosegrid.operators.sparse import recode_sparse, to_coordinates, to_sparse
-from dosegrid.plans import panel_score_matrix, prepare_associations, score_run
+from dosegrid.plans import (
+    encode_panel,
+    panel_score_matrix,
+    prepare_associations,
+    refresh_panel,
+    score_run,
+)
 from dosegrid.schemas import SCORES
-from dosegrid.session import durable, scratch_path
+from dosegrid.session import scratch_path
 from dosegrid.sources import (
     GenotypePanel,
     header_table,
     load_variants,
     merge_by_name,
     parse_calls,
+    parse_catalogue,
     read_panel,
     write_counted,
     write_panel,
@@ -46,25 +53,21 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
-def stored_catalogue(spark: SparkSession, sf_dir: str, newer: bool = False) -> DataFrame:
-    """The catalogue as the load step leaves it: a table on disk."""
-    return durable(inputs.catalogue(spark, sf_dir, newer))
-
-
 def refreshed(spark: SparkSession, sf_dir: str, **options: object) -> GenotypePanel:
-    panel = inputs.panel(spark, sf_dir)
-    sites = refresh_rsids(panel.calls, inputs.catalogue(spark, sf_dir), **options)
-    return panel._replace(calls=sites)
+    return refresh_panel(
+        inputs.panel(spark, sf_dir), inputs.catalogue(spark, sf_dir), **options
+    )
 
 
 def sparse(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
-    panel = refreshed(spark, sf_dir)
-    return to_sparse(panel.calls, panel.headers, **options)
+    return encode_panel(
+        inputs.panel(spark, sf_dir), inputs.catalogue(spark, sf_dir), **options
+    )
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Associations in panel codes."""
-    catalogue = stored_catalogue(spark, sf_dir)
+    catalogue = inputs.catalogue(spark, sf_dir)
     sites = refresh_rsids(inputs.panel(spark, sf_dir).calls, catalogue)
     return prepare_associations(
         catalogue, inputs.associations(spark, sf_dir), allele_code_map(catalogue, sites)
@@ -127,7 +130,7 @@ def vcf_row_cap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def catalogue_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.catalogue(spark, sf_dir)
+    return parse_catalogue(inputs.catalogue_lines(spark, sf_dir))
 
 
 @query
@@ -179,7 +182,7 @@ def rsid_change_audit_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def allele_code_map_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue = stored_catalogue(spark, sf_dir)
+    catalogue = inputs.catalogue(spark, sf_dir)
     sites = refresh_rsids(inputs.panel(spark, sf_dir).calls, catalogue)
     return allele_code_map(catalogue, sites)
 
@@ -209,13 +212,12 @@ def sparse_pass_only(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sparse_keep_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = refreshed(spark, sf_dir, keep=True)
-    return to_sparse(panel.calls, panel.headers)
+    return sparse(spark, sf_dir, keep=True)
 
 
 @query
 def sparse_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue = stored_catalogue(spark, sf_dir)
+    catalogue = inputs.catalogue(spark, sf_dir)
     panel = inputs.panel(spark, sf_dir)
     sites = refresh_rsids(panel.calls, catalogue)
     return recode_sparse(to_sparse(sites, panel.headers), allele_code_map(catalogue, sites))
@@ -264,7 +266,7 @@ def gwas_fill_two_assemblies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def gwas_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalogue = stored_catalogue(spark, sf_dir)
+    catalogue = inputs.catalogue(spark, sf_dir)
     return attach_codes(catalogue, fill_rsids(catalogue, inputs.associations(spark, sf_dir)))
 
 
@@ -286,7 +288,7 @@ def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every sample for every study, from the dense panel on."""
     return score_run(
         inputs.panel(spark, sf_dir),
-        stored_catalogue(spark, sf_dir),
+        inputs.catalogue(spark, sf_dir),
         inputs.associations(spark, sf_dir),
     )
 
@@ -295,8 +297,8 @@ def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prs_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel_score_matrix(
         inputs.panel(spark, sf_dir),
-        stored_catalogue(spark, sf_dir),
-        stored_catalogue(spark, sf_dir, newer=True),
+        inputs.catalogue(spark, sf_dir),
+        inputs.catalogue(spark, sf_dir, newer=True),
         inputs.associations(spark, sf_dir),
     )
 

@@ -15,10 +15,15 @@ MITOCHONDRION = 12920
 ACCESSION = r"NC_0+(\d+)."
 
 
+def _code_of(known: list, value: Column) -> Column:
+    """1-based place of ``value`` in ``known``; null if it is not there."""
+    codes = F.array(F.lit(None).cast("int"), *map(F.lit, range(1, len(known) + 1)))
+    return F.get(codes, F.array_position(F.array(*map(F.lit, known)), value))
+
+
 def chrom_code(name: Column) -> Column:
     """1..22, X=23, Y=24, M=25; null for every other name."""
-    names = F.array(*map(F.lit, CHROMOSOMES))
-    return F.nullif(F.array_position(names, name), F.lit(0)).cast("int")
+    return _code_of(CHROMOSOMES, name)
 
 
 def chrom_code_or_number(name: Column) -> Column:
@@ -29,4 +34,4 @@ def chrom_code_or_number(name: Column) -> Column:
 def accession_code(accession: Column) -> Column:
     """Chromosome code of a RefSeq accession; null for unplaced contigs."""
     number = F.regexp_extract(accession, ACCESSION, 1).try_cast("int")
-    return F.when(number.between(1, 24), number).when(number == MITOCHONDRION, 25)
+    return _code_of([*range(1, 25), MITOCHONDRION], number)

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 
 def whole_number(text: Column) -> Column:
     """Long from text; ``12.0`` reads as 12, anything unreadable as null."""
-    trimmed = F.trim(text)
-    with_fraction = F.regexp_extract(trimmed, r"^([+-]?\d+)\.\d*$", 1)
-    return F.coalesce(trimmed.try_cast("long"), with_fraction.try_cast("long"))
+    with_fraction = F.regexp_extract(text, r"^\s*([+-]?\d+)\.\d*\s*$", 1)
+    return F.coalesce(text.try_cast("long"), with_fraction.try_cast("long"))
 
 
 def rsid_number(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dosegrid.functions import rsid_number
 from dosegrid.operators.joins import left_lookup
+from dosegrid.session import durable, fits_broadcast
 
 
 def position_lookup(catalogue: DataFrame, multi: str = "all") -> DataFrame:
@@ -29,15 +30,22 @@ def refresh_rsids(
     """Replace the file's variant ids; the old text stays as ``oldID``.
 
     Sites without a catalogue entry are dropped, or kept with a null ``rsID``.
-    On a large panel apply ``compact_genotypes`` first: what this join moves is
-    then the non-reference calls only.
     """
-    return attach_rsids(calls, position_lookup(catalogue, multi), keep)
+    lookup = durable(position_lookup(catalogue, multi))
+    return attach_rsids(calls, lookup, keep, fits_broadcast(lookup))
 
 
-def attach_rsids(calls: DataFrame, lookup: DataFrame, keep: bool = False) -> DataFrame:
-    """Join a :func:`position_lookup` to the sites of a panel."""
+def attach_rsids(
+    calls: DataFrame, lookup: DataFrame, keep: bool = False, small: bool = False
+) -> DataFrame:
+    """Join a stored :func:`position_lookup` to the sites of a panel.
+
+    A small one goes to the sites, so that their calls stay where they are.
+    Otherwise both sides are shuffled by position; take ``compact_genotypes``
+    of the panel then, and only the non-reference calls move.
+    """
     sites = calls.withColumnRenamed("id", "oldID")
+    lookup = lookup.hint("broadcast" if small else "merge")
     if keep:
         return left_lookup(sites, lookup, ["chr", "pos"])
     return sites.join(lookup, ["chr", "pos"])

@@ -30,6 +30,8 @@ def compact_genotypes(calls: DataFrame) -> DataFrame:
 
     A narrow step to take before anything that moves whole sites.
     """
+    if "alternates" in calls.columns:
+        return calls
     marked = F.transform(
         "genotypes",
         lambda cell, i: F.when(
@@ -40,7 +42,11 @@ def compact_genotypes(calls: DataFrame) -> DataFrame:
 
 
 def nonreference_cells(calls: DataFrame, phased_only: bool = False) -> DataFrame:
-    """One row per call with an alternate: site columns, position, codes a and b."""
+    """One row per call but the plain reference ones: site columns, position, codes a and b.
+
+    A rarer spelling of a reference call passes with both codes 0; the encoders
+    drop code 0 anyway, so the codes are worked out only once.
+    """
     if "alternates" in calls.columns:
         cells = calls.select("*", F.inline("alternates")).drop("alternates")
     else:
@@ -51,7 +57,6 @@ def nonreference_cells(calls: DataFrame, phased_only: bool = False) -> DataFrame
         cells.where(~reference_cells(F.col("cell")))
         .withColumns({"a": first, "b": second})
         .drop("cell")
-        .where("a > 0 OR b > 0")
     )
 
 
@@ -63,13 +68,27 @@ def _named_cells(calls: DataFrame, headers: DataFrame, phased_only: bool) -> Dat
     the names instead, which happens after the reference calls are gone.
     """
     headers = durable(headers.select("source", "panel", "samples"))
-    per_panel = headers.groupBy("panel").agg(
-        F.first(F.octet_length(F.array_join("samples", "")) + 64 * F.size("samples")).alias("size"),
+    names_size = F.octet_length(F.array_join("samples", "")) + 64 * F.size("samples")
+    panels, names_bytes, files_bytes = (
+        headers.groupBy("panel")
+        .agg(
+            F.first(names_size).alias("names"),
+            F.sum(F.octet_length("source") + F.lit(96)).alias("files"),
+        )
+        .agg(F.count(F.lit(1)), F.sum("names"), F.sum("files"))
+        .first()
+    )
+    if not panels:
+        raise ValueError("no #CHROM line in any of the files")
+    files = headers.select("source", "panel")
+    if files_bytes <= BROADCAST_BYTES:
+        files = F.broadcast(files)
+    missing = F.raise_error(F.concat(F.lit("no #CHROM line in "), F.col("source")))
+    checked = calls.join(files, "source", "left").withColumn(
+        "panel", F.coalesce("panel", missing)
     )
-    panels, size = per_panel.agg(F.count(F.lit(1)), F.sum("size")).first()
     samples = single_panel_samples(headers) if panels == 1 else sample_table(headers)
-    checked = _panel_of_source(calls, headers.select("source", "panel"))
-    if (size or 0) > BROADCAST_BYTES:
+    if names_bytes > BROADCAST_BYTES:
         cells = nonreference_cells(checked, phased_only)
         return cells.join(samples, ["panel", "position"])
     names = samples.groupBy("panel").agg(
@@ -80,18 +99,6 @@ def _named_cells(calls: DataFrame, headers: DataFrame, phased_only: bool) -> Dat
     return cells.withColumns({"sample": at["sample"], "sample_name": at["sample_name"]})
 
 
-def _panel_of_source(calls: DataFrame, panels: DataFrame) -> DataFrame:
-    """Add ``panel``; a file without a header line fails the job.
-
-    One short row per file, so its size is left to the optimizer, which knows
-    it from the stored table.
-    """
-    missing = F.raise_error(F.concat(F.lit("no #CHROM line in "), F.col("source")))
-    return left_lookup(calls, panels, ["source"]).withColumn(
-        "panel", F.coalesce("panel", missing)
-    )
-
-
 def to_coordinates(
     calls: DataFrame, headers: DataFrame, phased_only: bool = False
 ) -> DataFrame:

@@ -10,10 +10,10 @@ from dosegrid.operators.associations import (
     fill_rsids_two_assemblies,
     recode_associations,
 )
-from dosegrid.operators.harmonise import refresh_rsids
 from dosegrid.operators.ids import trait_ids, variant_ids
 from dosegrid.operators.score import index_genotypes, index_weights, score_matrix
 from dosegrid.operators.sparse import compact_genotypes, to_sparse
+from dosegrid.plans.encoding import refresh_panel
 from dosegrid.session import durable
 from dosegrid.sources.genotypes import GenotypePanel
 
@@ -25,9 +25,8 @@ def panel_score_matrix(
 
     ``older`` is the assembly that the panel is placed on.
     """
-    sites = durable(
-        refresh_rsids(compact_genotypes(panel.calls), older, keep=True, multi="min_rsid")
-    )
+    compact = panel._replace(calls=compact_genotypes(panel.calls))
+    sites = durable(refresh_panel(compact, older, keep=True, multi="min_rsid").calls)
     sparse = durable(to_sparse(sites, panel.headers))
     coded = attach_codes(older, fill_rsids_two_assemblies(older, newer, associations))
     weights = durable(recode_associations(coded, allele_code_map(older, sites)))

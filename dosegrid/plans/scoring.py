@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from dosegrid.operators.alleles import allele_code_map
 from dosegrid.operators.associations import attach_codes, fill_rsids, recode_associations
 from dosegrid.operators.harmonise import attach_rsids, position_lookup
 from dosegrid.operators.score import polygenic_scores
-from dosegrid.operators.sparse import to_sparse
-from dosegrid.session import broadcast_if_small, durable
+from dosegrid.operators.sparse import compact_genotypes, to_sparse
+from dosegrid.session import broadcast_if_small, durable, fits_broadcast
 from dosegrid.sources.genotypes import GenotypePanel
 
 
@@ -37,15 +36,17 @@ def score_run(
 
     Only variants with a weight can score, so the catalogue and the sites are
     reduced to those before any call is unpacked. The panel is filtered in
-    place by a measured broadcast of positions; its calls are never shuffled
-    unless the weighted positions outgrow the limit.
+    place by a measured broadcast of positions; should these outgrow the limit,
+    non-reference calls alone are shuffled.
     """
     coded = durable(prepare_associations(catalogue, associations, overwrite=overwrite))
     wanted = broadcast_if_small(coded.select("rsID").distinct())
     lookup = durable(
         position_lookup(catalogue, multi).join(wanted, "rsID", "left_semi")
     )
-    sites = attach_rsids(panel.calls, broadcast_if_small(lookup))
+    small = fits_broadcast(lookup)
+    calls = panel.calls if small else compact_genotypes(panel.calls)
+    sites = attach_rsids(calls, lookup, small=small)
     known = catalogue.join(wanted, "rsID", "left_semi")
     weights = recode_associations(coded, allele_code_map(known, sites))
     return polygenic_scores(to_sparse(sites, panel.headers, **sparse_options), weights)

@@ -64,10 +64,14 @@ def measured_bytes(df: DataFrame) -> int:
     return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
 
 
-def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast hint if the measured size allows it, else ``df`` unchanged.
+def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether ``df`` is small enough to go to every executor.
 
     Measuring runs ``df``; give it a stored or :func:`durable` table.
     """
-    limit = BROADCAST_BYTES if limit is None else limit
-    return F.broadcast(df) if measured_bytes(df) <= limit else df
+    return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Broadcast hint if the measured size allows it, else ``df`` unchanged."""
+    return F.broadcast(df) if fits_broadcast(df, limit) else df

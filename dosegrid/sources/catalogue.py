@@ -12,9 +12,9 @@ from dosegrid.sources.lines import is_data
 
 def parse_catalogue(lines: DataFrame) -> DataFrame:
     """Catalogue from its text lines; contigs without a chromosome code are dropped."""
-    fields = F.split("value", "\t")
-    raw = lines.where(is_data()).select(
-        *(F.get(fields, i).alias(name) for i, name in enumerate(CATALOGUE_RAW))
+    fields = lines.where(is_data()).select(F.split("value", "\t").alias("fields"))
+    raw = fields.select(
+        *(F.get("fields", F.lit(i)).alias(name) for i, name in enumerate(CATALOGUE_RAW))
     )
     placed = raw.withColumn("chr", accession_code(F.col("chr"))).where("chr IS NOT NULL")
     alleles = placed.select(

@@ -51,12 +51,11 @@ def _with_panel(headers: DataFrame) -> DataFrame:
 
 
 def _parse(lines: DataFrame) -> DataFrame:
-    fields = F.split("value", "\t")
     names = ["contig", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"]
-    split = lines.select(
+    split = lines.select("source", F.split("value", "\t").alias("fields")).select(
         "source",
-        *(F.get(fields, i).alias(name) for i, name in enumerate(names)),
-        F.slice(fields, len(names) + 1, F.size(fields)).alias("genotypes"),
+        *(F.get("fields", F.lit(i)).alias(name) for i, name in enumerate(names)),
+        F.slice("fields", len(names) + 1, F.size("fields")).alias("genotypes"),
     )
     return split.withColumns(
         {"chr": chrom_code(F.col("contig")), "pos": whole_number(F.col("pos"))}

@@ -1,0 +1,159 @@
+import re
+
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import dosegrid.operators.sparse as sparse_module
+from dosegrid.operators.harmonise import own_rsids
+from dosegrid.operators.sparse import compact_genotypes, to_coordinates, to_sparse
+from tests.helpers import panel, rows, site
+
+COLUMNS = ["sample_name", "rsID", "code", "dose"]
+
+
+def encode(p, **options):
+    return rows(to_sparse(own_rsids(p.calls), p.headers, **options).select(*COLUMNS))
+
+
+def one_file(spark, sites, samples="ABCDEFGH"):
+    return panel(spark, {"f": (list(samples[: len(sites[0]) - 9]), sites)})
+
+
+CALLS = ["0|1", "1|1", "1|2", "./.", ".", "1", "0/1", "0|1:35"]
+
+
+def test_doses(spark):
+    p = one_file(spark, [site("1", 10, CALLS, id="rs1")])
+    assert encode(p) == [
+        ("A", 1, 1, 1), ("B", 1, 1, 2), ("C", 1, 1, 1), ("C", 1, 2, 1), ("F", 1, 1, 1),
+        ("G", 1, 1, 1), ("H", 1, 1, 1),
+    ]
+    assert encode(p, phased_only=True) == [
+        ("A", 1, 1, 1), ("B", 1, 1, 2), ("C", 1, 1, 1), ("C", 1, 2, 1), ("F", 1, 1, 1),
+    ]
+
+
+def test_compact_form_gives_the_same(spark):
+    p = one_file(spark, [site("1", 10, CALLS, id="rs1"), site("1", 11, ["0|0"] * 8, id="rs2")])
+    compact = p._replace(calls=compact_genotypes(p.calls))
+    assert encode(compact) == encode(p)
+    assert encode(compact, phased_only=True) == encode(p, phased_only=True)
+
+
+def test_coordinates(spark):
+    p = one_file(spark, [site("1", 10, CALLS, id="rs1")])
+    got = rows(to_coordinates(own_rsids(p.calls), p.headers).select("sample", "haplotype", "code"))
+    assert got == [
+        (0, 2, 1), (1, 1, 1), (1, 2, 1), (2, 1, 1), (2, 2, 2), (5, 1, 1), (6, 2, 1), (7, 2, 1),
+    ]
+
+
+def test_filters(spark):
+    sites = [
+        site("1", i, ["0|1"], id=f"rs{i}", qual=q, filter=f)
+        for i, (q, f) in enumerate([(".", "PASS"), ("29.5", "PASS"), ("30", "q10"), ("31", "PASS")])
+    ]
+    p = one_file(spark, sites)
+    assert [r[1] for r in encode(p, min_quality=30)] == [2, 3]
+    assert [r[1] for r in encode(p, pass_only=True)] == [0, 1, 3]
+    assert [r[1] for r in encode(p)] == [0, 1, 2, 3]
+
+
+REPEATED = [
+    site("1", 10, ["0|1", "1|1"], id="rs1"),
+    site("1", 20, ["1|2", "0|0"], id="rs1"),
+    site("2", 30, ["0|1", "0|1"], id="rs2"),
+    site("3", 40, ["0|1", "0|0"], id="."),
+    site("3", 40, ["1|1", "0|0"], id="."),
+]
+
+
+def test_repeated_sites_are_summed(spark):
+    expected = [
+        ("A", 1, 1, 2), ("A", 1, 2, 1), ("A", 2, 1, 1), ("A", None, 1, 3),
+        ("B", 1, 1, 2), ("B", 2, 1, 1),
+    ]
+    p = one_file(spark, REPEATED)
+    assert encode(p) == expected
+    assert len(encode(p, merge_duplicate_sites=False)) == 8
+    first = to_sparse(own_rsids(p.calls), p.headers).where("rsID = 1")
+    assert rows(first.groupBy("sample_name").agg(F.min("pos"))) == [("A", 10), ("B", 10)]
+
+
+def test_beyond_the_broadcast_limit(spark, monkeypatch):
+    p = panel(spark, {"f": (["A", "B"], REPEATED), "g": (["B", "C"], [site("2", 30, ["0|1", "1|1"], id="rs2")])})
+    small = encode(p)
+    monkeypatch.setattr(sparse_module, "BROADCAST_BYTES", 0)
+    assert encode(p) == small
+    assert ("B", 2, 1, 2) in small and ("C", 2, 1, 2) in small
+
+
+def test_samples_are_matched_by_name(spark):
+    p = panel(
+        spark,
+        {
+            "a": (["A", "B"], [site("1", 10, ["0|1", "1|1"], id="rs1")]),
+            "b": (["B", "C"], [site("2", 20, ["0|1", "1|1"], id="rs2")]),
+        },
+    )
+    assert encode(p) == [("A", 1, 1, 1), ("B", 1, 1, 2), ("B", 2, 1, 1), ("C", 2, 1, 2)]
+    ids = to_sparse(own_rsids(p.calls), p.headers).select("sample", "sample_name").distinct()
+    assert rows(ids) == [(0, "A"), (1, "B"), (2, "C")]
+
+
+def test_calls_without_rsids_are_refused(spark):
+    p = one_file(spark, REPEATED)
+    with pytest.raises(ValueError, match="rsID"):
+        to_sparse(p.calls, p.headers)
+
+
+def test_unique_sites_need_no_exchange(spark):
+    """Reading, filtering and unpacking are one narrow stage without Python."""
+    p = one_file(spark, REPEATED[:1] + REPEATED[2:3])
+    out = to_sparse(own_rsids(p.calls), p.headers)
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    above_cells = physical[: physical.index("genotypes")]
+    assert "posexplode" in above_cells
+    assert not re.search(r"Exchange (hash|range|round)", above_cells, re.IGNORECASE)
+    assert "Python" not in physical and "SortMergeJoin" not in physical
+
+
+def test_plan_does_not_grow_with_the_samples(spark):
+    def size(n):
+        p = panel(spark, {"f": ([f"s{i}" for i in range(n)], [site("1", 10, ["0|1"] * n, id="rs1")])})
+        out = to_sparse(own_rsids(p.calls), p.headers)
+        return len(out._jdf.queryExecution().optimizedPlan().toString().split("\n"))
+
+    assert size(3) == size(400)
+
+
+codes = st.sampled_from(["0", "1", "2", "3", "."])
+call = st.one_of(
+    st.tuples(codes, st.sampled_from("|/"), codes, st.sampled_from(["", ":12"])).map("".join),
+    st.sampled_from([".", "1", "0", "./."]),
+)
+
+
+@settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.lists(call, min_size=3, max_size=3), min_size=1, max_size=6), st.randoms())
+def test_dose_properties(spark, matrix, random):
+    """Doses count the non-zero alleles, whatever the order and partitioning."""
+    sites = [site("1", i + 1, calls, alt="C,G,T", id=f"rs{i}") for i, calls in enumerate(matrix)]
+    expected = {}
+    for i, calls in enumerate(matrix):
+        for sample, text in zip("ABC", calls):
+            alleles = text.split(":")[0].replace("/", "|").split("|")[:2]
+            for allele in alleles:
+                if allele not in ("0", "."):
+                    key = (sample, i, int(allele))
+                    expected[key] = expected.get(key, 0) + 1
+    shuffled = sites[:]
+    random.shuffle(shuffled)
+    for order, parts in ((sites, 1), (shuffled, 3)):
+        p = one_file(spark, order)
+        p = p._replace(calls=p.calls.repartition(parts))
+        got = {tuple(r[:3]): r[3] for r in encode(p)}
+        assert got == expected
+        assert set(got.values()) <= {1, 2}
