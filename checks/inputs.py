@@ -144,7 +144,8 @@ def panel(spark: SparkSession, sf_dir: str) -> GenotypePanel:
     """All sites with the calls of their cohort, stored on first use."""
     derived = derive_panel(spark, sf_dir)
     return GenotypePanel(
-        _stored(spark, sf_dir, "calls", lambda: derived.calls), derived.headers
+        _stored(spark, sf_dir, "calls", lambda: derived.calls),
+        _stored(spark, sf_dir, "headers", lambda: derived.headers),
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dosegrid.functions import allele_list
 from dosegrid.operators.joins import left_lookup
+from dosegrid.session import broadcast_if_small, durable
 
 
 def site_alleles(calls: DataFrame) -> DataFrame:
@@ -38,4 +39,4 @@ def with_allele(sparse: DataFrame, alleles: DataFrame) -> DataFrame:
     Use :func:`site_alleles` for panel codes, the catalogue for catalogue codes.
     """
     named = alleles.groupBy("rsID", "code").agg(F.min("allele").alias("allele"))
-    return left_lookup(sparse, named, ["rsID", "code"])
+    return left_lookup(sparse, broadcast_if_small(durable(named)), ["rsID", "code"])

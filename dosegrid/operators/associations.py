@@ -1,4 +1,9 @@
-"""Preparation of association weights."""
+"""Preparation of association weights.
+
+Associations are few next to a catalogue or a panel. Where they fit a broadcast
+the large side is filtered as it is read and is not shuffled; give stored
+associations, as they are measured first.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosegrid.operators.harmonise import position_lookup
-from dosegrid.operators.joins import left_lookup
+from dosegrid.operators.joins import left_lookup, reduced
+from dosegrid.session import broadcast_if_small
 
 _KEYS = ["trait", "rsID", "alt"]
 
@@ -42,12 +48,17 @@ def unique_associations(associations: DataFrame) -> DataFrame:
     )
 
 
+def _found(catalogue: DataFrame, associations: DataFrame) -> DataFrame:
+    """(chr, pos, found) for the positions of the associations only."""
+    places = position_lookup(reduced(catalogue, associations, ["chr", "pos"]))
+    return places.withColumnRenamed("rsID", "found")
+
+
 def fill_rsids(
     catalogue: DataFrame, associations: DataFrame, overwrite: bool = False
 ) -> DataFrame:
     """Take missing rsIDs from the catalogue by position, or all with ``overwrite``."""
-    found = position_lookup(catalogue).withColumnRenamed("rsID", "found")
-    joined = left_lookup(associations, found, ["chr", "pos"])
+    joined = left_lookup(associations, _found(catalogue, associations), ["chr", "pos"])
     rsid = F.col("found") if overwrite else F.coalesce("rsID", "found")
     return unique_associations(
         joined.withColumn("rsID", rsid).select(*associations.columns)
@@ -60,9 +71,8 @@ def fill_rsids_two_assemblies(
     """Missing rsIDs from the older assembly, then from the newer one."""
     filled = associations
     for catalogue in (older, newer):
-        found = position_lookup(catalogue).withColumnRenamed("rsID", "found")
         filled = (
-            left_lookup(filled, found, ["chr", "pos"])
+            left_lookup(filled, _found(catalogue, associations), ["chr", "pos"])
             .withColumn("rsID", F.coalesce("rsID", "found"))
             .drop("found")
         )
@@ -75,7 +85,7 @@ def attach_codes(catalogue: DataFrame, associations: DataFrame) -> DataFrame:
     """Add the catalogue code of the risk allele; rows with any null are dropped."""
     coded = catalogue.select("rsID", F.col("allele").alias("alt"), "code")
     return (
-        associations.na.drop()
+        broadcast_if_small(associations.na.drop(), within=associations)
         .join(coded, ["rsID", "alt"])
         .na.drop()
         .select(*associations.columns, "code")
@@ -93,8 +103,12 @@ def recode_associations(associations: DataFrame, code_map: DataFrame) -> DataFra
 
 
 def restrict_to_panel(associations: DataFrame, variants: DataFrame) -> DataFrame:
-    """Associations of variants that occur in the panel, by (rsID, code)."""
-    present = variants.select("rsID", "code").distinct()
-    return associations.join(present, ["rsID", "code"], "left_semi").select(
+    """Associations of variants that occur in the panel, by (rsID, code).
+
+    ``variants`` may be a sparse table: it is filtered to the associated
+    variants before their occurrences are made distinct.
+    """
+    present = reduced(variants.select("rsID", "code"), associations, ["rsID", "code"])
+    return associations.join(present.distinct(), ["rsID", "code"], "left_semi").select(
         *associations.columns
     )

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dosegrid.session import broadcast_if_small
+
 
 def left_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """Left join whose unmatched-by-nature rows do not pile up in one task.
@@ -23,3 +25,12 @@ def left_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     ).join(
         right.withColumn("_spread", F.lit(0)), [*on, "_spread"], "left"
     ).drop("_spread")
+
+
+def reduced(large: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of ``large`` whose key occurs in ``small``.
+
+    With keys that fit a broadcast, ``large`` is filtered where it is read.
+    """
+    keys = broadcast_if_small(small.select(*on).distinct(), within=small)
+    return large.join(keys, on, "left_semi").select(*large.columns)

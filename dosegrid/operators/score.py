@@ -27,7 +27,7 @@ def study_scores(sparse: DataFrame, associations: DataFrame) -> DataFrame:
 
     Give stored associations: the weights are measured before they are used.
     """
-    weights = broadcast_if_small(variant_weights(associations))
+    weights = broadcast_if_small(variant_weights(associations), within=associations)
     return (
         sparse.where("code > 0")
         .select("sample_name", "rsID", "code", "dose")
@@ -64,7 +64,7 @@ def lookup_scores(
 
 def index_genotypes(sparse: DataFrame, variants: DataFrame) -> DataFrame:
     """(sample, i, dose) coordinates, with ids from ``variant_ids``."""
-    ids = broadcast_if_small(variants.select("rsID", "code", "i"))
+    ids = broadcast_if_small(variants.select("rsID", "code", "i"), within=variants)
     return sparse.join(ids, ["rsID", "code"]).select("sample", "i", "dose")
 
 
@@ -83,9 +83,9 @@ def index_weights(
 
 def score_matrix(genotypes: DataFrame, weights: DataFrame) -> DataFrame:
     """Product of two sparse matrices: (sample, i, dose) x (i, j, OR)."""
-    summed = durable(weights.groupBy("i", "j").agg(F.sum("OR").alias("OR")))
+    summed = weights.groupBy("i", "j").agg(F.sum("OR").alias("OR"))
     return (
-        genotypes.join(broadcast_if_small(summed), "i")
+        genotypes.join(broadcast_if_small(summed, within=weights), "i")
         .groupBy("sample", F.col("j").alias("trait"))
         .agg(F.sum(F.col("dose").cast("double") * F.col("OR")).alias("score"))
     )

@@ -67,7 +67,7 @@ def _named_cells(calls: DataFrame, headers: DataFrame, phased_only: bool) -> Dat
     Should all names together exceed the broadcast limit, cells are joined to
     the names instead, which happens after the reference calls are gone.
     """
-    headers = durable(headers.select("source", "panel", "samples"))
+    headers = durable(headers)
     names_size = F.octet_length(F.array_join("samples", "")) + 64 * F.size("samples")
     panels, names_bytes, files_bytes = (
         headers.groupBy("panel")

@@ -11,6 +11,7 @@ from dosegrid.operators.associations import (
     recode_associations,
 )
 from dosegrid.operators.ids import trait_ids, variant_ids
+from dosegrid.operators.joins import reduced
 from dosegrid.operators.score import index_genotypes, index_weights, score_matrix
 from dosegrid.operators.sparse import compact_genotypes, to_sparse
 from dosegrid.plans.encoding import refresh_panel
@@ -28,8 +29,13 @@ def panel_score_matrix(
     compact = panel._replace(calls=compact_genotypes(panel.calls))
     sites = durable(refresh_panel(compact, older, keep=True, multi="min_rsid").calls)
     sparse = durable(to_sparse(sites, panel.headers))
-    coded = attach_codes(older, fill_rsids_two_assemblies(older, newer, associations))
+    filled = durable(fill_rsids_two_assemblies(older, newer, durable(associations)))
+    coded = attach_codes(older, filled)
     weights = durable(recode_associations(coded, allele_code_map(older, sites)))
     variants = durable(variant_ids(sparse))
-    coordinates = index_weights(weights.where("code > 0"), variants, trait_ids(weights))
-    return score_matrix(index_genotypes(sparse, variants), coordinates)
+    coordinates = durable(
+        index_weights(weights.where("code > 0"), variants, trait_ids(weights))
+    )
+    # A variant without a weight adds nothing to any score.
+    weighted = durable(reduced(variants, coordinates, ["i"]))
+    return score_matrix(index_genotypes(sparse, weighted), coordinates)

@@ -7,9 +7,10 @@ from pyspark.sql import DataFrame
 from dosegrid.operators.alleles import allele_code_map
 from dosegrid.operators.associations import attach_codes, fill_rsids, recode_associations
 from dosegrid.operators.harmonise import attach_rsids, position_lookup
+from dosegrid.operators.joins import reduced
 from dosegrid.operators.score import polygenic_scores
 from dosegrid.operators.sparse import compact_genotypes, to_sparse
-from dosegrid.session import broadcast_if_small, durable, fits_broadcast
+from dosegrid.session import durable, fits_broadcast
 from dosegrid.sources.genotypes import GenotypePanel
 
 
@@ -20,7 +21,8 @@ def prepare_associations(
     overwrite: bool = False,
 ) -> DataFrame:
     """Associations with rsID and code, in panel codes if a code map is given."""
-    coded = attach_codes(catalogue, fill_rsids(catalogue, associations, overwrite))
+    filled = durable(fill_rsids(catalogue, durable(associations), overwrite))
+    coded = attach_codes(catalogue, filled)
     return coded if code_map is None else recode_associations(coded, code_map)
 
 
@@ -40,13 +42,10 @@ def score_run(
     non-reference calls alone are shuffled.
     """
     coded = durable(prepare_associations(catalogue, associations, overwrite=overwrite))
-    wanted = broadcast_if_small(coded.select("rsID").distinct())
-    lookup = durable(
-        position_lookup(catalogue, multi).join(wanted, "rsID", "left_semi")
-    )
+    lookup = durable(reduced(position_lookup(catalogue, multi), coded, ["rsID"]))
     small = fits_broadcast(lookup)
     calls = panel.calls if small else compact_genotypes(panel.calls)
     sites = attach_rsids(calls, lookup, small=small)
-    known = catalogue.join(wanted, "rsID", "left_semi")
+    known = reduced(catalogue, coded, ["rsID"])
     weights = recode_associations(coded, allele_code_map(known, sites))
     return polygenic_scores(to_sparse(sites, panel.headers, **sparse_options), weights)

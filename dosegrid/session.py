@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,34 +45,56 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+# Size of the tables stored by this process, seen while they were written.
+_STORED: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Compute once and cut the lineage: a Parquet table in the shared folder.
 
     It outlives executors, is read column by column, and gives later plans its
-    true size.
+    true size. A table that is stored already is returned as it is.
     """
+    if df in _STORED:
+        return df
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    seen = Observation()
+    df.observe(seen, _row_bytes(df).alias("bytes")).write.parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _STORED[table] = seen.get["bytes"] or 0
+    return table
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Bytes of the rows of ``df``: text by its length, other fields by 16 each."""
+def _row_bytes(df: DataFrame) -> Column:
+    """Sum over the rows: text by its length, arrays by 64 a field, the rest by 16."""
     width = F.lit(16 * max(1, len(df.columns))).cast("long")
     for field in df.schema.fields:
+        name = F.col(f"`{field.name}`")
         if isinstance(field.dataType, T.StringType):
-            width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-    return df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            width = width + F.coalesce(F.lit(64) * F.size(name), F.lit(0))
+    return F.coalesce(F.sum(width), F.lit(0))
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Bytes of the rows of ``df``; runs it unless it is a stored table."""
+    if df in _STORED:
+        return _STORED[df]
+    return df.agg(_row_bytes(df)).first()[0]
 
 
-def fits_broadcast(df: DataFrame, limit: int | None = None) -> bool:
+def fits_broadcast(df: DataFrame, within: DataFrame | None = None) -> bool:
     """Whether ``df`` is small enough to go to every executor.
 
-    Measuring runs ``df``; give it a stored or :func:`durable` table.
+    ``within`` may name a stored table that ``df`` is no larger than; if that
+    one fits, nothing has to run.
     """
-    return measured_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
+    if within is not None and _STORED.get(within, BROADCAST_BYTES + 1) <= BROADCAST_BYTES:
+        return True
+    return measured_bytes(df) <= BROADCAST_BYTES
 
 
-def broadcast_if_small(df: DataFrame, limit: int | None = None) -> DataFrame:
+def broadcast_if_small(df: DataFrame, within: DataFrame | None = None) -> DataFrame:
     """Broadcast hint if the measured size allows it, else ``df`` unchanged."""
-    return F.broadcast(df) if fits_broadcast(df, limit) else df
+    return F.broadcast(df) if fits_broadcast(df, within) else df

@@ -2,6 +2,7 @@ from dosegrid.sources.associations import clean_associations, read_associations
 from dosegrid.sources.catalogue import parse_catalogue, unique_catalogue
 from dosegrid.sources.genotypes import (
     GenotypePanel,
+    header_columns,
     header_table,
     pack_wide,
     panel_from_lines,
@@ -17,6 +18,7 @@ from dosegrid.sources.sinks import write_counted, write_parquet, write_tsv
 __all__ = [
     "GenotypePanel",
     "clean_associations",
+    "header_columns",
     "header_table",
     "load_variants",
     "merge_by_name",

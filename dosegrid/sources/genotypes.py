@@ -11,7 +11,6 @@ from typing import NamedTuple
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dosegrid.functions import chrom_code, whole_number
 from dosegrid.operators.ids import ordered_ids
@@ -30,24 +29,25 @@ def _is_header():
     return F.startswith(F.col("value"), F.lit("#CHROM"))
 
 
+def header_columns(lines: DataFrame) -> DataFrame:
+    """(source, columns): the fields of each file's ``#CHROM`` line."""
+    columns = F.split(F.substring("value", 2, 2**31 - 1), "\t")
+    return lines.where(_is_header()).groupBy("source").agg(F.min(columns).alias("columns"))
+
+
 def header_table(lines: DataFrame) -> DataFrame:
-    """(source, panel, samples, columns): one row per file with a ``#CHROM`` line.
+    """(source, panel, samples): one row per file.
 
     ``panel`` is a digest of the sample list, so the many files of one cohort
     share one list of names.
     """
-    columns = F.split(F.substring("value", 2, 2**31 - 1), "\t")
-    return _with_panel(
-        lines.where(_is_header())
-        .groupBy("source")
-        .agg(F.min(columns).alias("columns"))
-        .withColumn("samples", F.slice("columns", len(VCF_FIXED) + 1, F.size("columns")))
-    )
+    samples = F.slice("columns", len(VCF_FIXED) + 1, F.size("columns"))
+    return _with_panel(header_columns(lines).select("source", samples.alias("samples")))
 
 
 def _with_panel(headers: DataFrame) -> DataFrame:
     digest = F.sha2(F.array_join("samples", "\t"), 256)
-    return headers.select("source", digest.alias("panel"), "samples", "columns")
+    return headers.select("source", digest.alias("panel"), "samples")
 
 
 def _parse(lines: DataFrame) -> DataFrame:
@@ -81,15 +81,8 @@ def pack_wide(wide: DataFrame, samples: list[str], source: str) -> GenotypePanel
         *(F.col(c).alias(c.lower()) for c in VCF_FIXED[2:]),
         F.array(*(F.col(f"`{s}`").cast("string") for s in samples)).alias("genotypes"),
     )
-    schema = T.StructType(
-        [
-            T.StructField("source", T.StringType()),
-            T.StructField("samples", T.ArrayType(T.StringType())),
-            T.StructField("columns", T.ArrayType(T.StringType())),
-        ]
-    )
     header = wide.sparkSession.createDataFrame(
-        [(source, list(samples), [*VCF_FIXED, *samples])], schema
+        [(source, list(samples))], "source string, samples array<string>"
     )
     return GenotypePanel(fixed, _with_panel(header))
 
@@ -166,11 +159,9 @@ def read_panel(spark: SparkSession, path: str) -> GenotypePanel:
     """Panel stored by :func:`write_panel`; both parts prune partitions."""
     stored = spark.read.schema(CALLS).parquet(path)
     calls = stored.where(F.col("chr").isNull() | (F.col("chr") != HEADER_CHR))
-    fixed = F.array(*map(F.lit, VCF_FIXED))
     headers = (
         stored.where(F.col("chr") == HEADER_CHR)
         .groupBy("source")
         .agg(F.min("genotypes").alias("samples"))
-        .withColumn("columns", F.concat(fixed, F.col("samples")))
     )
     return GenotypePanel(calls.select(*CALLS.names), _with_panel(headers))

@@ -45,8 +45,8 @@ def test_query_equals_sql(spark, sql, name):
     assert normal(df.collect(), df.columns) == normal(expected.fetchall(), expected.columns)
 
 
-# Independent figures for the chain over a published subset of the inputs:
-# catalogue records on site positions, associations of every other site.
+# Figures of FIXTURES.md, which leaves out the catalogue records beside a site
+# and the associations of every other site.
 FIGURES = {
     "/root/testdata/sf0.001": {
         "catalogue": 402, "pairs": 187, "map": (402, 50), "sparse": (387, 430, 2),
