@@ -91,6 +91,8 @@ CTES = {
     "sparse_pass": _sparse("codes_pass"),
     "sparse_keep": _sparse("codes_keep"),
     "sparse_min": _sparse("codes_min"),
+    "codes_split": "SELECT * FROM codes UNION ALL SELECT * FROM codes WHERE alt LIKE '%,%'",
+    "sparse_split": _sparse("codes_split"),
     "alleles": "SELECT DISTINCT rsID, CAST(unnest(range(len(l))) AS INT) AS code, unnest(l) AS allele FROM (SELECT rsID, string_split(ref || ',' || alt, ',') AS l FROM refreshed) a",
     "alleles_min": "SELECT DISTINCT rsID, CAST(unnest(range(len(l))) AS INT) AS code, unnest(l) AS allele FROM (SELECT rsID, string_split(ref || ',' || alt, ',') AS l FROM refreshed_min) a",
     "code_map": "SELECT DISTINCT a.rsID, a.code AS file_code, c.code FROM alleles a JOIN catalogue c ON a.rsID = c.rsID AND a.allele = c.allele",
@@ -147,6 +149,7 @@ _GWAS = 'rsID, alt, "OR", chr, pos, trait, date, pubmedID'
 
 BODIES = {
     "vcf_header_samples": "SELECT source, CAST(position AS INT) AS position, sample_name FROM sample_ids",
+    "vcf_header_columns": "SELECT source, 'CHROM,POS,ID,REF,ALT,QUAL,FILTER,INFO,FORMAT,' || string_agg(sample_name, ',' ORDER BY position) AS columns FROM sample_ids GROUP BY source",
     "vcf_scan_fixed_columns": """
 SELECT p.source, contig, chr, pos, id, ref, alt, qual, filter, n_calls, calls FROM placed p
 JOIN (SELECT k, CAST(count(*) AS INT) AS n_calls, string_agg(gt, ',' ORDER BY position) AS calls FROM gt GROUP BY k) g ON p.k = g.k""",
@@ -171,11 +174,14 @@ FROM (SELECT k, contig, CAST(k % 40 AS VARCHAR) AS number FROM sites) a""",
     "rsid_change_audit": "SELECT contig, pos, oldID, rsID, ref, alt FROM refreshed_keep WHERE oldID <> 'rs' || rsID",
     "rsid_change_audit_known": "SELECT contig, pos, oldID, rsID, ref, alt FROM refreshed_keep WHERE oldID <> 'rs' || rsID AND oldID <> '.'",
     "allele_code_map": "SELECT * FROM code_map",
+    "split_site_report": "SELECT source, contig, pos, ref, CAST(2 AS BIGINT) AS n FROM sites WHERE alt LIKE '%,%'",
     "sparse_default": f"SELECT {_SPARSE} FROM sparse",
     "sparse_phased_only": f"SELECT {_SPARSE} FROM sparse_phased",
     "sparse_min_quality": f"SELECT {_SPARSE} FROM sparse_quality",
     "sparse_pass_only": f"SELECT {_SPARSE} FROM sparse_pass",
     "sparse_keep_unmatched": f"SELECT {_SPARSE} FROM sparse_keep",
+    "sparse_repeated_sites": f"SELECT {_SPARSE} FROM sparse_split",
+    "sparse_unmerged_sites": f"SELECT {_SPARSE} FROM sparse UNION ALL SELECT {_SPARSE} FROM sparse s WHERE EXISTS (SELECT 1 FROM refreshed r WHERE r.rsID = s.rsID AND r.alt LIKE '%,%')",
     "sparse_recode": f"SELECT {_SPARSE} FROM recoded",
     "sparse_with_allele": "SELECT s.*, a.allele FROM sparse s LEFT JOIN alleles a ON s.rsID = a.rsID AND s.code = a.code",
     "dense_to_coordinates": """
@@ -197,6 +203,7 @@ JOIN traits_two t ON t.trait = w.trait AND t.pubmedID = w.pubmedID
 GROUP BY sample, j""",
     "variant_ids": "SELECT * FROM variants",
     "trait_ids": "SELECT * FROM traits",
+    "gwas_trait_ids": f'SELECT {", ".join("w." + c.strip() for c in _GWAS.split(","))}, w.code, t.j AS "traitID" FROM weights w JOIN traits t ON w.trait = t.trait AND w.pubmedID = t.pubmedID',
     "score_lookup": "SELECT * FROM scores WHERE sample_name = 'Supplier#000000007' AND pubmedID = 25000001 AND prs_score > 1.0",
     "record_counts": """
 SELECT 'associations' AS name, count(*) AS n FROM gwas

@@ -16,9 +16,9 @@ from dosegrid.operators.associations import (
     fill_rsids_two_assemblies,
     restrict_to_panel,
 )
-from dosegrid.operators.harmonise import refresh_rsids, rsid_changes
+from dosegrid.operators.harmonise import refresh_rsids, rsid_changes, split_sites
 from dosegrid.operators.ids import trait_ids, variant_ids
-from dosegrid.operators.score import lookup_scores
+from dosegrid.operators.score import lookup_scores, with_trait_ids
 from dosegrid.operators.sparse import recode_sparse, to_coordinates, to_sparse
 from dosegrid.plans import (
     encode_panel,
@@ -28,9 +28,10 @@ from dosegrid.plans import (
     score_run,
 )
 from dosegrid.schemas import SCORES
-from dosegrid.session import scratch_path
+from dosegrid.session import durable, scratch_path
 from dosegrid.sources import (
     GenotypePanel,
+    header_columns,
     header_table,
     load_variants,
     merge_by_name,
@@ -83,6 +84,12 @@ def vcf_header_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return headers.select("source", F.posexplode("samples").alias("position", "sample_name"))
 
 
+@query
+def vcf_header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = header_columns(inputs.genotype_lines(spark, sf_dir))
+    return columns.select("source", F.array_join("columns", ",").alias("columns"))
+
+
 @query
 def vcf_scan_fixed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixed = ["source", "contig", "chr", "pos", "id", "ref", "alt", "qual", "filter"]
@@ -187,6 +194,18 @@ def allele_code_map_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allele_code_map(catalogue, sites)
 
 
+def split_panel(spark: SparkSession, sf_dir: str) -> GenotypePanel:
+    """The panel with a row per ALT allele, so that some sites are repeated."""
+    panel = inputs.panel(spark, sf_dir)
+    rows = panel.calls.withColumn("alt", F.explode(F.split("alt", ",")))
+    return panel._replace(calls=rows)
+
+
+@query
+def split_site_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_sites(split_panel(spark, sf_dir).calls)
+
+
 # Sparse genotypes
 
 
@@ -215,6 +234,20 @@ def sparse_keep_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse(spark, sf_dir, keep=True)
 
 
+@query
+def sparse_repeated_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_panel(split_panel(spark, sf_dir), inputs.catalogue(spark, sf_dir))
+
+
+@query
+def sparse_unmerged_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_panel(
+        split_panel(spark, sf_dir),
+        inputs.catalogue(spark, sf_dir),
+        merge_duplicate_sites=False,
+    )
+
+
 @query
 def sparse_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = inputs.catalogue(spark, sf_dir)
@@ -313,6 +346,12 @@ def trait_ids_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trait_ids(weights(spark, sf_dir))
 
 
+@query
+def gwas_trait_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = durable(weights(spark, sf_dir))
+    return with_trait_ids(table, trait_ids(table))
+
+
 @query
 def score_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup_scores(prs(spark, sf_dir), "Supplier#000000007", 25000001, 1.0)

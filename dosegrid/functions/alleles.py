@@ -26,9 +26,9 @@ def two_codes(cell: Column, phased_only: bool = False) -> tuple[Column, Column]:
     """
     if not phased_only:
         cell = F.translate(F.substring_index(cell, ":", 1), "/", "|")
-
-    def code(item: int) -> Column:
-        text = F.split_part(cell, F.lit("|"), F.lit(item))
-        return F.coalesce(text.try_cast("int"), F.lit(0))
-
-    return code(1), code(2)
+    # substring_index avoids an array per call, which splitting would build.
+    first = F.substring_index(cell, "|", 1)
+    second = F.when(
+        F.instr(cell, "|") > 0, F.substring_index(F.substring_index(cell, "|", 2), "|", -1)
+    )
+    return tuple(F.coalesce(c.try_cast("int"), F.lit(0)) for c in (first, second))

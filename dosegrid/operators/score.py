@@ -62,6 +62,17 @@ def lookup_scores(
     )
 
 
+def with_trait_ids(associations: DataFrame, traits: DataFrame) -> DataFrame:
+    """Associations plus ``traitID``, with ids from ``trait_ids``."""
+    same_study = [F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}")) for c in _STUDY]
+    ids = broadcast_if_small(traits.select(*_STUDY, F.col("j").alias("traitID")))
+    return (
+        associations.alias("a")
+        .join(ids.alias("t"), same_study)
+        .select(*(f"a.{c}" for c in associations.columns), "traitID")
+    )
+
+
 def index_genotypes(sparse: DataFrame, variants: DataFrame) -> DataFrame:
     """(sample, i, dose) coordinates, with ids from ``variant_ids``."""
     ids = broadcast_if_small(variants.select("rsID", "code", "i"), within=variants)
@@ -72,12 +83,9 @@ def index_weights(
     associations: DataFrame, variants: DataFrame, traits: DataFrame
 ) -> DataFrame:
     """(i, j, OR) coordinates of the associations found in the panel."""
-    same_study = [F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}")) for c in _STUDY]
-    return (
-        associations.join(variants.select("rsID", "code", "i"), ["rsID", "code"])
-        .alias("a")
-        .join(traits.alias("t"), same_study)
-        .select("i", "j", F.col("OR").cast("double").alias("OR"))
+    placed = associations.join(variants.select("rsID", "code", "i"), ["rsID", "code"])
+    return with_trait_ids(placed, traits).select(
+        "i", F.col("traitID").alias("j"), F.col("OR").cast("double").alias("OR")
     )
 
 

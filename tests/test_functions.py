@@ -58,6 +58,9 @@ def test_calls(spark):
         "1|0:35": ((1, 0), (1, 0)),
         "12|3": ((12, 3), (12, 3)),
         ".|1": ((0, 1), (0, 1)),
+        "1|2|3": ((1, 2), (1, 2)),
+        "1|": ((1, 0), (1, 0)),
+        "1:35": ((1, 0), (0, 0)),
     }
     for cell, (default, phased) in cases.items():
         assert codes(spark, cell) == default, cell
