@@ -19,12 +19,11 @@ def left_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """
     unmatched = reduce(Column.__or__, (F.col(k).isNull() for k in on))
     content = [c for c in left.columns if c not in on]
-    spread = F.pmod(F.xxhash64(*on, *content), F.lit(1 << 20)).cast("int")
-    return left.withColumn(
-        "_spread", F.when(unmatched, spread).otherwise(F.lit(0))
-    ).join(
-        right.withColumn("_spread", F.lit(0)), [*on, "_spread"], "left"
-    ).drop("_spread")
+    spread = F.pmod(F.xxhash64(*on, *content), F.lit(1 << 20))
+    # Always 0, but not a constant: that would be taken out of the join key.
+    zero = F.pmod(F.xxhash64(*on), F.lit(1))
+    keyed = left.withColumn("_spread", F.when(unmatched, spread).otherwise(F.lit(0)))
+    return keyed.join(right.withColumn("_spread", zero), [*on, "_spread"], "left").drop("_spread")
 
 
 def reduced(large: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:

@@ -120,34 +120,24 @@ def single_panel_samples(headers: DataFrame) -> DataFrame:
     ).withColumn("sample", F.col("position").cast("long"))
 
 
-def write_panel(
-    lines: DataFrame,
-    output: str,
-    partitions: int | None = None,
-    bin_width: int = 1 << 16,
-    spread: int = 4,
-) -> int:
+def write_panel(lines: DataFrame, output: str, partitions: int | None = None) -> int:
     """Store lines as a Parquet panel partitioned by chromosome; number of sites.
 
     The text is read once: header lines go to a partition of their own. Lines
-    are dealt out by position bin before they are parsed, as a gzip file is one
-    task however large it is; ``spread`` splits each bin further.
+    are dealt out in turn before they are parsed, as a gzip file is one task
+    however large it is, and neither a chromosome, a position nor a run of
+    copies may fill a task. Files are sorted by position for range filters.
     """
     kept = lines.where(is_data() | _is_header())
-    place = F.split_part("value", F.lit("\t"), F.lit(2)).try_cast("long")
-    dealt = [
-        F.split_part("value", F.lit("\t"), F.lit(1)),
-        F.floor(place / bin_width),
-        F.pmod(F.xxhash64("source", F.substring_index("value", "\t", 5)), F.lit(spread)),
-    ]
-    moved = kept.repartition(*([partitions] if partitions else []), *dealt)
+    moved = kept.repartition(partitions) if partitions else kept.hint("rebalance")
     header = F.startswith(F.col("contig"), F.lit("#CHROM"))
     stored = _parse(moved).withColumn(
         "chr", F.when(header, F.lit(HEADER_CHR)).otherwise(F.col("chr"))
     )
     seen = Observation()
     (
-        stored.observe(seen, F.count_if(~header).alias("sites"))
+        stored.sortWithinPartitions("chr", "pos")
+        .observe(seen, F.count_if(~header).alias("sites"))
         .write.mode("overwrite")
         .partitionBy("chr")
         .parquet(output)

@@ -44,7 +44,7 @@ def load_variants(
     if format == "dbsnp":
         lines = read_lines(spark, paths)
         # A compressed file arrives as one task: deal its lines out first.
-        table = parse_catalogue(lines.repartition(partitions, "value") if partitions else lines)
+        table = parse_catalogue(lines.repartition(partitions) if partitions else lines)
     else:
         table = merge_by_name(*(spark.read.parquet(path) for path in paths))
         table = table.repartition(partitions) if partitions else table

@@ -186,16 +186,18 @@ def test_sinks(spark, tmp_path):
     assert back.columns == ["id", "name"] and back.count() == 10
 
 
-def test_hot_position_is_dealt_out(spark, tmp_path):
-    """A third of all lines at one position must not end up in one task."""
-    files = {
-        f"f{i}": (["A"], [site("1", 10, ["0|1"], id=f"rs{i}"), site("2", 1000000 * i, ["0|0"]), site("3", 70000 * i, ["0|0"])])
-        for i in range(60)
-    }
+def test_hot_position_and_copies_are_dealt_out(spark, tmp_path):
+    """A third of all lines are copies of one; they must not meet in one task."""
+    copies = [site("1", 10, ["0|1"], id="rs1")] * 60
+    others = [site("2", i, ["0|0"]) for i in range(120)]
+    text = lines(spark, {"f": (["A"], copies + others)}).coalesce(1)
     out = str(tmp_path / "panel")
-    assert write_panel(lines(spark, files), out, partitions=8) == 180
-    hot = spark.read.parquet(out).where("chr = 1").select(F.input_file_name()).distinct().count()
-    assert hot > 1
+    assert write_panel(text, out, partitions=8) == 180
+    stored = read_panel(spark, out).calls
+    assert stored.where("chr = 1").count() == 60
+    files = stored.where("chr = 1").groupBy(F.input_file_name()).count()
+    assert max(r["count"] for r in files.collect()) <= 20
+    assert write_panel(text, str(tmp_path / "adaptive")) == 180
 
 
 def test_blank_and_comment_lines(spark):
