@@ -9,6 +9,7 @@ import json
 import os
 import time
 
+from checks import inputs
 from checks.queries import QUERIES
 from dosegrid.session import build_session
 
@@ -40,6 +41,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
     seconds = {}
+    # Deriving and storing the inputs, and with it the start of the JVM.
+    start = time.perf_counter()
+    inputs.panel(spark, sf_dir)
+    inputs.catalogue(spark, sf_dir)
+    inputs.catalogue(spark, sf_dir, newer=True)
+    seconds["load_inputs"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -119,6 +119,11 @@ def _register(spark: SparkSession, sf_dir: str) -> None:
     spark.sql(SAMPLES).createOrReplaceTempView("samples")
 
 
+def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _register(spark, sf_dir)
+    return spark.table("sites")
+
+
 def _cohorts(spark: SparkSession) -> DataFrame:
     """(source, who): the at most COHORT_SIZE suppliers of each cohort, in key order."""
     return (

@@ -164,10 +164,11 @@ UNION ALL SELECT chr, pos, rsID, code, allele, NULL FROM newer""",
 SELECT kind, LEAST(count(*), 1000) AS n FROM (SELECT CASE WHEN contig IN ('X', 'Y', 'M') THEN 'other' ELSE 'autosome' END AS kind FROM sites) a GROUP BY kind""",
     "catalogue_alleles": "SELECT * FROM catalogue",
     "chrom_codes": f"""
-SELECT k, {_CHR.format(c='contig')} AS named, {_CHR.format(c='number')} AS strict,
- CAST(number AS INT) AS lenient,
- CAST(CASE WHEN k % 19 = 0 THEN NULL ELSE k % 25 + 1 END AS INT) AS accession
+SELECT k, {_CHR.format(c='contig')} AS named, {_CHR.format(c='number')} AS strict, CAST(number AS INT) AS lenient
 FROM (SELECT k, contig, CAST(k % 40 AS VARCHAR) AS number FROM sites) a""",
+    "accession_codes": """
+SELECT rsID AS record, CAST(CASE WHEN n BETWEEN 1 AND 24 THEN n WHEN n = 12920 THEN 25 END AS INT) AS code
+FROM (SELECT rsID, TRY_CAST(regexp_extract(chr, 'NC_0+(\\d+).', 1) AS INT) AS n FROM catalogue_raw) a""",
     "rsid_refresh_inner": f"SELECT {_SITE} FROM refreshed",
     "rsid_refresh_keep": f"SELECT {_SITE} FROM refreshed_keep",
     "rsid_refresh_min": f"SELECT {_SITE} FROM refreshed_min",

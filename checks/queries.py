@@ -143,20 +143,21 @@ def catalogue_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def chrom_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = (F.col("k") % 40).cast("string")
-    accession = F.split_part("value", F.lit("\t"), F.lit(1))
-    record = F.split_part("value", F.lit("\t"), F.lit(3))
-    first = inputs.catalogue_lines(spark, sf_dir).where(F.startswith(record, F.lit("rs1")))
-    sites = spark.table("sites").select(
+    return inputs.sites(spark, sf_dir).select(
         "k",
         chrom_code(F.col("contig")).alias("named"),
         chrom_code(number).alias("strict"),
         chrom_code_or_number(number).alias("lenient"),
     )
-    codes = first.select(
-        (F.substring(record, 3, 20).cast("long") - 1000000).alias("k"),
-        accession_code(accession).alias("accession"),
+
+
+@query
+def accession_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accession = F.split_part("value", F.lit("\t"), F.lit(1))
+    return inputs.catalogue_lines(spark, sf_dir).select(
+        F.split_part("value", F.lit("\t"), F.lit(3)).alias("record"),
+        accession_code(accession).alias("code"),
     )
-    return sites.join(codes, "k")
 
 
 # Harmonisation

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from checks import inputs
+from dosegrid import schemas
 from dosegrid.operators.alleles import allele_code_map
 from dosegrid.operators.harmonise import refresh_rsids
 from dosegrid.operators.score import study_scores
@@ -45,6 +46,21 @@ def test_query_equals_sql(spark, sql, name):
     assert normal(df.collect(), df.columns) == normal(expected.fetchall(), expected.columns)
 
 
+@pytest.mark.parametrize(
+    "name, schema",
+    {
+        "catalogue_alleles": schemas.CATALOGUE,
+        "allele_code_map": schemas.CODE_MAP,
+        "sparse_default": schemas.SPARSE,
+        "gwas_clean": schemas.ASSOCIATIONS,
+        "prs": schemas.SCORES,
+    }.items(),
+)
+def test_layouts(spark, name, schema):
+    df = contract.queries()[name](spark, SF_DIR)
+    assert df.dtypes == [(f.name, f.dataType.simpleString()) for f in schema.fields]
+
+
 # Figures of FIXTURES.md, which leaves out the catalogue records beside a site
 # and the associations of every other site.
 FIGURES = {
