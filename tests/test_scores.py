@@ -227,3 +227,10 @@ def test_hot_variant_scores_are_whole(spark):
     total = scores.agg(F.sum("prs_score")).first()[0]
     # id 1 is itself variant 1; variant 7 occurs once.
     assert total == (n // 3 + 1) * 40 * 0.25 + 0.5
+
+
+def test_nothing_in_common(spark):
+    p = make_panel(spark)
+    elsewhere = associations(spark, [(5, "C", 1.0, 9, 90, "t", D, 1)])
+    assert score_run(p, catalogue(spark, CATALOGUE), elsewhere).count() == 0
+    assert score_run(p, catalogue(spark, []), associations(spark, [])).count() == 0
