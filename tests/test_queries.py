@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from checks import inputs
+from checks.oracle import oracle_sql
+from checks.queries import QUERIES
 from dosegrid import schemas
 from dosegrid.operators.alleles import allele_code_map
 from dosegrid.operators.harmonise import refresh_rsids
@@ -35,10 +37,12 @@ def sql():
 
 
 def test_every_query_has_sql():
-    assert contract.queries().keys() == contract.oracle_sql().keys()
+    assert QUERIES.keys() == oracle_sql().keys()
+    assert QUERIES.keys() <= contract.queries().keys()
+    assert contract.oracle_sql().keys() <= contract.queries().keys()
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, sql, name):
     df = contract.queries()[name](spark, SF_DIR)
     expected = sql.sql(contract.oracle_sql()[name])
