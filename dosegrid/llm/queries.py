@@ -2,28 +2,59 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosegrid.llm.common import table
+from dosegrid.llm.decontamination import find_items
+from dosegrid.llm.quality import COUNTS, quality_report
 from dosegrid.llm.substrings import remove_repeats
 
 
+def _in_spans(column: str) -> Column:
+    """Words that lie in the spans of a row."""
+    length = lambda n, s: n + (s["end"] - s["start"]).cast("long")
+    return F.aggregate(column, F.lit(0).cast("long"), length)
+
+
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(table(spark, sf_dir, "documents"))
-    removed = F.aggregate(
-        "spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]).cast("long")
-    )
     return cut.select(
         "doc_id",
         "n_words",
-        removed.alias("n_removed"),
+        _in_spans("spans").alias("n_removed"),
         F.sha2("text", 256).alias("kept_sha256"),
         "spans",
     )
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup}
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = _in_spans("hits")
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+        "places",
+    )
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = quality_report(table(spark, sf_dir, "documents"))
+    first = [
+        F.round(F.element_at(m, 1), 6).alias(m) for m in ("chars_per_token", "byte_share", "entropy")
+    ]
+    return report.select("doc_id", *COUNTS, "base_failed", "kept", *first)
+
+
+QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_decontamination": op2_decontamination,
+    "op9_quality_rules": op9_quality_rules,
+}
 
 #: SQL of the queries that SQL can express over whole tables in reasonable time.
 ORACLE_SQL: dict[str, str] = {}
