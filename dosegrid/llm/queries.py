@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dosegrid.llm.common import table
 from dosegrid.llm.decontamination import find_items
+from dosegrid.llm.near_duplicates import near_duplicates
 from dosegrid.llm.quality import COUNTS, quality_report
 from dosegrid.llm.substrings import remove_repeats
 
@@ -42,6 +43,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_report(table(spark, sf_dir, "documents"))
     first = [
@@ -53,6 +58,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op4_near_duplicates": op4_near_duplicates,
     "op9_quality_rules": op9_quality_rules,
 }
 
