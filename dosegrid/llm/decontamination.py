@@ -71,14 +71,30 @@ def _places(text: str, spans: list[tuple[int, int]]) -> list[dict[str, int]]:
     return [{"start": words[a][0], "end": words[b - 1][1]} for a, b in spans]
 
 
+def _held(items: Broadcast, window: int) -> Items:
+    """The automaton of a block, built once in each worker process, whose broadcast value it shares."""
+    if "built" not in items.value:
+        items.value["built"] = Items(items.value["items"], window)
+    return items.value["built"]
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> list[Broadcast]:
+    """The items in blocks of about ``block_bytes``, one broadcast each."""
+    narrow = items.select(F.col("item_id").cast("string").alias("name"), "text").dropna()
+    blocks = groups_of(narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0, block_bytes)
+    sent = []
+    for block in range(blocks):
+        rows = narrow.where(spread(blocks, "name") == block).toLocalIterator()
+        block_items = [(r["name"], r["text"].encode()) for r in rows]
+        sent.append(items.sparkSession.sparkContext.broadcast({"items": block_items}))
+    return sent
+
+
 def _scan(items: Broadcast, window: int, last: bool) -> _Scan:
     """Add what the items of one block cover to the columns hits and items."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = items.value  # one object in each worker process: the automaton is built once there
-        if "built" not in held:
-            held["built"] = Items(held["items"], window)
-        block = held["built"]
+        block = _held(items, window)
         for batch in slices(batches):
             counts, spans, names, places = [], [], [], []
             earlier = batch.column("hits").to_pylist()
@@ -126,10 +142,6 @@ def find_items(
     items with equal ids count as one. A null or empty text has no words.
     Other columns are not read.
     """
-    spark = docs.sparkSession
-    narrow = items.select(F.col("item_id").cast("string").alias("name"), "text").dropna()
-    total = narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = groups_of(total, block_bytes)
     empty_spans = F.array().cast("array<struct<start:int,end:int>>")
     scanned = docs.select(
         F.col("doc_id").cast("long"),
@@ -138,13 +150,30 @@ def find_items(
         F.array().cast("array<string>").alias("items"),
     )
     spans = "array<struct<start:int,end:int>>"
-    for block in range(blocks):
-        part = narrow.where(spread(blocks, "name") == block).toLocalIterator()
-        sent = spark.sparkContext.broadcast(
-            {"items": [(r["name"], r["text"].encode()) for r in part]}
-        )
-        last = block == blocks - 1
+    sent = _blocks(items, block_bytes)
+    for block in sent:
+        last = block is sent[-1]
         found = f"n_words long, hits {spans}, items array<string>"
         schema = f"{found}, places {spans}" if last else f"text string, {found}"
-        scanned = scanned.mapInArrow(_scan(sent, window, last), f"doc_id long, {schema}")
+        scanned = scanned.mapInArrow(_scan(block, window, last), f"doc_id long, {schema}")
     return scanned
+
+
+def _clean(items: Broadcast, window: int) -> _Scan:
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _held(items, window)
+        for batch in slices(batches):
+            texts = raw(batch.column("text"))
+            hit = [bool(block.found(normal_words(t))[1]) for t in texts]
+            yield batch.filter(pa.array([not h for h in hit], pa.bool_()))
+
+    return clean
+
+
+def contaminated_removed(
+    docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 2 << 20
+) -> DataFrame:
+    """Rows of ``docs`` without any passage of an item, with all their columns."""
+    for sent in _blocks(items, block_bytes):
+        docs = docs.mapInArrow(_clean(sent, window), docs.schema)
+    return docs

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from dosegrid.llm.common import table
 from dosegrid.llm.decontamination import find_items
+from dosegrid.llm.mixing import mix_to_targets
 from dosegrid.llm.near_duplicates import near_duplicates
+from dosegrid.llm.private_data import find_private_data
 from dosegrid.llm.quality import COUNTS, quality_report
 from dosegrid.llm.substrings import remove_repeats
 
@@ -47,6 +49,55 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: Targets of the mix: domains of the sources, and weights at the three levels.
+DOMAINS = {
+    "web": [f"src{i}" for i in range(12)],
+    "books": [f"src{i}" for i in range(12, 16)],
+    "reference": [f"src{i}" for i in range(16, 19)],
+}
+TARGETS = (
+    {"web": 0.5, "books": 0.3, "reference": 0.15},
+    {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
+    {"src0": 2.0},
+)
+DEFAULTS = (0.05, 0.05, 1.0)
+
+
+def domain_of_source() -> Column:
+    domain = F.lit("other")
+    for name, sources in DOMAINS.items():
+        domain = F.when(F.col("source").isin(sources), name).otherwise(domain)
+    return domain
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    return mix_to_targets(docs, domain_of_source(), TARGETS, DEFAULTS)
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.col("mix_domain").alias("domain"),
+        "lang",
+        "source",
+        F.col("mix_tokens").alias("n_tokens"),
+        F.col("mix_copies").alias("copies"),
+    )
+
+
+def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private_data(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_email",
+        "n_ip",
+        "n_card",
+        "n_phone",
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_report(table(spark, sf_dir, "documents"))
     first = [
@@ -59,7 +110,9 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
+    "op7_source_mixing": op7_source_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_private_data": op10_private_data,
 }
 
 #: SQL of the queries that SQL can express over whole tables in reasonable time.
