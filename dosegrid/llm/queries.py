@@ -11,7 +11,10 @@ from dosegrid.llm.mixing import mix_to_targets
 from dosegrid.llm.near_duplicates import near_duplicates
 from dosegrid.llm.private_data import find_private_data
 from dosegrid.llm.quality import COUNTS, quality_report
+from dosegrid.llm.sql import ORACLE_SQL
 from dosegrid.llm.substrings import remove_repeats
+from dosegrid.llm.url_filter import filter_urls
+from dosegrid.llm.warc import through_archives
 
 
 def _in_spans(column: str) -> Column:
@@ -27,7 +30,6 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_words",
         _in_spans("spans").alias("n_removed"),
         F.sha2("text", 256).alias("kept_sha256"),
-        "spans",
     )
 
 
@@ -41,7 +43,6 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
-        "places",
     )
 
 
@@ -49,6 +50,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+__all__ = ["DEFAULTS", "DOMAINS", "ORACLE_SQL", "QUERIES", "TARGETS", "mixed"]
+
 #: Targets of the mix: domains of the sources, and weights at the three levels.
 DOMAINS = {
     "web": [f"src{i}" for i in range(12)],
@@ -98,6 +101,16 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = through_archives(table(spark, sf_dir, "pages"))
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = filter_urls(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = quality_report(table(spark, sf_dir, "documents"))
     first = [
@@ -110,10 +123,9 @@ QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
     "op4_near_duplicates": op4_near_duplicates,
+    "op6_warc_archives": op6_warc_archives,
     "op7_source_mixing": op7_source_mixing,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_private_data": op10_private_data,
 }
-
-#: SQL of the queries that SQL can express over whole tables in reasonable time.
-ORACLE_SQL: dict[str, str] = {}
