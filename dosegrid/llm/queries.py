@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from dosegrid.llm.common import table
 from dosegrid.llm.decontamination import find_items
+from dosegrid.llm.licences import scan_licences
 from dosegrid.llm.mixing import mix_to_targets
 from dosegrid.llm.near_duplicates import near_duplicates
 from dosegrid.llm.private_data import find_private_data
 from dosegrid.llm.quality import COUNTS, quality_report
+from dosegrid.llm.site_quality import judge_documents
 from dosegrid.llm.sql import ORACLE_SQL
 from dosegrid.llm.substrings import remove_repeats
 from dosegrid.llm.url_filter import filter_urls
@@ -46,6 +48,12 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The source of a document is its host, and its language the path there."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return judge_documents(docs, labels, F.col("source"), F.col("lang"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -101,6 +109,10 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op6_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = through_archives(table(spark, sf_dir, "pages"))
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -122,7 +134,9 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_licence_scan": op5_licence_scan,
     "op6_warc_archives": op6_warc_archives,
     "op7_source_mixing": op7_source_mixing,
     "op8_url_filter": op8_url_filter,
