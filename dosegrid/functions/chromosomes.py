@@ -11,8 +11,8 @@ CHROMOSOMES = [*map(str, range(1, 23)), "X", "Y", "M"]
 # Fixed value: RefSeq accession number of the human mitochondrion.
 MITOCHONDRION = 12920
 
-# Fixed value: chromosome number inside a RefSeq accession.
-ACCESSION = r"NC_0+(\d+)."
+# Fixed value: chromosome number inside a RefSeq accession, with or without a version.
+ACCESSION = r"^NC_0+(\d+)(?:\.\d+)?$"
 
 
 def _code_of(known: list, value: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosegrid.functions import allele_list
-from dosegrid.operators.joins import left_lookup
+from dosegrid.operators.joins import left_lookup, reduced
 from dosegrid.session import broadcast_if_small, durable
 
 
@@ -22,11 +22,14 @@ def site_alleles(calls: DataFrame) -> DataFrame:
 
 
 def allele_code_map(catalogue: DataFrame, calls: DataFrame) -> DataFrame:
-    """(rsID, file_code, code): panel code and catalogue code of each shared allele."""
-    known = catalogue.select("rsID", "allele", "code").distinct()
+    """(rsID, file_code, code): panel code and catalogue code of each shared allele.
+
+    The catalogue is reduced to the variants of the panel before it moves.
+    """
+    sites = durable(site_alleles(calls))
+    known = reduced(catalogue.select("rsID", "allele", "code"), sites, ["rsID"])
     return (
-        site_alleles(calls)
-        .withColumnRenamed("code", "file_code")
+        sites.withColumnRenamed("code", "file_code")
         .join(known, ["rsID", "allele"])
         .select("rsID", "file_code", "code")
         .distinct()

@@ -1,8 +1,8 @@
 """Preparation of association weights.
 
 Associations are few next to a catalogue or a panel. Where they fit a broadcast
-the large side is filtered as it is read and is not shuffled; give stored
-associations, as they are measured first.
+the large side is filtered as it is read and is not shuffled. They are stored
+once where they are measured, if they are not yet.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from dosegrid.operators.harmonise import position_lookup
 from dosegrid.operators.joins import left_lookup, reduced
-from dosegrid.session import broadcast_if_small
+from dosegrid.session import broadcast_if_small, durable
 
 _KEYS = ["trait", "rsID", "alt"]
 
@@ -49,7 +49,7 @@ def unique_associations(associations: DataFrame) -> DataFrame:
 
 
 def _found(catalogue: DataFrame, associations: DataFrame) -> DataFrame:
-    """(chr, pos, found) for the positions of the associations only."""
+    """(chr, pos, found) for the positions of the (stored) associations only."""
     places = position_lookup(reduced(catalogue, associations, ["chr", "pos"]))
     return places.withColumnRenamed("rsID", "found")
 
@@ -58,6 +58,7 @@ def fill_rsids(
     catalogue: DataFrame, associations: DataFrame, overwrite: bool = False
 ) -> DataFrame:
     """Take missing rsIDs from the catalogue by position, or all with ``overwrite``."""
+    associations = durable(associations)
     joined = left_lookup(associations, _found(catalogue, associations), ["chr", "pos"])
     rsid = F.col("found") if overwrite else F.coalesce("rsID", "found")
     return unique_associations(
@@ -69,7 +70,7 @@ def fill_rsids_two_assemblies(
     older: DataFrame, newer: DataFrame, associations: DataFrame
 ) -> DataFrame:
     """Missing rsIDs from the older assembly, then from the newer one."""
-    filled = associations
+    filled = associations = durable(associations)
     for catalogue in (older, newer):
         filled = (
             left_lookup(filled, _found(catalogue, associations), ["chr", "pos"])
@@ -83,6 +84,7 @@ def fill_rsids_two_assemblies(
 
 def attach_codes(catalogue: DataFrame, associations: DataFrame) -> DataFrame:
     """Add the catalogue code of the risk allele; rows with any null are dropped."""
+    associations = durable(associations)
     coded = catalogue.select("rsID", F.col("allele").alias("alt"), "code")
     return (
         broadcast_if_small(associations.na.drop(), within=associations)
@@ -108,6 +110,7 @@ def restrict_to_panel(associations: DataFrame, variants: DataFrame) -> DataFrame
     ``variants`` may be a sparse table: it is filtered to the associated
     variants before their occurrences are made distinct.
     """
+    associations = durable(associations)
     present = reduced(variants.select("rsID", "code"), associations, ["rsID", "code"])
     return associations.join(present.distinct(), ["rsID", "code"], "left_semi").select(
         *associations.columns

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dosegrid.functions import rsid_number
 from dosegrid.operators.joins import left_lookup
+from dosegrid.operators.sparse import compact_genotypes
 from dosegrid.session import durable, fits_broadcast
 
 
@@ -30,9 +31,14 @@ def refresh_rsids(
     """Replace the file's variant ids; the old text stays as ``oldID``.
 
     Sites without a catalogue entry are dropped, or kept with a null ``rsID``.
+    If the positions are too many to broadcast, calls come back in the form of
+    ``compact_genotypes``: reference calls are removed before sites move.
     """
     lookup = durable(position_lookup(catalogue, multi))
-    return attach_rsids(calls, lookup, keep, fits_broadcast(lookup))
+    small = fits_broadcast(lookup)
+    if not small and "genotypes" in calls.columns:
+        calls = compact_genotypes(calls)
+    return attach_rsids(calls, lookup, keep, small)
 
 
 def attach_rsids(

@@ -23,10 +23,8 @@ def variant_weights(associations: DataFrame) -> DataFrame:
 
 
 def study_scores(sparse: DataFrame, associations: DataFrame) -> DataFrame:
-    """(sample_name, trait, pubmedID, prs_score) for samples with any hit.
-
-    Give stored associations: the weights are measured before they are used.
-    """
+    """(sample_name, trait, pubmedID, prs_score) for samples with any hit."""
+    associations = durable(associations)
     weights = broadcast_if_small(variant_weights(associations), within=associations)
     return (
         sparse.where("code > 0")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dosegrid.functions import reference_cells, two_codes
 from dosegrid.operators.joins import left_lookup
 from dosegrid.schemas import SPARSE
-from dosegrid.session import BROADCAST_BYTES, broadcast_if_small, durable, measured_bytes
+from dosegrid.session import broadcast_if_small, broadcast_limit, durable, measured_bytes
 from dosegrid.sources.genotypes import sample_table, single_panel_samples
 
 _SITE = ["rsID", "chr", "pos"]
@@ -26,77 +26,105 @@ def quality_filter(
 
 
 def compact_genotypes(calls: DataFrame) -> DataFrame:
-    """Replace ``genotypes`` by ``alternates``: (position, call) without reference calls.
+    """Replace ``genotypes`` by ``alternates``: position and codes of the non-reference calls.
 
-    A narrow step to take before anything that moves whole sites.
+    A narrow step to take before anything that moves whole sites. Codes are
+    kept as read by default (a, b) and as ``phased_only`` reads them (pa, pb),
+    so sub-fields go here; ``n_calls`` keeps the number of calls.
     """
     if "alternates" in calls.columns:
         return calls
-    marked = F.transform(
-        "genotypes",
-        lambda cell, i: F.when(
-            ~reference_cells(cell), F.struct(i.alias("position"), cell.alias("cell"))
-        ),
-    )
-    return calls.withColumn("alternates", F.array_compact(marked)).drop("genotypes")
+
+    def coded(cell: Column, i: Column) -> Column:
+        (a, b), (pa, pb) = two_codes(cell), two_codes(cell, phased_only=True)
+        codes = {"a": a, "b": b, "pa": pa, "pb": pb}
+        call = F.struct(i.alias("position"), *(c.alias(n) for n, c in codes.items()))
+        return F.when(~reference_cells(cell), call)
+
+    found = F.array_compact(F.transform("genotypes", coded))
+    found = F.filter(found, lambda c: F.greatest(c["a"], c["b"], c["pa"], c["pb"]) > 0)
+    return calls.withColumns({"alternates": found, "n_calls": F.size("genotypes")}).drop("genotypes")
 
 
-def nonreference_cells(calls: DataFrame, phased_only: bool = False) -> DataFrame:
-    """One row per call but the plain reference ones: site columns, position, codes a and b.
+def nonreference_cells(
+    calls: DataFrame, phased_only: bool = False, who: str | None = None
+) -> DataFrame:
+    """One row per call that is not plain reference: site columns, position, codes a and b.
 
-    A rarer spelling of a reference call passes with both codes 0; the encoders
-    drop code 0 anyway, so the codes are worked out only once.
+    ``who`` may name an array of sample structs by position. They are put
+    beside the calls within the row, so the whole array is not carried along
+    with each call.
     """
-    if "alternates" in calls.columns:
-        cells = calls.select("*", F.inline("alternates")).drop("alternates")
-    else:
-        cells = calls.select("*", F.posexplode("genotypes").alias("position", "cell"))
-        cells = cells.drop("genotypes")
-    first, second = two_codes(F.col("cell"), phased_only)
-    return (
-        cells.where(~reference_cells(F.col("cell")))
-        .withColumns({"a": first, "b": second})
-        .drop("cell")
-    )
+    a, b = ("pa", "pb") if phased_only else ("a", "b")
+
+    def chosen(call: Column) -> Column:
+        fields = [call["position"].alias("position"), call[a].alias("a"), call[b].alias("b")]
+        if who:
+            at = F.get(F.col(who), call["position"])
+            fields += [at[c].alias(c) for c in ("sample", "sample_name")]
+        return F.struct(*fields)
+
+    compact = compact_genotypes(calls)
+    cells = compact.withColumn("alternates", F.transform("alternates", chosen))
+    dropped = ["alternates", "n_calls", *([who] if who else [])]
+    return cells.select("*", F.inline("alternates")).drop(*dropped)
 
 
 def _named_cells(calls: DataFrame, headers: DataFrame, phased_only: bool) -> DataFrame:
     """Non-reference calls with the sample they belong to.
 
-    The names of a file go to the executors once and are picked by position.
-    Should all names together exceed the broadcast limit, cells are joined to
-    the names instead, which happens after the reference calls are gone.
+    A site with more calls than its file has names is an error, and so is a
+    name that a header lists twice. The names of a file go to the executors
+    once and are picked by position. Should all names together exceed the
+    broadcast limit, cells are joined to the names instead, which happens
+    after the reference calls are gone.
     """
     headers = durable(headers)
+    limit = broadcast_limit(headers.sparkSession)
     names_size = F.octet_length(F.array_join("samples", "")) + 64 * F.size("samples")
-    panels, names_bytes, files_bytes = (
+    twice = F.size(F.array_distinct("samples")) < F.size("samples")
+    panels, names_bytes, files_bytes, unclear = (
         headers.groupBy("panel")
         .agg(
             F.first(names_size).alias("names"),
             F.sum(F.octet_length("source") + F.lit(96)).alias("files"),
+            F.min(F.when(twice, F.col("source"))).alias("twice"),
         )
-        .agg(F.count(F.lit(1)), F.sum("names"), F.sum("files"))
+        .agg(F.count(F.lit(1)), F.sum("names"), F.sum("files"), F.min("twice"))
         .first()
     )
     if not panels:
         raise ValueError("no #CHROM line in any of the files")
-    files = headers.select("source", "panel")
-    if files_bytes <= BROADCAST_BYTES:
+    if unclear is not None:
+        raise ValueError(f"a sample is listed twice in {unclear}")
+    files = headers.select("source", "panel", F.size("samples").alias("n_samples"))
+    if files_bytes <= limit:
         files = F.broadcast(files)
     missing = F.raise_error(F.concat(F.lit("no #CHROM line in "), F.col("source")))
-    checked = calls.join(files, "source", "left").withColumn(
-        "panel", F.coalesce("panel", missing)
+    place = F.concat_ws(":", "contig", F.col("pos").cast("string"))
+    surplus = F.raise_error(
+        F.concat(F.lit("more calls than samples in "), F.col("source"), F.lit(" at "), place)
+    )
+    checked = (
+        compact_genotypes(calls)
+        .join(files, "source", "left")
+        # Part of the calls themselves, so that sites without any to show are checked too.
+        .withColumn(
+            "alternates",
+            F.when(F.col("panel").isNull(), missing)
+            .when(F.col("n_calls") > F.col("n_samples"), surplus)
+            .otherwise(F.col("alternates")),
+        )
+        .drop("n_samples")
     )
     samples = single_panel_samples(headers) if panels == 1 else sample_table(headers)
-    if names_bytes > BROADCAST_BYTES:
+    if names_bytes > limit:
         cells = nonreference_cells(checked, phased_only)
         return cells.join(samples, ["panel", "position"])
     names = samples.groupBy("panel").agg(
         F.sort_array(F.collect_list(F.struct("position", "sample", "sample_name"))).alias("who")
     )
-    cells = nonreference_cells(checked.join(F.broadcast(names), "panel"), phased_only)
-    at = F.get("who", F.col("position"))
-    return cells.withColumns({"sample": at["sample"], "sample_name": at["sample_name"]})
+    return nonreference_cells(checked.join(F.broadcast(names), "panel"), phased_only, "who")
 
 
 def to_coordinates(
@@ -104,7 +132,8 @@ def to_coordinates(
 ) -> DataFrame:
     """(sample, rsID, haplotype, code): the non-zero entries of the two matrices."""
     _require_rsids(calls)
-    cells = _named_cells(calls.select("source", "rsID", _payload(calls)), headers, phased_only)
+    kept = calls.select("source", "contig", "pos", "rsID", *_payload(calls))
+    cells = _named_cells(kept, headers, phased_only)
     pair = F.array(
         F.struct(F.lit(1).alias("haplotype"), F.col("a").alias("code")),
         F.struct(F.lit(2).alias("haplotype"), F.col("b").alias("code")),
@@ -112,8 +141,8 @@ def to_coordinates(
     return cells.select("sample", "rsID", F.inline(pair)).where("code > 0")
 
 
-def _payload(calls: DataFrame) -> str:
-    return "alternates" if "alternates" in calls.columns else "genotypes"
+def _payload(calls: DataFrame) -> list[str]:
+    return ["alternates", "n_calls"] if "alternates" in calls.columns else ["genotypes"]
 
 
 def _require_rsids(calls: DataFrame) -> None:
@@ -135,11 +164,12 @@ _KEY = ["key_rsid", "key_contig", "key_pos"]
 
 
 def repeated_sites(calls: DataFrame) -> DataFrame:
-    """Keys of the sites that occur in more than one input row."""
+    """Keys of the sites that occur in more than one input row, and where these lie."""
+    ranges = {"chr_low": F.min("chr"), "chr_high": F.max("chr"), "low": F.min("pos"), "high": F.max("pos")}
     return (
-        calls.select(*_site_key())
+        calls.select(*_site_key(), "chr", "pos")
         .groupBy(*_KEY)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *(c.alias(n) for n, c in ranges.items()))
         .where("n > 1")
         .drop("n")
     )
@@ -158,12 +188,12 @@ def to_sparse(
 
     Both alleles of a call come from one input row, so they are counted there
     and nothing moves. Only sites found in several rows (by rsID, or by
-    position where it is null) need an aggregate: their keys are looked up in
-    one narrow pass, and just those sites are shuffled.
+    position where it is null) need an aggregate: their keys are found first,
+    by a count over the keys alone, and just those sites are shuffled.
     """
     _require_rsids(calls)
     kept = quality_filter(calls, min_quality, pass_only).select(
-        "source", "contig", *_SITE, _payload(calls)
+        "source", "contig", *_SITE, *_payload(calls)
     )
     sparse = _merged(kept, headers, phased_only) if merge_duplicate_sites else (
         _rows(_named_cells(kept, headers, phased_only))
@@ -183,24 +213,26 @@ def _rows(cells: DataFrame) -> DataFrame:
 
 
 def _merged(kept: DataFrame, headers: DataFrame, phased_only: bool) -> DataFrame:
-    repeated = repeated_sites(kept)
+    repeated = durable(repeated_sites(kept))
     size = measured_bytes(repeated)
     if size == 0:
         return _rows(_named_cells(kept, headers, phased_only))
-    if size > BROADCAST_BYTES:
+    if size > broadcast_limit(kept.sparkSession):
         return _sum_doses(_rows(_named_cells(kept, headers, phased_only)))
+    # The second reading is cut to the stretch of each chromosome with repeats.
+    chr_low, chr_high, low, high = repeated.agg(
+        F.min("chr_low"), F.max("chr_high"), F.min("low"), F.max("high")
+    ).first()
+    keyed = kept.withColumns(dict(zip(_KEY, _site_key()))).alias("s")
+    keys = F.broadcast(repeated.select(*_KEY).alias("r"))
     match = [F.col(f"s.{k}").eqNullSafe(F.col(f"r.{k}")) for k in _KEY]
-    marked = (
-        kept.withColumns(dict(zip(_KEY, _site_key())))
-        .alias("s")
-        .join(
-            F.broadcast(durable(repeated).withColumn("again", F.lit(True)).alias("r")), match, "left"
-        )
-        .select(*(F.col(f"s.{c}") for c in kept.columns), "again")
+    stretch = (F.col("chr").isNull() | F.col("chr").between(chr_low, chr_high)) & (
+        F.col("pos").isNull() | F.col("pos").between(low, high)
     )
-    rows = _rows(_named_cells(marked, headers, phased_only))
-    once = rows.where("again IS NULL").select(*SPARSE.names)
-    return once.unionByName(_sum_doses(rows.where("again")))
+    once = keyed.join(keys, match, "left_anti").select(*kept.columns)
+    again = keyed.where(stretch).join(keys, match, "left_semi").select(*kept.columns)
+    rows = [_rows(_named_cells(part, headers, phased_only)) for part in (once, again)]
+    return rows[0].select(*SPARSE.names).unionByName(_sum_doses(rows[1]))
 
 
 def _sum_doses(rows: DataFrame) -> DataFrame:

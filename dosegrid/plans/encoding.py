@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from dosegrid.operators.harmonise import attach_rsids, position_lookup
-from dosegrid.operators.sparse import compact_genotypes, to_sparse
-from dosegrid.session import durable, fits_broadcast
+from dosegrid.operators.harmonise import refresh_rsids
+from dosegrid.operators.sparse import to_sparse
 from dosegrid.sources.genotypes import GenotypePanel
 
 
@@ -18,10 +17,7 @@ def refresh_panel(
     If the positions are too many to broadcast, reference calls are removed
     before the sites are shuffled.
     """
-    lookup = durable(position_lookup(catalogue, multi))
-    small = fits_broadcast(lookup)
-    calls = panel.calls if small else compact_genotypes(panel.calls)
-    return panel._replace(calls=attach_rsids(calls, lookup, keep, small))
+    return panel._replace(calls=refresh_rsids(panel.calls, catalogue, keep, multi))
 
 
 def encode_panel(

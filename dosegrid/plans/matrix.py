@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from dosegrid.operators.alleles import allele_code_map
 from dosegrid.operators.associations import (
@@ -10,12 +11,12 @@ from dosegrid.operators.associations import (
     fill_rsids_two_assemblies,
     recode_associations,
 )
-from dosegrid.operators.ids import trait_ids, variant_ids
+from dosegrid.operators.harmonise import attach_rsids, position_lookup
+from dosegrid.operators.ids import trait_ids
 from dosegrid.operators.joins import reduced
-from dosegrid.operators.score import index_genotypes, index_weights, score_matrix
+from dosegrid.operators.score import with_trait_ids
 from dosegrid.operators.sparse import compact_genotypes, to_sparse
-from dosegrid.plans.encoding import refresh_panel
-from dosegrid.session import durable
+from dosegrid.session import broadcast_if_small, durable, fits_broadcast
 from dosegrid.sources.genotypes import GenotypePanel
 
 
@@ -24,18 +25,29 @@ def panel_score_matrix(
 ) -> DataFrame:
     """(sample, trait, score) with dense ids, over one rsID per site.
 
-    ``older`` is the assembly that the panel is placed on.
+    ``older`` is the assembly that the panel is placed on. Only variants with
+    an association can score, so the catalogue and the sites are reduced to
+    those before any call is unpacked; use ``variant_ids`` for an index of the
+    whole panel.
     """
-    compact = panel._replace(calls=compact_genotypes(panel.calls))
-    sites = durable(refresh_panel(compact, older, keep=True, multi="min_rsid").calls)
-    sparse = durable(to_sparse(sites, panel.headers))
-    filled = durable(fill_rsids_two_assemblies(older, newer, durable(associations)))
-    coded = attach_codes(older, filled)
-    weights = durable(recode_associations(coded, allele_code_map(older, sites)))
-    variants = durable(variant_ids(sparse))
-    coordinates = durable(
-        index_weights(weights.where("code > 0"), variants, trait_ids(weights))
+    filled = durable(fill_rsids_two_assemblies(older, newer, associations))
+    coded = durable(attach_codes(older, filled))
+    known = durable(reduced(older, coded, ["rsID"]))
+    lookup = durable(reduced(position_lookup(older, "min_rsid"), coded, ["rsID"]))
+    small = fits_broadcast(lookup)
+    calls = panel.calls if small else compact_genotypes(panel.calls)
+    sites = attach_rsids(calls, lookup, small=small)
+    weights = durable(recode_associations(coded, allele_code_map(known, sites)))
+    placed = with_trait_ids(weights.where("code > 0"), trait_ids(weights))
+    summed = durable(
+        placed.groupBy("rsID", "code", F.col("traitID").alias("trait")).agg(
+            F.sum(F.col("OR").cast("double")).alias("OR")
+        )
+    )
+    return (
+        to_sparse(sites, panel.headers)
+        .select("sample", "rsID", "code", "dose")
+        .join(broadcast_if_small(summed), ["rsID", "code"])
+        .groupBy("sample", "trait")
+        .agg(F.sum(F.col("dose").cast("double") * F.col("OR")).alias("score"))
     )
-    # A variant without a weight adds nothing to any score.
-    weighted = durable(reduced(variants, coordinates, ["i"]))
-    return score_matrix(index_genotypes(sparse, weighted), coordinates)

@@ -10,10 +10,16 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Largest side that is broadcast, measured in bytes of its rows.
+# Largest side that is broadcast, measured in bytes of its rows; a session setting.
+BROADCAST_SETTING = "spark.dosegrid.broadcastBytes"
 BROADCAST_BYTES = 256 * 1024 * 1024
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """The limit that holds just now."""
+    return int(spark.conf.get(BROADCAST_SETTING, str(BROADCAST_BYTES)))
+
+
 def build_session(master: str | None = None, **conf: object) -> SparkSession:
     """Session with the adaptive settings the operators are designed for."""
     builder = (
@@ -32,12 +38,22 @@ def build_session(master: str | None = None, **conf: object) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Checkpoint folder of the cluster; a temporary one only where none is set."""
+    """Checkpoint folder of the cluster.
+
+    Where none is set, a temporary one serves if driver and executors are one
+    process; on a cluster each machine would write to a disk of its own.
+    """
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
+    if configured is None and context.getCheckpointDir() is None and not _one_process(context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="dosegrid-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    return configured or context.getCheckpointDir()
+
+
+def _one_process(master: str) -> bool:
+    return master.split("[")[0] == "local"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -74,6 +90,8 @@ def _row_bytes(df: DataFrame) -> Column:
             width = width + F.coalesce(F.octet_length(name), F.lit(0))
         elif isinstance(field.dataType, T.ArrayType):
             width = width + F.coalesce(F.lit(64) * F.size(name), F.lit(0))
+            if isinstance(field.dataType.elementType, T.StringType):
+                width = width + F.coalesce(F.octet_length(F.array_join(name, "")), F.lit(0))
     return F.coalesce(F.sum(width), F.lit(0))
 
 
@@ -90,9 +108,10 @@ def fits_broadcast(df: DataFrame, within: DataFrame | None = None) -> bool:
     ``within`` may name a stored table that ``df`` is no larger than; if that
     one fits, nothing has to run.
     """
-    if within is not None and _STORED.get(within, BROADCAST_BYTES + 1) <= BROADCAST_BYTES:
+    limit = broadcast_limit(df.sparkSession)
+    if within is not None and _STORED.get(within, limit + 1) <= limit:
         return True
-    return measured_bytes(df) <= BROADCAST_BYTES
+    return measured_bytes(df) <= limit
 
 
 def broadcast_if_small(df: DataFrame, within: DataFrame | None = None) -> DataFrame:

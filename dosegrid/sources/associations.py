@@ -2,18 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosegrid.functions import chrom_code, whole_number
+from dosegrid.sources.lines import read_lines
 
 # Fixed value: position inside the variant text column.
 POSITION_TEXT = r"chr([\dXYM]+):(\d+)"
 
 
 def read_associations(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Association rows from tab-separated files with a header."""
-    return clean_associations(spark.read.csv(list(paths), sep="\t", header=True))
+    """Association rows from tab-separated files with a header.
+
+    Columns go by their names, in whatever order a file has them: files with
+    the same header are read together, and the tables are united by name.
+    """
+    lines = read_lines(spark, paths)
+    fields = F.split("value", "\t")
+    header = F.array_contains(fields, "SNP_ID_CURRENT") & F.array_contains(fields, "PUBMEDID")
+    layouts = (
+        lines.where(header).groupBy("source").agg(F.min("value").alias("header"))
+        .groupBy("header").agg(F.collect_list("source").alias("files"))
+    )
+    tables = [
+        spark.read.csv(list(r["files"]), sep="\t", header=True)
+        for r in layouts.orderBy("header").collect()
+    ]
+    if not tables:
+        raise ValueError("no header line in any of the files")
+    return clean_associations(reduce(DataFrame.unionByName, tables))
 
 
 def clean_associations(raw: DataFrame) -> DataFrame:

@@ -125,18 +125,30 @@ def write_panel(lines: DataFrame, output: str, partitions: int | None = None) ->
 
     The text is read once: header lines go to a partition of their own. Lines
     are dealt out in turn before they are parsed, as a gzip file is one task
-    however large it is, and neither a chromosome, a position nor a run of
-    copies may fill a task. Files are sorted by position for range filters.
+    however large it is. Sites are then placed by ranges of chromosome and
+    position, so that files are few and each spans a stretch of one
+    chromosome; rows of one position may lie in two files, so that a run of
+    copies does not fill a task.
     """
     kept = lines.where(is_data() | _is_header())
     moved = kept.repartition(partitions) if partitions else kept.hint("rebalance")
+    place = ["chr", "pos", "dealt"]
     header = F.startswith(F.col("contig"), F.lit("#CHROM"))
-    stored = _parse(moved).withColumn(
-        "chr", F.when(header, F.lit(HEADER_CHR)).otherwise(F.col("chr"))
+    stored = _parse(moved).withColumns(
+        {
+            "chr": F.when(header, F.lit(HEADER_CHR)).otherwise(F.col("chr")),
+            "dealt": F.spark_partition_id(),
+        }
     )
     seen = Observation()
     (
-        stored.sortWithinPartitions("chr", "pos")
+        (
+            stored.repartitionByRange(partitions, *place)
+            if partitions
+            else stored.repartitionByRange(*place)
+        )
+        .sortWithinPartitions("chr", "pos")
+        .drop("dealt")
         .observe(seen, F.count_if(~header).alias("sites"))
         .write.mode("overwrite")
         .partitionBy("chr")

@@ -19,6 +19,14 @@ def merge_by_name(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def _dealt_out(lines: DataFrame, paths: list[str], partitions: int | None) -> DataFrame:
+    """Lines over several tasks, as a compressed file arrives as one."""
+    if partitions:
+        return lines.repartition(partitions)
+    packed = any(path.endswith((".gz", ".bgz", ".zst", ".xz")) for path in paths)
+    return lines.hint("rebalance") if packed else lines
+
+
 def load_variants(
     spark: SparkSession,
     paths: list[str],
@@ -40,12 +48,12 @@ def load_variants(
         lines = (
             read_lines_capped(spark, paths, limit) if limit > 0 else read_lines(spark, paths)
         )
-        return write_panel(lines, output, partitions) if output else panel_from_lines(lines)
+        if output:
+            return write_panel(lines, output, partitions)
+        return panel_from_lines(_dealt_out(lines, paths, partitions))
     if format == "dbsnp":
-        lines = read_lines(spark, paths)
-        # A compressed file arrives as one task: deal its lines out first.
-        table = parse_catalogue(lines.repartition(partitions) if partitions else lines)
+        table = parse_catalogue(_dealt_out(read_lines(spark, paths), paths, partitions))
     else:
-        table = merge_by_name(*(spark.read.parquet(path) for path in paths))
+        table = spark.read.option("mergeSchema", "true").parquet(*paths)
         table = table.repartition(partitions) if partitions else table
     return write_counted(table, output) if output else table

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from dosegrid.session import build_session  # noqa: E402
+from dosegrid.session import BROADCAST_SETTING, build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -23,3 +23,11 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """No side is small enough to be broadcast."""
+    spark.conf.set(BROADCAST_SETTING, "0")
+    yield
+    spark.conf.unset(BROADCAST_SETTING)

@@ -87,5 +87,5 @@ def test_sizes(spark):
     assert rows(stored) == rows(df)
     assert measured_bytes(durable(df.where("n > 5"))) == 0
     lists = spark.createDataFrame([(["a", "b"],)], "l array<string>")
-    assert measured_bytes(lists) == 16 + 128
+    assert measured_bytes(lists) == 16 + 128 + 2
     assert fits_broadcast(df, within=stored)

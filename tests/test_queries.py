@@ -50,6 +50,19 @@ def test_query_equals_sql(spark, sql, name):
     assert normal(df.collect(), df.columns) == normal(expected.fetchall(), expected.columns)
 
 
+MEASURED = [
+    "rsid_refresh_inner", "rsid_refresh_keep", "allele_code_map", "sparse_default",
+    "sparse_phased_only", "sparse_repeated_sites", "sparse_recode", "sparse_with_allele",
+    "dense_to_coordinates", "gwas_fill_two_assemblies", "gwas_recode", "gwas_in_panel", "prs",
+    "prs_coordinates",
+]
+
+
+@pytest.mark.parametrize("name", MEASURED)
+def test_query_equals_sql_without_any_broadcast(spark, sql, no_broadcast, name):
+    test_query_equals_sql(spark, sql, name)
+
+
 @pytest.mark.parametrize(
     "name, schema",
     {

@@ -1,6 +1,5 @@
 from pyspark.sql import functions as F
 
-import dosegrid.session as session
 from dosegrid.operators.alleles import allele_code_map
 from dosegrid.operators.associations import (
     attach_codes,
@@ -161,8 +160,7 @@ def test_whole_run_is_the_same(spark):
     assert rows(text_dates(score_run(p, c, given))) == SCORES
 
 
-def test_whole_run_without_any_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(session, "BROADCAST_BYTES", 0)
+def test_whole_run_without_any_broadcast(spark, no_broadcast):
     p, c = make_panel(spark), catalogue(spark, CATALOGUE)
     given = associations(spark, ASSOCIATIONS)
     assert rows(text_dates(score_run(p, c, given))) == SCORES

@@ -3,6 +3,7 @@ import gzip
 import pytest
 from pyspark.sql import functions as F
 
+from dosegrid.functions import accession_code
 from dosegrid.operators.harmonise import own_rsids
 from dosegrid.operators.sparse import to_sparse
 from dosegrid.sources import (
@@ -196,7 +197,8 @@ def test_hot_position_and_copies_are_dealt_out(spark, tmp_path):
     stored = read_panel(spark, out).calls
     assert stored.where("chr = 1").count() == 60
     files = stored.where("chr = 1").groupBy(F.input_file_name()).count()
-    assert max(r["count"] for r in files.collect()) <= 20
+    # Ranges of equal size: an eighth of the rows, and not much more.
+    assert max(r["count"] for r in files.collect()) <= 1.5 * 181 / 8
     assert write_panel(text, str(tmp_path / "adaptive")) == 180
 
 
@@ -209,3 +211,48 @@ def test_same_samples_in_many_files_share_a_panel(spark):
     p = panel(spark, {f"f{i}": (["A", "B"], [site("1", i + 1, ["0|1", "0|0"], id=f"rs{i}")]) for i in range(5)})
     assert p.headers.select("panel").distinct().count() == 1
     assert [r[:3] for r in sparse_rows(p)] == [("A", i, 1) for i in range(5)]
+
+
+def test_association_files_are_read_by_column_name(spark, tmp_path):
+    columns = ["SNP_ID_CURRENT", "rallele", "OR or BETA", "CHR_ID", "CHR_POS", "SNPs",
+               "DISEASE/TRAIT", "DATE ADDED TO CATALOG", "PUBMEDID", "EXTRA"]
+    values = ["7", "C", "0.5", "12", "100", "", "t", "2020-01-01", "3", "x"]
+    order = [9, 4, 3, *range(3), 8, 7, 6, 5]
+    a = write_gz(tmp_path / "a.tsv.gz", "\t".join(columns) + "\n" + "\t".join(values) + "\n")
+    swapped = ["\t".join(part[i] for i in order) for part in (columns, values)]
+    b = tmp_path / "b.tsv"
+    b.write_text("\n".join(swapped) + "\n")
+    got = rows(read_associations(spark, [a, str(b)]).select("rsID", "chr", "pos", "pubmedID", "trait"))
+    assert got == [(7, 12, 100, 3, "t")] * 2
+    with pytest.raises(ValueError, match="header"):
+        read_associations(spark, [write_gz(tmp_path / "c.gz", "no\theader\n")])
+
+
+def test_stored_panel_has_few_files_with_narrow_ranges(spark, tmp_path):
+    sites = [site(str(k % 22 + 1), 10 * k, ["0|1"]) for k in range(2000)]
+    text = lines(spark, {"f": (["A"], sites)})
+    assert write_panel(text, str(tmp_path / "p"), partitions=8) == 2000
+    files = list((tmp_path / "p").glob("chr=*/part-*.parquet"))
+    assert len(files) <= 8 + 26
+    ranges = (
+        spark.read.parquet(str(tmp_path / "p"))
+        .where("pos IS NOT NULL")
+        .groupBy("chr", F.col("_metadata.file_path").alias("file"))
+        .agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+        .orderBy("chr", "low")
+        .collect()
+    )
+    assert all(a.chr != b.chr or a.high < b.low for a, b in zip(ranges, ranges[1:]))
+
+
+@pytest.mark.parametrize("format", ["gvcf", "dbsnp"])
+def test_partitions_are_honoured_without_output(spark, tmp_path, format):
+    path = write_gz(tmp_path / "a.gz", vcf_text(["A"], [site("1", k, ["0|1"]) for k in range(1, 50)]))
+    loaded = load_variants(spark, [path], format=format, partitions=8)
+    plan = (loaded.calls if format == "gvcf" else loaded)._jdf.queryExecution().toString()
+    assert "RoundRobinPartitioning(8)" in plan or "Repartition 8" in plan
+
+
+def test_catalogue_accessions(spark):
+    df = spark.createDataFrame([("NC_000010.11",), ("NC_000010",), ("NC_000020",), ("NC_012920.1",), ("NT_1.1",), ("NC_0000101",)], "a string")
+    assert [r.c for r in df.select(accession_code(F.col("a")).alias("c")).collect()] == [10, 10, 20, 25, None, None]

@@ -5,7 +5,6 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-import dosegrid.operators.sparse as sparse_module
 from dosegrid.operators.harmonise import own_rsids
 from dosegrid.operators.sparse import compact_genotypes, to_coordinates, to_sparse
 from tests.helpers import panel, rows, site
@@ -82,14 +81,45 @@ def test_repeated_sites_are_summed(spark):
     assert rows(first.groupBy("sample_name").agg(F.min("pos"))) == [("A", 10), ("B", 10)]
 
 
-def test_beyond_the_broadcast_limit(spark, monkeypatch):
+def test_beyond_the_broadcast_limit(spark, request):
     p = panel(spark, {"f": (["A", "B"], REPEATED), "g": (["B", "C"], [site("2", 30, ["0|1", "1|1"], id="rs2")])})
     small = encode(p)
-    monkeypatch.setattr(sparse_module, "BROADCAST_BYTES", 0)
+    request.getfixturevalue("no_broadcast")
     assert encode(p) == small
     assert ("B", 2, 1, 2) in small and ("C", 2, 1, 2) in small
 
 
+@pytest.mark.parametrize("limit", [None, "no_broadcast"])
+def test_more_calls_than_samples_is_an_error(spark, request, limit):
+    if limit:
+        request.getfixturevalue(limit)
+    p = panel(spark, {"f": (["A", "B"], [site("1", 10, ["0|0", "0|0", "0|0"], id="rs1")])})
+    with pytest.raises(Exception, match="more calls than samples in f at 1:10"):
+        encode(p)
+
+
+@pytest.mark.parametrize("limit", [None, "no_broadcast"])
+def test_a_sample_listed_twice_is_an_error(spark, request, limit):
+    if limit:
+        request.getfixturevalue(limit)
+    files = {"f": (["A", "B"], [site("1", 10, ["0|1", "0|1"], id="rs1")]), "g": (["C", "C"], [])}
+    with pytest.raises(ValueError, match="twice in g"):
+        encode(panel(spark, files))
+
+
+def test_reference_calls_with_subfields_are_removed(spark):
+    calls = ["0/0:12", "0|0:9", "0|1:7", "./.:0", "1/0", "0:3", "1", None, "0|0"]
+    p = one_file(spark, [site("1", 10, calls[:2], id="rs1")])
+    row = compact_genotypes(p.calls).first()
+    assert row.alternates == [] and row.n_calls == 2
+    many = panel(spark, {"f": ([f"S{i}" for i in range(9)], [site("1", 10, [c or "" for c in calls], id="rs1")])})
+    kept = [tuple(c) for c in compact_genotypes(many.calls).first().alternates]
+    assert kept == [(2, 0, 1, 0, 0), (4, 1, 0, 0, 0), (6, 1, 0, 1, 0)]
+    for phased in (False, True):
+        compact = many._replace(calls=compact_genotypes(many.calls))
+        assert encode(many, phased_only=phased) == encode(compact, phased_only=phased)
+
+
 def test_samples_are_matched_by_name(spark):
     p = panel(
         spark,
@@ -114,8 +144,8 @@ def test_unique_sites_need_no_exchange(spark):
     p = one_file(spark, REPEATED[:1] + REPEATED[2:3])
     out = to_sparse(own_rsids(p.calls), p.headers)
     physical = out._jdf.queryExecution().executedPlan().toString()
-    above_cells = physical[: physical.index("genotypes")]
-    assert "posexplode" in above_cells
+    above_cells = physical[: physical.rindex("genotypes")]
+    assert "inline(" in above_cells
     assert not re.search(r"Exchange (hash|range|round)", above_cells, re.IGNORECASE)
     assert "Python" not in physical and "SortMergeJoin" not in physical
 
