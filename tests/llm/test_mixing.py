@@ -1,0 +1,107 @@
+"""Budgets and prefixes against a plain version."""
+
+import hashlib
+import random
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from dosegrid.llm.mixing import leaf_budgets, mix_to_targets
+
+from .words import WORD, sentence
+
+WEIGHTS = ({"a": 3.0, "b": 1.0}, {"en": 2.0, "de": 1.0}, {"s1": 5.0})
+DEFAULTS = (0.5, 0.5, 1.0)
+DOMAIN = F.when(F.col("source").isin("s1", "s2"), "a").when(F.col("source") == "s3", "b").otherwise("c")
+
+
+def domain(source):
+    return "a" if source in ("s1", "s2") else "b" if source == "s3" else "c"
+
+
+def share_out(budget, children):
+    """{name: (weight, capacity)} filled to one height."""
+    left, got = dict(children), {}
+    while left:
+        height = budget / sum(w for w, _ in left.values())
+        full = [n for n, (w, c) in left.items() if c <= height * w]
+        if not full:
+            return got | {n: int(min(c, height * w)) for n, (w, c) in left.items()}
+        name = min(full, key=lambda n: left[n][1] / left[n][0])
+        got[name] = left[name][1]
+        budget -= left.pop(name)[1]
+    return got
+
+
+def plain_budgets(tokens, budget, epochs):
+    def go(path, budget):
+        depth = len(path)
+        names = sorted({k[depth] for k in tokens if k[:depth] == path})
+        capacity = {n: epochs * sum(t for k, t in tokens.items() if k[: depth + 1] == (*path, n)) for n in names}
+        parts = share_out(budget, {n: (WEIGHTS[depth].get(n, DEFAULTS[depth]), capacity[n]) for n in names})
+        if depth == 2:
+            return {(*path, n): b for n, b in parts.items()}
+        return {k: v for n, b in parts.items() for k, v in go((*path, n), b).items()}
+
+    return go((), budget)
+
+
+def plain_mix(rows, share, epochs, seed):
+    leaves = defaultdict(list)
+    for i, text, lang, source, _ in rows:
+        n = len(WORD.findall(text or ""))
+        leaves[(domain(source), lang or "unknown", source or "unknown")].append((i, n))
+    tokens = {k: sum(n for _, n in v) for k, v in leaves.items()}
+    budgets = plain_budgets(tokens, int(sum(tokens.values()) * share), epochs)
+    out = {}
+    for key, docs in leaves.items():
+        if tokens[key]:
+            whole, rest = divmod(budgets[key], tokens[key])
+            place = lambda i: int(hashlib.md5(f"{seed}:{whole}:{i}".encode()).hexdigest()[:15], 16)  # noqa: E731, B023
+            upto = 0
+            for i, n in sorted(docs, key=lambda d: place(d[0])):
+                upto += n
+                if copies := whole + (upto <= rest):
+                    out[i] = copies
+    return out
+
+
+@pytest.mark.parametrize("share, epochs, slices", [(0.5, 4, 4096), (0.3, 1, 3), (2.0, 4, 2), (9.0, 4, 5)])
+def test_equals_plain_version(make_docs, share, epochs, slices):
+    rng = random.Random(9)
+    rows = [
+        (i, sentence(rng.randint(0, 40), i), rng.choice(["en", "en", "de", "fr", None]),
+         rng.choice(["s1", "s1", "s1", "s2", "s3", "s4", None]), 0)
+        for i in range(300)
+    ]
+    got = mix_to_targets(make_docs(rows), DOMAIN, WEIGHTS, DEFAULTS, share, epochs, 7, slices).collect()
+    assert {r.doc_id: r.mix_copies for r in got} == plain_mix(rows, share, epochs, 7)
+
+
+def test_shortage_stays_with_siblings(spark):
+    sizes = spark.createDataFrame(
+        [("a", "en", "s1", 10), ("a", "en", "s2", 1000), ("a", "de", "s1", 1000), ("b", "en", "s3", 1000)],
+        "d string, l string, s string, tokens long",
+    )
+    got = leaf_budgets(sizes, ["d", "l", "s"], ({}, {}, {}), (1, 1, 1), 800, 1)
+    assert {r[:3]: r.budget for r in got.collect()} == {
+        ("a", "en", "s1"): 10, ("a", "en", "s2"): 190, ("a", "de", "s1"): 200, ("b", "en", "s3"): 400
+    }
+
+
+def test_edges(make_docs, clashing):
+    text = sentence(30, 1)
+    rows = [(1, text, "en", "s1", 5), (1, text, "en", "s1", 5), (None, text, None, None, None),
+            (2, None, "en", "s1", 0), (3, "", "de", "s9", 0)]
+    df = clashing(make_docs(rows)).withColumn("mix_tokens", F.lit("x"))
+    got = mix_to_targets(df, DOMAIN, WEIGHTS, DEFAULTS, share=4.0)
+    assert set(df.columns) < set(got.columns)
+    copies = sorted(((r.doc_id, r.mix_copies) for r in got.collect()), key=str)
+    assert copies == [(1, 4), (1, 4), (2, 4), (None, 4)]
+    assert mix_to_targets(make_docs([]), DOMAIN, WEIGHTS).count() == 0
+
+
+def test_plan_has_no_python(make_docs):
+    plan = mix_to_targets(make_docs([(1, "a b")]), DOMAIN, WEIGHTS)._jdf.queryExecution().executedPlan().toString()
+    assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -1,0 +1,80 @@
+"""Site quality: sums by hand, shrinkage, held-out accuracy."""
+
+import math
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from dosegrid.llm.site_quality import Classifier, fit_classifier, judge_documents
+
+from .words import sentence
+
+SF = "/root/testdata/sf0.1"
+
+
+@pytest.fixture
+def make_labels(spark):
+    return lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+class Given(Classifier):
+    """Evidence read from the text itself."""
+
+    def __init__(self):
+        self.rate = 0.5
+
+    def probabilities(self, texts, cache):
+        return [float(t or b"0.5") for t in texts]
+
+
+def test_posteriors_by_hand(make_docs, make_labels):
+    rows = [(i, str(p), lang, host, 0) for i, (p, host, lang) in enumerate(
+        [(0.9, "a", "x"), (0.8, "a", "x"), (0.7, "a", "y"), (0.2, "b", "x"), (0.3, "b", "x"), (0.6, "c", "x")])]
+    got = {r.doc_id: r for r in judge_documents(
+        make_docs(rows), make_labels([]), F.col("source"), F.col("lang"), classifier=Given()).collect()}
+    mean = sum(float(r[1]) for r in rows) / 6
+    # Both strengths follow from one row each; the rest by hand.
+    a, c = got[2], got[5]
+    k = (0.9 + 0.8 - 2 * a.p_host) / (a.p_host - mean)
+    assert k > 0
+    assert c.p_host == pytest.approx(mean)
+    b = got[3]
+    assert b.p_host == pytest.approx((0.3 + k * mean) / (1 + k))
+    odds = math.log(0.2 / 0.8) + math.log(b.p_path / (1 - b.p_path))
+    assert b.p_good == pytest.approx(1 / (1 + math.exp(-odds)))
+    assert got[0].p_host > mean > b.p_host
+
+
+def test_large_sites_count_more_than_small_ones(make_docs, make_labels):
+    rows = [(i, "0.1", "x", "bad", 0) for i in range(200)] + [(900, "0.1", "x", "small", 0), (901, "0.1", "x", "small", 0)]
+    rows += [(1000 + i, "0.9", "x", f"h{i % 9}", 0) for i in range(200)]
+    got = {r.doc_id: r.p_path for r in judge_documents(
+        make_docs(rows), make_labels([]), F.col("source"), F.col("lang"), classifier=Given()).collect()}
+    assert got[0] < got[900] < got[1000]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_held_out_accuracy(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    classifier = fit_classifier(docs, labels.where(~held))
+    judged = judge_documents(docs, labels, F.col("source"), F.col("lang"), classifier=classifier)
+    rows = judged.join(labels.where(held), "doc_id").select("kept", "quality", "toxic").collect()
+    good = [r.kept for r in rows if r.quality == 1 and not r.toxic]
+    toxic = [r.kept for r in rows if r.toxic]
+    poor = [r.kept for r in rows if r.quality == 0]
+    assert sum(good) / len(good) > 0.97
+    assert sum(toxic) / len(toxic) < 0.1
+    assert sum(poor) / len(poor) < 0.15
+
+
+def test_edges(make_docs, make_labels, clashing):
+    rows = [(1, sentence(40, 1), "x", "s", 0), (1, sentence(40, 1), "x", "s", 0), (2, None, None, None, None),
+            (None, "", "x", "s", 0), (3, sentence(60_000, 2), "x", "s", 0)]
+    labels = make_labels([(1, 1, 0), (1, 1, 0), (2, 0, None), (None, 1, 0), (9, None, None)])
+    got = judge_documents(clashing(make_docs(rows)), labels, F.col("source"), F.col("lang")).collect()
+    assert len(got) == 5 and all(0 <= r.p_good <= 1 for r in got)
+    assert judge_documents(make_docs([]), make_labels([]), F.col("source"), F.col("lang")).count() == 0
+    assert judge_documents(make_docs(rows), make_labels([]), F.col("source"), F.col("lang")).count() == 5
