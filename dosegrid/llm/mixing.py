@@ -115,7 +115,8 @@ def _cutoffs(rows: DataFrame, plan: DataFrame, levels: list[str], slice_rows: in
     return (
         plan.join(last, levels, "left")
         .join(fitting, levels, "left")
-        .withColumn("cutoff", F.coalesce("cutoff", bound, F.lit(-1)))
+        .withColumn("cutoff", F.when(F.col("rest") > 0, F.coalesce("cutoff", bound)))
+        .withColumn("cutoff", F.coalesce("cutoff", F.lit(-1).cast("long")))
         .drop("slice", "start")
     )
 

@@ -188,8 +188,8 @@ WITH rated AS (
     SELECT *, sum(n_tokens) OVER (PARTITION BY domain, l, s ORDER BY place) AS upto FROM placed
 )
 SELECT doc_id, domain, lang, source, n_tokens,
-       (epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
-FROM summed WHERE epochs + CASE WHEN upto <= rest THEN 1 ELSE 0 END > 0
+       (epochs + CASE WHEN rest > 0 AND upto <= rest THEN 1 ELSE 0 END)::BIGINT AS copies
+FROM summed WHERE epochs > 0 OR (rest > 0 AND upto <= rest)
 """
 
 
