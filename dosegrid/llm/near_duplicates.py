@@ -398,4 +398,5 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     gone = durable(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct())
     gone = F.broadcast(gone) if few_rows(gone) else gone
-    return docs.join(gone.withColumnRenamed("doc_id", "gone"), F.col("doc_id") == F.col("gone"), "left_anti")
+    same = F.col("doc.doc_id") == F.col("gone.doc_id")
+    return docs.alias("doc").join(gone.alias("gone"), same, "left_anti")
