@@ -264,7 +264,7 @@ class WarcReader(DataSourceReader):
                 size = 0
             groups[-1].paths.append(file.path)
             size += file.size
-        return groups
+        return groups or [_Files([])]
 
     def _wanted(self, head: Head) -> bool:
         return all(head.get(field) in values for field, values in self.tests)
