@@ -14,11 +14,19 @@ from dosegrid.llm.quality import _SYMBOLS, _repeated_words
 from dosegrid.session import durable
 
 _SPACES = "[\\x20\\x09-\\x0D]+"
+_MARKS = ".,;:!?\"'()[]{}<>"
 DENSE = 5
 #: Probabilities stay this far from 0 and 1.
 EDGE = 1e-4
 
 
+def _forms(text: bytes) -> tuple[list[bytes], set[bytes]]:
+    """Words in lower case; these and the same without the marks around them."""
+    words = lowered(text).split()
+    distinct = set(words)
+    return words, distinct.union(w.strip(_MARKS.encode()) for w in distinct)
+
+
 def _dense(text: bytes, words: list[bytes], cache: WordHashes) -> list[float]:
     """Size, symbols, repetition and word length, each about between 0 and 1."""
     n = max(1, len(words))
@@ -40,8 +48,8 @@ def _features(vocabulary: dict[bytes, int]) -> Callable:
         for batch in slices(batches):
             known, dense = [], []
             for text in raw(batch.column("text")):
-                words = lowered(text or b"").split()
-                known.append(sorted(vocabulary[w] for w in vocabulary.keys() & set(words)))
+                words, forms = _forms(text or b"")
+                known.append(sorted(vocabulary[w] for w in vocabulary.keys() & forms))
                 dense.append(_dense(text or b"", words, cache))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -67,8 +75,8 @@ class Classifier:
     def probabilities(self, texts: list[bytes | None], cache: WordHashes) -> np.ndarray:
         scores = []
         for text in texts:
-            words = lowered(text or b"").split()
-            own = [self.vocabulary[w] for w in self.vocabulary.keys() & set(words)]
+            words, forms = _forms(text or b"")
+            own = [self.vocabulary[w] for w in self.vocabulary.keys() & forms]
             dense = _dense(text or b"", words, cache)
             scores.append(self.weights[own].sum() + self.weights[-DENSE:] @ dense)
         return 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
@@ -80,25 +88,26 @@ def _trained(good: np.ndarray, known: list[list[int]], dense: np.ndarray, size:
     word = np.array([w for k in known for w in k], np.int64)
     weights = np.zeros(size + DENSE)
     squares = np.full(size + DENSE, 1e-8)
-    for _ in range(300):
+    for _ in range(600):
         score = dense @ weights[-DENSE:]
         score += np.bincount(row, weights[word], len(known))
         error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - good
         slope = np.concatenate((np.bincount(word, error[row], size), dense.T @ error))
-        slope = slope / len(good) + 1e-4 * weights
+        slope = slope / len(good) + 1e-5 * weights
         squares += slope**2
         weights -= 0.3 * slope / np.sqrt(squares)
     return weights
 
 
 def fit_classifier(
-    docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, words: int = 4096
+    docs: DataFrame, labels: DataFrame, fit_rows: int = 8000, words: int = 4096, sure: float = 4.0
 ) -> Classifier:
     """Train on ``fit_rows`` labelled documents at most, which a hash of their ids picks.
 
     Good is quality 1 without toxicity. Of the words in at least five of these
-    documents, the ``words`` that tell good from bad most surely are features;
-    that table and the features of the sample are all that reaches the driver.
+    documents, those are features whose share of good ones is ``sure`` standard
+    errors from the mean, the ``words`` surest at most; that table and the
+    features of the sample are all that reaches the driver.
     """
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
     picked = (
@@ -113,7 +122,10 @@ def fit_classifier(
     )
     n = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("good"), F.lit(0))).first()
     rate = (n[1] + 1) / (n[0] + 2)
-    tokens = F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), _SPACES))
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    tokens = F.split(F.translate(F.coalesce("text", F.lit("")), upper, lower), _SPACES)
+    bare = F.transform(tokens, lambda w: F.btrim(w, F.lit(_MARKS)))
+    tokens = F.array_distinct(F.concat(tokens, bare))
     counts = (
         sample.select("good", F.explode(tokens).alias("word"))
         .groupBy("word")
@@ -121,7 +133,8 @@ def fit_classifier(
         .where("n >= 5 AND word != ''")
     )
     surprise = F.abs(F.col("g") - rate * F.col("n")) / F.sqrt(rate * (1 - rate) * F.col("n"))
-    chosen = counts.orderBy(surprise.desc(), "word").limit(words).select("word").collect()
+    told = counts.withColumn("surprise", surprise).where(F.col("surprise") >= sure)
+    chosen = told.orderBy(F.desc("surprise"), "word").limit(words).select("word").collect()
     vocabulary = {r["word"].encode(): i for i, r in enumerate(chosen)}
     rows = sample.mapInArrow(
         _features(vocabulary), "good int, known array<int>, dense array<double>"
