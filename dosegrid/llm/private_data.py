@@ -138,27 +138,27 @@ LABELS = 1 + len(KINDS)
 class Field:
     """Potentials of the field, trained piece by piece from counts of labelled tokens.
 
-    The node potential is the share of a label among tokens of one shape; edge
-    potentials say how much more often two labels meet along an edge than by
-    chance. Counts are smoothed.
+    The node potential is the share of a label among tokens of one shape. An
+    edge potential says how much likelier a label is beside another along an
+    edge than anywhere, taken from both ends. Counts are smoothed.
     """
 
     def __init__(self, counts: dict[tuple[str, str], list[float]]) -> None:
-        self.shapes = {
-            shape: np.log((np.array(n) + [1.0, *[0.02] * len(KINDS)]) / (sum(n) + 1.08))
-            for (kind, shape), n in counts.items()
-            if kind == "node"
-        }
-        self.unknown = np.log(np.array([1.0, *[0.02] * len(KINDS)]) / 1.08)
-        self.chain = self._affinity(counts.get(("edge", "chain")))
-        self.skip = self._affinity(counts.get(("edge", "skip")))
+        rare = np.array([1.0, *[0.05] * len(KINDS)])
+        nodes = {shape: np.array(n) for (kind, shape), n in counts.items() if kind == "node"}
+        self.shapes = {s: np.log((n + rare) / (n + rare).sum()) for s, n in nodes.items()}
+        self.unknown = np.log(rare / rare.sum())
+        anywhere = sum(nodes.values(), rare.copy())
+        anywhere /= anywhere.sum()
+        self.chain = self._affinity(counts.get(("edge", "chain")), anywhere)
+        self.skip = self._affinity(counts.get(("edge", "skip")), anywhere)
 
     @staticmethod
-    def _affinity(counts: list[float] | None) -> np.ndarray:
+    def _affinity(counts: list[float] | None, anywhere: np.ndarray) -> np.ndarray:
         pairs = np.array(counts or [0.0] * LABELS**2).reshape(LABELS, LABELS)
-        pairs = pairs + pairs.T + 0.1 + 0.9 * np.eye(LABELS)
-        rows = pairs.sum(axis=1)
-        return np.log(pairs * pairs.sum() / np.outer(rows, rows))
+        pairs = pairs + pairs.T + 0.1 * np.outer(anywhere, anywhere) + 0.1 * np.diag(anywhere)
+        beside = np.log(pairs / pairs.sum(axis=1, keepdims=True) / anywhere)
+        return (beside + beside.T) / 2
 
     def node(self, token: _Token) -> np.ndarray:
         if token.label:  # found by the base patterns: given
