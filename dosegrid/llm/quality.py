@@ -168,11 +168,11 @@ def measure_documents(
     )
 
 
-def bands(measured: DataFrame, width: float = 8.0, least: int = 30) -> DataFrame:
+def bands(measured: DataFrame, width: float = 6.0, least: int = 30) -> DataFrame:
     """Accepted range of every measure by language and size class, over all documents.
 
     The middle is the median; the half width is ``width`` robust deviations
-    (interquartile range / 1.349), at least a fifth of the middle. Size classes
+    (interquartile range / 1.349), at least a twentieth of the middle. Size classes
     are powers of four of the number of words, as short texts vary more.
     Classes of fewer than ``least`` documents get no band.
     """
@@ -184,7 +184,7 @@ def bands(measured: DataFrame, width: float = 8.0, least: int = 30) -> DataFrame
     columns = []
     for m in MEASURES:
         low, middle, high = (F.col(m)[i] for i in range(3))
-        half = F.greatest(width * (high - low) / 1.349, 0.2 * middle)
+        half = F.greatest(width * (high - low) / 1.349, 0.05 * middle)
         columns += [(middle - half).alias(f"{m}_low"), (middle + half).alias(f"{m}_high")]
     return found.where(F.col("n") >= least).select("lang", "size_class", *columns)
 
@@ -194,7 +194,7 @@ def _size_class() -> Column:
 
 
 def quality_report(
-    docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, width: float = 8.0
+    docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES, width: float = 6.0
 ) -> DataFrame:
     """Text statistics, fertility and verdict of each document.
 
