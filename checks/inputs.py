@@ -18,6 +18,7 @@ from dosegrid.session import durable
 from dosegrid.sources import GenotypePanel, clean_associations, header_table, parse_catalogue
 
 COHORT_SIZE = 100
+FIRST_COHORT = "cohort_000000"
 
 # Columns used of the tables.
 TABLES = {
@@ -45,6 +46,24 @@ SELECT 'cohort_' || lpad(CAST(CAST(floor(s_suppkey / {COHORT_SIZE}) AS BIGINT) A
 FROM supplier
 """
 
+# The same samples in smaller files that overlap: a sample is in two of them at most, and every
+# fourth site is too.
+OVERLAP_SIZE = 30
+_FILE_NAME = "'part_' || lpad(CAST({f} AS STRING), 6, '0')"
+OVERLAP_SAMPLES = f"""
+SELECT {_FILE_NAME.format(f='f')} AS source, s_suppkey, s_name AS sample_name FROM (
+ SELECT s_suppkey, s_name, CAST(floor(s_suppkey / {OVERLAP_SIZE}) AS BIGINT) AS f FROM supplier
+ UNION
+ SELECT s_suppkey, s_name, CAST(floor((s_suppkey + 10) / {OVERLAP_SIZE}) AS BIGINT) FROM supplier) a
+"""
+_FILES = f"(SELECT CAST(floor((max(s_suppkey) + 10) / {OVERLAP_SIZE}) AS BIGINT) + 1 FROM supplier)"
+OVERLAP_SITES = f"""
+SELECT k, {_FILE_NAME.format(f='f')} AS source FROM (
+ SELECT p_partkey AS k, p_partkey % {_FILES} AS f FROM part
+ UNION
+ SELECT p_partkey, (p_partkey + 1) % {_FILES} FROM part WHERE p_partkey % 4 = 0) a
+"""
+
 # Two catalogue records per site. The first sits beside the site for every
 # 11th, the second at the site for every 13th; unplaced contigs for every 19th.
 CATALOGUE_RAW = """
@@ -201,6 +220,20 @@ def genotype_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meta.union(_header_lines(cohorts)).union(data)
 
 
+def overlapping_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text lines of files that share samples and sites."""
+    _register(spark, sf_dir)
+    who = F.sort_array(F.collect_list(F.struct("s_suppkey", "sample_name"))).alias("who")
+    files = spark.sql(OVERLAP_SAMPLES).groupBy("source").agg(who)
+    placed = spark.table("sites").drop("source").join(spark.sql(OVERLAP_SITES), "k").join(files, "source")
+    calls = F.expr(f"transform(who, w -> {call_sql('k', 'w.s_suppkey')})")
+    fields = ["contig", F.col("pos").cast("string"), "id", "ref", "alt", "qual", "filter"]
+    data = placed.select(
+        "source", F.concat_ws("\t", *fields, F.lit("."), F.lit("GT"), calls).alias("value")
+    )
+    return _header_lines(files).union(data)
+
+
 def catalogue_lines(spark: SparkSession, sf_dir: str, newer: bool = False) -> DataFrame:
     _register(spark, sf_dir)
     raw = spark.sql(CATALOGUE_RAW_NEWER if newer else CATALOGUE_RAW)

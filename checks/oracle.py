@@ -85,6 +85,13 @@ CTES = {
     "codes_pass": _codes("(SELECT * FROM refreshed WHERE filter = 'PASS')"),
     "codes_keep": _codes("refreshed_keep"),
     "codes_min": _codes("refreshed_keep_min"),
+    "overlap_samples": inputs.OVERLAP_SAMPLES,
+    "overlap_sites": inputs.OVERLAP_SITES,
+    "gt_overlap": f"SELECT s.k, p.source, s_suppkey AS sample, sample_name, {inputs.call_sql('s.k', 's_suppkey')} AS gt FROM sites s JOIN overlap_sites o ON s.k = o.k JOIN overlap_samples p ON o.source = p.source",
+    "codes_overlap": _codes("refreshed").replace("JOIN gt g", "JOIN gt_overlap g"),
+    "sparse_overlap": _sparse("codes_overlap"),
+    "codes_first": f"SELECT * FROM codes WHERE source = '{inputs.FIRST_COHORT}'",
+    "sparse_first": _sparse("codes_first"),
     "sparse": _sparse("codes"),
     "sparse_phased": _sparse("codes_phased"),
     "sparse_quality": _sparse("codes_quality"),
@@ -113,6 +120,8 @@ FROM gwas_raw WHERE CAST(or_or_beta AS DOUBLE) > 0""",
         'trait, rsID, alt, "OR", pubmedID, date',
         "",
     ),
+    "filled_gaps": 'SELECT rsID, alt, "OR", chr, CASE WHEN rsID % 5 <> 0 THEN pos END AS pos, trait, CASE WHEN pubmedID % 2 <> 0 THEN date END AS date, pubmedID FROM filled',
+    "coded_gaps": 'SELECT f.*, c.code FROM filled_gaps f JOIN catalogue c ON f.rsID = c.rsID AND f.alt = c.allele WHERE f.chr IS NOT NULL AND f.pos IS NOT NULL AND f.date IS NOT NULL AND f.pubmedID IS NOT NULL AND f."OR" IS NOT NULL AND f.trait IS NOT NULL',
     "coded": 'SELECT f.*, c.code FROM filled f JOIN catalogue c ON f.rsID = c.rsID AND f.alt = c.allele WHERE f.chr IS NOT NULL AND f.pos IS NOT NULL AND f.date IS NOT NULL AND f.pubmedID IS NOT NULL AND f."OR" IS NOT NULL AND f.trait IS NOT NULL',
     "coded_two": 'SELECT f.*, c.code FROM filled_two f JOIN catalogue c ON f.rsID = c.rsID AND f.alt = c.allele WHERE f.date IS NOT NULL AND f.pubmedID IS NOT NULL AND f."OR" IS NOT NULL AND f.trait IS NOT NULL',
     "weights": 'SELECT DISTINCT f.rsID, f.alt, f."OR", f.chr, f.pos, f.trait, f.date, f.pubmedID, coalesce(m.file_code, 0) AS code FROM coded f LEFT JOIN code_map m ON f.rsID = m.rsID AND f.code = m.code',
@@ -157,12 +166,19 @@ JOIN (SELECT k, CAST(count(*) AS INT) AS n_calls, string_agg(gt, ',' ORDER BY po
 SELECT i.sample_name, t.sites, n.present, t.sites - n.present AS absent
 FROM sample_ids i JOIN (SELECT source, count(*) AS present FROM sites GROUP BY source) n ON i.source = n.source
 JOIN (SELECT count(*) AS sites FROM sites) t ON 1 = 1""",
+    "vcf_overlapping_files": """
+SELECT sample_name, count(*) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS present, any_value(total) - CAST(coalesce(sum(n), 0) AS BIGINT) AS absent
+FROM overlap_samples p LEFT JOIN (SELECT source, count(*) AS n FROM overlap_sites GROUP BY source) s ON p.source = s.source
+JOIN (SELECT count(*) AS total FROM overlap_sites) t ON 1 = 1 GROUP BY sample_name""",
+    "sparse_overlapping_files": "SELECT sample_name, rsID, chr, pos, code, dose FROM sparse_overlap",
     "tables_merge_by_name": """
 SELECT chr, pos, rsID, code, allele, annot FROM catalogue
 UNION ALL SELECT chr, pos, rsID, code, allele, NULL FROM newer""",
     "vcf_row_cap_count": """
 SELECT kind, LEAST(count(*), 1000) AS n FROM (SELECT CASE WHEN contig IN ('X', 'Y', 'M') THEN 'other' ELSE 'autosome' END AS kind FROM sites) a GROUP BY kind""",
     "catalogue_alleles": "SELECT * FROM catalogue",
+    "catalogue_from_files": "SELECT * FROM catalogue",
+    "wide_panel": f"SELECT {_SPARSE} FROM sparse_first",
     "chrom_codes": f"""
 SELECT k, {_CHR.format(c='contig')} AS named, {_CHR.format(c='number')} AS strict, CAST(number AS INT) AS lenient
 FROM (SELECT k, contig, CAST(k % 40 AS VARCHAR) AS number FROM sites) a""",
@@ -178,6 +194,7 @@ FROM (SELECT rsID, TRY_CAST(regexp_extract(chr, 'NC_0+(\\d+).', 1) AS INT) AS n
     "split_site_report": "SELECT source, contig, pos, ref, CAST(2 AS BIGINT) AS n FROM sites WHERE alt LIKE '%,%'",
     "sparse_default": f"SELECT {_SPARSE} FROM sparse",
     "sparse_phased_only": f"SELECT {_SPARSE} FROM sparse_phased",
+    "sparse_subfields": f"SELECT {_SPARSE} FROM sparse",
     "sparse_min_quality": f"SELECT {_SPARSE} FROM sparse_quality",
     "sparse_pass_only": f"SELECT {_SPARSE} FROM sparse_pass",
     "sparse_keep_unmatched": f"SELECT {_SPARSE} FROM sparse_keep",
@@ -189,6 +206,9 @@ FROM (SELECT rsID, TRY_CAST(regexp_extract(chr, 'NC_0+(\\d+).', 1) AS INT) AS n
 SELECT sample, rsID, 1 AS haplotype, a AS code FROM codes WHERE a > 0
 UNION ALL SELECT sample, rsID, 2, b FROM codes WHERE b > 0""",
     "gwas_clean": f"SELECT {_GWAS} FROM gwas",
+    "gwas_from_files": f"SELECT {_GWAS} FROM gwas",
+    "gwas_any_null": f"SELECT {_GWAS}, code FROM coded_gaps",
+    "indexed_weights": 'SELECT CAST(v.i AS BIGINT) AS i, CAST(t.j AS BIGINT) AS j, w."OR" FROM weights w JOIN variants v ON w.rsID = v.rsID AND w.code = v.code JOIN traits t ON w.trait = t.trait AND w.pubmedID = t.pubmedID',
     "gwas_fill_keep": f"SELECT {_GWAS} FROM filled",
     "gwas_fill_overwrite": f"SELECT {_GWAS} FROM filled_over",
     "gwas_fill_two_assemblies": "SELECT * FROM filled_two",

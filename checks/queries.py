@@ -18,8 +18,8 @@ from dosegrid.operators.associations import (
 )
 from dosegrid.operators.harmonise import refresh_rsids, rsid_changes, split_sites
 from dosegrid.operators.ids import trait_ids, variant_ids
-from dosegrid.operators.score import lookup_scores, with_trait_ids
-from dosegrid.operators.sparse import recode_sparse, to_coordinates, to_sparse
+from dosegrid.operators.score import index_weights, lookup_scores, with_trait_ids
+from dosegrid.operators.sparse import compact_genotypes, recode_sparse, to_coordinates, to_sparse
 from dosegrid.plans import (
     encode_panel,
     panel_score_matrix,
@@ -27,7 +27,7 @@ from dosegrid.plans import (
     refresh_panel,
     score_run,
 )
-from dosegrid.schemas import SCORES
+from dosegrid.schemas import SCORES, VCF_FIXED
 from dosegrid.session import durable, scratch_path
 from dosegrid.sources import (
     GenotypePanel,
@@ -35,8 +35,11 @@ from dosegrid.sources import (
     header_table,
     load_variants,
     merge_by_name,
+    pack_wide,
+    panel_from_lines,
     parse_calls,
     parse_catalogue,
+    read_associations,
     read_panel,
     write_counted,
     write_panel,
@@ -115,6 +118,27 @@ def vcf_merge_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def vcf_overlapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files, and calls there, of each sample; samples and sites are in up to two files."""
+    panel = panel_from_lines(inputs.overlapping_lines(spark, sf_dir))
+    sites = panel.calls.groupBy("source").agg(F.count(F.lit(1)).alias("sites"))
+    placed = panel.headers.select("source", F.explode("samples").alias("sample_name"))
+    present = placed.join(sites, "source", "left").groupBy("sample_name")
+    total = panel.calls.agg(F.count(F.lit(1))).scalar()
+    return present.agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("sites"), F.lit(0)).alias("present")
+    ).withColumn("absent", total - F.col("present"))
+
+
+@query
+def sparse_overlapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample is its name, so what several files say of it adds up."""
+    panel = panel_from_lines(inputs.overlapping_lines(spark, sf_dir))
+    stored = GenotypePanel(durable(panel.calls), durable(panel.headers))
+    return encode_panel(stored, inputs.catalogue(spark, sf_dir)).drop("sample")
+
+
 @query
 def tables_merge_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     newer = inputs.catalogue(spark, sf_dir, newer=True).drop("annot")
@@ -135,6 +159,30 @@ def vcf_row_cap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def catalogue_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue from compressed text files."""
+    folder = scratch_path(spark, "catalogue")
+    lines = inputs.catalogue_lines(spark, sf_dir).select("value")
+    lines.repartition(2, "value").write.option("compression", "gzip").text(folder)
+    return load_variants(spark, [folder], format="dbsnp", partitions=4)
+
+
+@query
+def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first cohort, at most COHORT_SIZE samples, as a table with a column per sample."""
+    panel = inputs.panel(spark, sf_dir)
+    first = panel.headers.where(F.col("source") == inputs.FIRST_COHORT)
+    samples = first.first()["samples"]
+    fixed = ["contig", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"]
+    wide = panel.calls.where(F.col("source") == inputs.FIRST_COHORT).select(
+        *(F.col(c).alias(n) for c, n in zip(fixed, VCF_FIXED)),
+        *(F.get("genotypes", F.lit(i)).alias(name) for i, name in enumerate(samples)),
+    )
+    packed = pack_wide(wide, samples, inputs.FIRST_COHORT)
+    return encode_panel(packed, inputs.catalogue(spark, sf_dir))
+
+
 @query
 def catalogue_alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_catalogue(inputs.catalogue_lines(spark, sf_dir))
@@ -220,6 +268,16 @@ def sparse_phased_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse(spark, sf_dir, phased_only=True)
 
 
+@query
+def sparse_subfields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every call with a sub-field, also the reference calls."""
+    panel = inputs.panel(spark, sf_dir)
+    depth = F.transform("genotypes", lambda g: F.concat(F.substring_index(g, ":", 1), F.lit(":9")))
+    calls = panel.calls.withColumns({"genotypes": depth, "format": F.lit("GT:DP")})
+    compact = compact_genotypes(calls)
+    return encode_panel(panel._replace(calls=compact), inputs.catalogue(spark, sf_dir))
+
+
 @query
 def sparse_min_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse(spark, sf_dir, min_quality=30)
@@ -277,6 +335,20 @@ def gwas_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.associations(spark, sf_dir)
 
 
+@query
+def gwas_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compressed files with a header, in two orders of the columns."""
+    raw = inputs.associations_raw(spark, sf_dir)
+    odd = F.col("PUBMEDID") == "25000001"
+    paths = []
+    for rows, columns in ((raw.where(odd), raw.columns), (raw.where(~odd), raw.columns[::-1])):
+        paths.append(scratch_path(spark, "associations"))
+        quoted = [f"`{c}`" for c in columns]
+        writer = rows.select(*quoted).write.option("compression", "gzip")
+        writer.csv(paths[-1], sep="\t", header=True)
+    return read_associations(spark, paths)
+
+
 @query
 def gwas_fill_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_rsids(inputs.catalogue(spark, sf_dir), inputs.associations(spark, sf_dir))
@@ -304,6 +376,20 @@ def gwas_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attach_codes(catalogue, fill_rsids(catalogue, inputs.associations(spark, sf_dir)))
 
 
+@query
+def gwas_any_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with a null in any column go, here in dates and positions."""
+    catalogue = inputs.catalogue(spark, sf_dir)
+    filled = fill_rsids(catalogue, inputs.associations(spark, sf_dir))
+    gaps = filled.withColumns(
+        {
+            "date": F.when(F.col("pubmedID") % 2 != 0, F.col("date")),
+            "pos": F.when(F.col("rsID") % 5 != 0, F.col("pos")),
+        }
+    )
+    return attach_codes(catalogue, gaps)
+
+
 @query
 def gwas_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights(spark, sf_dir)
@@ -314,6 +400,12 @@ def gwas_in_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrict_to_panel(weights(spark, sf_dir), sparse(spark, sf_dir))
 
 
+@query
+def indexed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = durable(weights(spark, sf_dir))
+    return index_weights(table, variant_ids(sparse(spark, sf_dir)), trait_ids(table))
+
+
 # Scores
 
 
