@@ -108,12 +108,15 @@ def _named_cells(calls: DataFrame, headers: DataFrame, phased_only: bool) -> Dat
     checked = (
         compact_genotypes(calls)
         .join(files, "source", "left")
-        # Part of the calls themselves, so that sites without any to show are checked too.
-        .withColumn(
-            "alternates",
-            F.when(F.col("panel").isNull(), missing)
-            .when(F.col("n_calls") > F.col("n_samples"), surplus)
-            .otherwise(F.col("alternates")),
+        # The first is part of the join key, as an inner join skips null keys; the second is part
+        # of the calls themselves, so that sites without any to show are checked too.
+        .withColumns(
+            {
+                "panel": F.coalesce("panel", missing),
+                "alternates": F.when(F.col("n_calls") > F.col("n_samples"), surplus).otherwise(
+                    F.col("alternates")
+                ),
+            }
         )
         .drop("n_samples")
     )
