@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosegrid.llm.common import WordHashes, covered, raw, rolling, slices, small_side
+from dosegrid.llm.common import covered, mixed, raw, rolling, slices, small_side
 from dosegrid.session import durable
 
 #: Public vocabularies by file name or path; executors find them in place.
@@ -28,13 +28,15 @@ class Vocabulary:
     """Tokens of single words, remembered for the words met lately.
 
     Words are encoded one by one, so that white space costs no tokens; pieces
-    of the given vocabularies do not span words.
+    of the given vocabularies do not span words. A known word has a number, and
+    the tokens of all of them lie in one array.
     """
 
     limit = 150_000
 
     def __init__(self, name: str) -> None:
-        self.known: dict[bytes, list[int]] = {}
+        self.known: dict[bytes, int] = {}
+        self.forget()
         if not os.path.isabs(name):
             import public_tokenizers
 
@@ -62,19 +64,37 @@ class Vocabulary:
         self.is_byte = np.zeros(max(single) + 1, bool)
         self.is_byte[single] = True
 
+    def forget(self) -> None:
+        self.known.clear()
+        self.tokens = np.empty(0, np.int32)
+        self.starts = np.zeros(1, np.int64)
+
     def learn(self, texts: list[list[bytes]]) -> None:
         """Encode the words of some texts that are not known yet, in one call."""
         if len(self.known) > self.limit:
-            self.known.clear()
+            self.forget()
         new = list({w for words in texts for w in words if w not in self.known})
-        self.known.update(zip(new, self.encode([w.decode() for w in new])))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        encoded = self.encode([w.decode() for w in new])
+        ends = np.cumsum(np.fromiter(map(len, encoded), np.int64, len(encoded)))
+        tokens = np.fromiter(chain.from_iterable(encoded), np.int32)
+        self.starts = np.concatenate((self.starts, len(self.tokens) + ends))
+        self.tokens = np.concatenate((self.tokens, tokens))
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def measures(self, words: list[bytes], characters: int) -> tuple[float, float, float]:
+        return self.measures_of(self.numbers(words), characters)
+
+    def measures_of(self, numbers: np.ndarray, characters: int) -> tuple[float, float, float]:
         """Characters per token, share of byte tokens, entropy of the tokens over its maximum."""
-        tokens = np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), np.int32)
-        n = len(tokens)
+        sizes = self.starts[numbers + 1] - self.starts[numbers]
+        ends = np.cumsum(sizes)
+        n = int(ends[-1]) if len(ends) else 0
         if n == 0:
             return 0.0, 0.0, 0.0
+        tokens = self.tokens[np.arange(n) + np.repeat(self.starts[numbers] - ends + sizes, sizes)]
         tokens.sort()
         counts = np.diff(np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1], [True]))))
         low = tokens[: np.searchsorted(tokens, len(self.is_byte))]
@@ -115,8 +135,6 @@ MEASURES = ("chars_per_token", "byte_share", "entropy")
 def _measure(vocabularies: tuple[str, ...]) -> Callable:
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = [Vocabulary(name) for name in vocabularies]
-        cache = WordHashes()
-        cache.limit = 100_000
         not_symbol = bytes(c for c in range(256) if c not in _SYMBOLS)
         not_continued = bytes(c for c in range(256) if not 0x80 <= c < 0xC0)
         for batch in slices(batches, size=1 << 20):
@@ -127,16 +145,17 @@ def _measure(vocabularies: tuple[str, ...]) -> Callable:
             columns: dict[str, list] = {c: [] for c in (*COUNTS, *MEASURES)}
             for text, own in zip(texts, words):
                 characters = sum(map(len, own)) - len(text.translate(None, not_continued))
+                numbered = [m.numbers(own) for m in models]
                 values = [
                     len(own),
                     characters,
                     len(text.translate(None, not_symbol)),
                     _repeated_lines(text),
-                    _repeated_words(cache.of(own)),
+                    _repeated_words(mixed(numbered[0].view(np.uint64))),
                 ]
                 for name, value in zip(COUNTS, values):
                     columns[name].append(value)
-                by_model = list(zip(*(m.measures(own, characters) for m in models)))
+                by_model = list(zip(*(m.measures_of(n, characters) for m, n in zip(models, numbered))))
                 for name, value in zip(MEASURES, by_model):
                     columns[name].append(list(value))
             added = [pa.array(columns[c], pa.int64()) for c in COUNTS]
@@ -158,7 +177,10 @@ def base_failed() -> Column:
 def measure_documents(
     docs: DataFrame, vocabularies: tuple[str, ...] = VOCABULARIES
 ) -> DataFrame:
-    """Counts and fertility of each row, in one narrow pass; see :func:`quality_report`."""
+    """Counts and fertility of each row, in one narrow pass; see :func:`quality_report`.
+
+    It takes one vocabulary at least; its numbers of the words also tell which repeat.
+    """
     counts = ", ".join(f"{c} long" for c in COUNTS)
     measures = ", ".join(f"{c} array<double>" for c in MEASURES)
     return docs.select(

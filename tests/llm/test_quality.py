@@ -94,3 +94,15 @@ def test_several_vocabularies(make_docs):
     both = ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken")
     row = measure_documents(make_docs([(1, "some plain words")]), both).first()
     assert len(row.chars_per_token) == 2
+
+
+def test_forgetting_words_changes_no_measure():
+    texts = [[b"one", b"two", b"one"], [b"three"], [b"two", b"one"], []]
+    free, tight = Vocabulary("piece_bpe_32k.model"), Vocabulary("piece_bpe_32k.model")
+    tight.limit = 0
+    free.learn(texts)
+    for words in texts:
+        tight.learn([words])
+        size = sum(map(len, words))
+        assert tight.measures(words, size) == free.measures(words, size)
+        assert set(tight.known) == set(words)
