@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dosegrid.llm.alignment import align_tokens
 from dosegrid.llm.common import table
 from dosegrid.llm.decontamination import find_items
 from dosegrid.llm.licences import scan_licences
@@ -131,6 +132,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", *COUNTS, "base_failed", "kept", *first)
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -142,4 +147,5 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_private_data": op10_private_data,
+    "op11_token_alignment": op11_token_alignment,
 }
