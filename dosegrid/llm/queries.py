@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from dosegrid.llm.alignment import align_tokens
 from dosegrid.llm.common import table
 from dosegrid.llm.decontamination import find_items
+from dosegrid.llm.embeddings import similar_vectors
 from dosegrid.llm.licences import scan_licences
 from dosegrid.llm.mixing import mix_to_targets
 from dosegrid.llm.near_duplicates import near_duplicates
 from dosegrid.llm.private_data import find_private_data
 from dosegrid.llm.quality import COUNTS, quality_report
 from dosegrid.llm.site_quality import judge_documents
+from dosegrid.llm.spelling import runs_of_letters, spelling_variants
 from dosegrid.llm.sql import ORACLE_SQL
 from dosegrid.llm.substrings import remove_repeats
 from dosegrid.llm.url_filter import filter_urls
@@ -136,6 +138,22 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(table(spark, sf_dir, "documents"))
 
 
+def spoiled(part: int = 97) -> Column:
+    """The word, in one of ``part`` documents without one of its characters."""
+    h = F.crc32(F.concat_ws(":", "doc_id", "word").cast("binary"))
+    place = (h % F.char_length("word") + 1).cast("int")
+    return F.when(h % part == 0, F.overlay("word", F.lit(""), place, F.lit(1))).otherwise(F.col("word"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = runs_of_letters(table(spark, sf_dir, "documents"))
+    return spelling_variants(runs.select(spoiled().alias("word")))
+
+
+def op13_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_decontamination": op2_decontamination,
@@ -148,4 +166,6 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_private_data": op10_private_data,
     "op11_token_alignment": op11_token_alignment,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_embedding_duplicates": op13_embedding_duplicates,
 }

@@ -1,6 +1,6 @@
 """The corpus queries in DuckDB's SQL, over whole tables, where SQL can express them.
 
-Tokenisers (op9), the random field (op10) and the trained classifiers (op3,
+Tokenisers (op9, op11), the random field (op10) and the trained classifiers (op3,
 op5) have none; tests hold them against brute force or held-out accuracy.
 """
 
@@ -232,6 +232,89 @@ SELECT page_id, host, path, rule,
 FROM ruled
 """
 
+# op12: the checksum byte by byte (reflected polynomial 0xEDB88320), then equal words with one
+# character left out. A letter from À on has two bytes, 195 and its code point less 64.
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+_OP12 = rf"""
+WITH RECURSIVE bits AS (
+    SELECT b AS start, b::BIGINT AS c, 0 AS done FROM range(256) t(b)
+    UNION ALL
+    SELECT start, {_CRC_STEP}, done + 1 FROM bits WHERE done < 8
+), crc_table AS (
+    SELECT list(c ORDER BY start) AS steps FROM bits WHERE done = 8
+), found AS (
+    SELECT coalesce(doc_id::VARCHAR, '') || ':' AS head,
+           unnest(regexp_extract_all({_LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run
+    FROM documents
+), distinct_runs AS (
+    SELECT head, run, count(*) AS times FROM found GROUP BY head, run
+), summed AS (
+    SELECT run, times, xor(4294967295, list_reduce(
+        list_prepend(4294967295::BIGINT, flatten(list_transform(
+            list_transform(string_split(head || run, ''), lambda s: unicode(s)::BIGINT),
+            lambda u: CASE WHEN u < 128 THEN [u] ELSE [195::BIGINT, u - 64] END))),
+        lambda c, b: xor(c >> 8, steps[(xor(c, b) & 255) + 1]))) AS h
+    FROM distinct_runs, crc_table
+), words AS (
+    SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::INT)
+                || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, times
+    FROM summed
+), counted AS (
+    SELECT word, sum(times)::BIGINT AS n FROM words WHERE length(word) >= 5
+    GROUP BY word HAVING sum(times) >= 3
+), shorter AS (
+    SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM counted)
+), near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM shorter a JOIN shorter b
+    ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+    UNION
+    SELECT s.word, c.word, c.n FROM shorter s JOIN counted c ON s.rest = c.word
+    UNION
+    SELECT c.word, s.word, s.n FROM shorter s JOIN counted c ON s.rest = c.word
+), rated AS (
+    SELECT word, count(*) AS n_near, max(other_n) AS best_n,
+           arg_min(other, (-other_n, other)) AS best
+    FROM near GROUP BY word
+), formed AS (
+    SELECT c.word, c.n, coalesce(n_near, 0) AS n_near,
+           CASE WHEN best_n >= 2 * c.n THEN best END AS form,
+           CASE WHEN best_n >= 2 * c.n THEN best_n END AS form_n
+    FROM counted c LEFT JOIN rated r ON c.word = r.word
+), followed AS (
+    SELECT word, word AS at FROM formed
+    UNION ALL
+    SELECT f.word, g.form FROM followed f JOIN formed g ON f.at = g.word WHERE g.form IS NOT NULL
+), ends AS (
+    SELECT f.word, f.at AS root FROM followed f JOIN formed g ON f.at = g.word WHERE g.form IS NULL
+)
+SELECT f.word, form, root, n, n_near::BIGINT AS n_near, form_n
+FROM formed f JOIN ends e ON f.word = e.word
+"""
+
+_OP13 = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.95
+), counted AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+), reached AS (
+    SELECT vec_id AS node, vec_id AS other FROM embeddings
+    UNION
+    SELECT node, b FROM reached JOIN links ON other = a
+), component AS (
+    SELECT node, min(other) AS component_id FROM reached GROUP BY node
+)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings LEFT JOIN counted ON vec_id = a JOIN component ON vec_id = node
+"""
+
 ORACLE_SQL = {
     "op1_substring_dedup": _OP1,
     "op2_decontamination": _OP2,
@@ -239,4 +322,6 @@ ORACLE_SQL = {
     "op6_warc_archives": _OP6,
     "op7_source_mixing": _OP7,
     "op8_url_filter": _OP8,
+    "op12_spelling_variants": _OP12,
+    "op13_embedding_duplicates": _OP13,
 }

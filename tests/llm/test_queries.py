@@ -16,7 +16,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test table
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    for table in ("documents", "benchmark", "pages"):
+    for table in ("documents", "benchmark", "pages", "embeddings"):
         con.sql(f"CREATE VIEW {table} AS FROM '{SF_DIR}/{table}.parquet'")
     return con
 
