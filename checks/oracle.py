@@ -161,6 +161,9 @@ BODIES = {
     "vcf_header_columns": "SELECT source, 'CHROM,POS,ID,REF,ALT,QUAL,FILTER,INFO,FORMAT,' || string_agg(sample_name, ',' ORDER BY position) AS columns FROM sample_ids GROUP BY source",
     "vcf_scan_fixed_columns": """
 SELECT p.source, contig, chr, pos, id, ref, alt, qual, filter, n_calls, calls FROM placed p
+JOIN (SELECT k, CAST(count(*) AS INT) AS n_calls, string_agg(gt, ',' ORDER BY position) AS calls FROM gt GROUP BY k) g ON p.k = g.k""",
+    "vcf_from_blocks": """
+SELECT p.source, contig, chr, pos, id, ref, alt, qual, filter, n_calls AS n_samples, n_calls, calls FROM placed p
 JOIN (SELECT k, CAST(count(*) AS INT) AS n_calls, string_agg(gt, ',' ORDER BY position) AS calls FROM gt GROUP BY k) g ON p.k = g.k""",
     "vcf_merge_by_name": """
 SELECT i.sample_name, t.sites, n.present, t.sites - n.present AS absent

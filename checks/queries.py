@@ -40,13 +40,16 @@ from dosegrid.sources import (
     parse_calls,
     parse_catalogue,
     read_associations,
+    read_lines,
     read_panel,
+    write_blocks,
     write_counted,
     write_panel,
     write_parquet,
     write_tsv,
 )
 
+FIXED = ["contig", "chr", "pos", "id", "ref", "alt", "qual", "filter"]
 SITE = ["source", "contig", "chr", "pos", "oldID", "rsID", "ref", "alt"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,9 +98,9 @@ def vcf_header_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def vcf_scan_fixed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fixed = ["source", "contig", "chr", "pos", "id", "ref", "alt", "qual", "filter"]
     return parse_calls(inputs.genotype_lines(spark, sf_dir)).select(
-        *fixed,
+        "source",
+        *FIXED,
         F.size("genotypes").alias("n_calls"),
         F.array_join("genotypes", ",").alias("calls"),
     )
@@ -159,6 +162,30 @@ def vcf_row_cap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def vcf_from_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A block gzip file for each cohort, its ranges read by tasks of their own."""
+    folder = scratch_path(spark, "blocks")
+    header = F.startswith("value", F.lit("#"))
+    lines = inputs.genotype_lines(spark, sf_dir).withColumns(
+        {
+            "meta": F.when(F.startswith("value", F.lit("##")), 0).when(header, 1).otherwise(2),
+            "pos": F.when(~header, F.split_part("value", F.lit("\t"), F.lit(2)).cast("long")),
+        }
+    )
+    write_blocks(lines, folder, ["meta", "pos", "value"])
+    panel = panel_from_lines(read_lines(spark, [folder], range_bytes=1 << 18))
+    name = F.regexp_extract("source", r"(\w+)\.vcf\.gz$", 1)
+    n_samples = F.size("samples").alias("n_samples")
+    return panel.calls.join(panel.headers.select("source", n_samples), "source").select(
+        name.alias("source"),
+        *FIXED,
+        "n_samples",
+        F.size("genotypes").alias("n_calls"),
+        F.array_join("genotypes", ",").alias("calls"),
+    )
+
+
 @query
 def catalogue_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The catalogue from compressed text files."""

@@ -1,4 +1,5 @@
 from dosegrid.sources.associations import clean_associations, read_associations
+from dosegrid.sources.blocks import read_blocks, write_blocks
 from dosegrid.sources.catalogue import parse_catalogue, unique_catalogue
 from dosegrid.sources.genotypes import (
     GenotypePanel,
@@ -27,11 +28,13 @@ __all__ = [
     "parse_calls",
     "parse_catalogue",
     "read_associations",
+    "read_blocks",
     "read_lines",
     "read_lines_capped",
     "read_panel",
     "sample_table",
     "unique_catalogue",
+    "write_blocks",
     "write_counted",
     "write_panel",
     "write_parquet",

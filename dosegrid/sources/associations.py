@@ -2,38 +2,73 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosegrid.functions import chrom_code, whole_number
+from dosegrid.session import broadcast_if_small, durable
+from dosegrid.sources.blocks import first_lines
 from dosegrid.sources.lines import read_lines
 
 # Fixed value: position inside the variant text column.
 POSITION_TEXT = r"chr([\dXYM]+):(\d+)"
 
+# Columns that are used of an association file.
+COLUMNS = [
+    "SNP_ID_CURRENT", "rallele", "OR or BETA", "CHR_ID", "CHR_POS", "SNPs", "DISEASE/TRAIT",
+    "DATE ADDED TO CATALOG", "PUBMEDID",
+]
+
+
+def _place(name: str) -> Column:
+    """0-based place of a column in the header of a file."""
+    return (F.array_position("columns", name) - 1).cast("int")
+
+
+def file_layouts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(source, header, n_columns, places, lacking) of the first line of each file.
+
+    ``places`` tells where the used columns are, ``lacking`` names those that
+    are not there. Files without any line are left out.
+    """
+    heads = first_lines(spark, spark.read.text(list(paths)).inputFiles())
+    columns = F.transform(F.split("value", "\t"), lambda c: F.trim(F.replace(c, F.lit('"'))))
+    return heads.withColumn("columns", columns).select(
+        "source",
+        F.col("value").alias("header"),
+        F.size("columns").alias("n_columns"),
+        F.array(*map(_place, COLUMNS)).alias("places"),
+        F.array_join(F.array_except(F.array(*map(F.lit, COLUMNS)), "columns"), ", ").alias("lacking"),
+    )
+
 
 def read_associations(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Association rows from tab-separated files with a header.
 
-    Columns go by their names, in whatever order a file has them: files with
-    the same header are read together, and the tables are united by name.
+    Columns go by their names, in whatever order each file has them and among
+    whatever others; all files are read together. Fields may be quoted. A file
+    whose first line lacks one of the columns, as one without a header does, is
+    an error.
     """
-    lines = read_lines(spark, paths)
-    fields = F.split("value", "\t")
-    header = F.array_contains(fields, "SNP_ID_CURRENT") & F.array_contains(fields, "PUBMEDID")
-    layouts = (
-        lines.where(header).groupBy("source").agg(F.min("value").alias("header"))
-        .groupBy("header").agg(F.collect_list("source").alias("files"))
-    )
-    tables = [
-        spark.read.csv(list(r["files"]), sep="\t", header=True)
-        for r in layouts.orderBy("header").collect()
-    ]
-    if not tables:
+    layouts = durable(file_layouts(spark, paths))
+    width = layouts.agg(F.max("n_columns")).first()[0]
+    if not width:
         raise ValueError("no header line in any of the files")
-    return clean_associations(reduce(DataFrame.unionByName, tables))
+    if odd := layouts.where("lacking != ''").orderBy("source").first():
+        raise ValueError(f"no header with {odd.lacking} in {odd.source}")
+    texts = ", ".join(f"c{i} string" for i in range(width))
+    lines = read_lines(spark, paths, spread=True).where(F.length("value") > 0)
+    known = broadcast_if_small(layouts.select("source", "header", "places"))
+    fields = F.from_csv("value", texts, {"sep": "\t"})
+    rows = (
+        lines.join(known, "source")
+        .where("value != header")
+        .select("places", fields.alias("fields"))
+        .select("places", F.array(*(F.col(f"fields.c{i}") for i in range(width))).alias("fields"))
+    )
+    return clean_associations(
+        rows.select(*(F.get("fields", F.col("places")[i]).alias(c) for i, c in enumerate(COLUMNS)))
+    )
 
 
 def clean_associations(raw: DataFrame) -> DataFrame:

@@ -19,12 +19,11 @@ def merge_by_name(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def _dealt_out(lines: DataFrame, paths: list[str], partitions: int | None) -> DataFrame:
-    """Lines over several tasks, as a compressed file arrives as one."""
+def _dealt_out(spark: SparkSession, paths: list[str], partitions: int | None) -> DataFrame:
+    """Lines over several tasks, as a compressed file may arrive as one."""
     if partitions:
-        return lines.repartition(partitions)
-    packed = any(path.endswith((".gz", ".bgz", ".zst", ".xz")) for path in paths)
-    return lines.hint("rebalance") if packed else lines
+        return read_lines(spark, paths).repartition(partitions)
+    return read_lines(spark, paths, spread=True)
 
 
 def load_variants(
@@ -45,14 +44,15 @@ def load_variants(
     if not paths:
         raise ValueError("no input paths")
     if format == "gvcf":
-        lines = (
-            read_lines_capped(spark, paths, limit) if limit > 0 else read_lines(spark, paths)
-        )
-        if output:
-            return write_panel(lines, output, partitions)
-        return panel_from_lines(_dealt_out(lines, paths, partitions))
+        if limit > 0:
+            lines = read_lines_capped(spark, paths, limit)
+        elif output:
+            lines = read_lines(spark, paths)
+        else:
+            lines = _dealt_out(spark, paths, partitions)
+        return write_panel(lines, output, partitions) if output else panel_from_lines(lines)
     if format == "dbsnp":
-        table = parse_catalogue(_dealt_out(read_lines(spark, paths), paths, partitions))
+        table = parse_catalogue(_dealt_out(spark, paths, partitions))
     else:
         table = spark.read.option("mergeSchema", "true").parquet(*paths)
         table = table.repartition(partitions) if partitions else table

@@ -83,6 +83,13 @@ def test_row_cap_is_per_file(spark, tmp_path):
     assert {r[0] for r in loaded.calls.select("pos").collect()} == set(range(10, 17))
 
 
+def test_row_cap_is_for_each_file_of_a_folder(spark, tmp_path):
+    for name in "abc":
+        write_gz(tmp_path / f"{name}.vcf.gz", vcf_text(["A"], [site("1", k, ["0|1"]) for k in range(1, 9)]))
+    calls = load_variants(spark, [str(tmp_path)], format="gvcf", limit=2).calls
+    assert sorted(r["count"] for r in calls.groupBy("source").count().collect()) == [2, 2, 2]
+
+
 def test_missing_header_fails(spark, tmp_path):
     path, good = tmp_path / "bad.vcf", tmp_path / "good.vcf"
     path.write_text("\t".join(map(str, site("1", 10, ["0|1"], id="rs1"))) + "\n")
@@ -224,8 +231,41 @@ def test_association_files_are_read_by_column_name(spark, tmp_path):
     b.write_text("\n".join(swapped) + "\n")
     got = rows(read_associations(spark, [a, str(b)]).select("rsID", "chr", "pos", "pubmedID", "trait"))
     assert got == [(7, 12, 100, 3, "t")] * 2
-    with pytest.raises(ValueError, match="header"):
-        read_associations(spark, [write_gz(tmp_path / "c.gz", "no\theader\n")])
+    with pytest.raises(ValueError, match="no header with .* in .*/c.gz"):
+        read_associations(spark, [a, write_gz(tmp_path / "c.gz", "no\theader\n")])
+    without = write_gz(tmp_path / "d.gz", "\t".join(values) + "\n")
+    with pytest.raises(ValueError, match="d.gz"):
+        read_associations(spark, [without])
+
+
+def test_association_files_as_they_are_published(spark, tmp_path):
+    """Extra columns, blanks and pattern signs in file names, quotes, empty files and parts."""
+    columns = ["DATE ADDED TO CATALOG", "PUBMEDID", "DISEASE/TRAIT", "rallele", "CHR_ID", "CHR_POS",
+               "SNPs", "SNP_ID_CURRENT", "OR or BETA"]
+    values = ["2020-01-01", "3", '"a quoted trait"', "C", "12", "100", "", "7", "0.5"]
+    line = "\t".join
+    plain = tmp_path / "my results [1] 100%.tsv"
+    plain.write_text(line(columns) + "\r\n" + line(values) + "\r\n\r\n")
+    more = tmp_path / "more.tsv"
+    more.write_text(line(["FIRST", *columns, "LAST"]) + "\n" + line(["f", *values, "l"]) + "\n" + line(["g", *values]) + "\n")
+    (tmp_path / "empty.tsv").write_text("")
+    folder = tmp_path / "parts"
+    folder.mkdir()
+    write_gz(folder / "part-0.gz", line(columns) + "\n")
+    write_gz(folder / "part-1.gz", line(columns[::-1]) + "\n" + line(values[::-1]) + "\n")
+    escaped = str(plain).replace("[", "\\[").replace("]", "\\]")
+    got = read_associations(spark, [escaped, str(more), str(tmp_path / "empty.tsv"), str(folder)])
+    assert rows(got.select("rsID", "chr", "pos", "pubmedID", "trait")) == [(7, 12, 100, 3, 'a quoted trait')] * 4
+
+
+def test_headers_where_only_spark_can_read(spark, tmp_path, monkeypatch):
+    from dosegrid.sources import associations, blocks
+
+    path = write_gz(tmp_path / "g.csv.gz", GWAS)
+    uris = spark.read.text(path).inputFiles()
+    monkeypatch.setattr(blocks, "_first_line", lambda uri: None)
+    assert rows(blocks.first_lines(spark, uris).select("value")) == [(GWAS.split("\n")[0],)]
+    assert read_associations(spark, [path]).count() == 3
 
 
 def test_stored_panel_has_few_files_with_narrow_ranges(spark, tmp_path):
