@@ -44,6 +44,7 @@ def main() -> None:
     # Deriving and storing the inputs, and with it the start of the JVM.
     start = time.perf_counter()
     inputs.panel(spark, sf_dir)
+    inputs.packed_panel(spark, sf_dir)
     inputs.catalogue(spark, sf_dir)
     inputs.catalogue(spark, sf_dir, newer=True)
     seconds["load_inputs"] = round(time.perf_counter() - start, 3)

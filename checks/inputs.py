@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dosegrid.functions import chrom_code
+from dosegrid.operators.sparse import compact_genotypes
 from dosegrid.schemas import CALLS, VCF_FIXED
 from dosegrid.session import durable
 from dosegrid.sources import GenotypePanel, clean_associations, header_table, parse_catalogue
@@ -173,6 +174,12 @@ def panel(spark: SparkSession, sf_dir: str) -> GenotypePanel:
     )
 
 
+def packed_panel(spark: SparkSession, sf_dir: str) -> GenotypePanel:
+    """The panel with its calls packed, as ``write_panel`` stores them."""
+    calls = _stored(spark, sf_dir, "packed", lambda: compact_genotypes(derive_panel(spark, sf_dir).calls))
+    return GenotypePanel(calls, _stored(spark, sf_dir, "headers", lambda: derive_panel(spark, sf_dir).headers))
+
+
 def derive_panel(spark: SparkSession, sf_dir: str) -> GenotypePanel:
     """The panel computed from the tables."""
     _register(spark, sf_dir)

@@ -62,20 +62,20 @@ def query(run: Callable[[SparkSession, str], DataFrame]):
 
 def refreshed(spark: SparkSession, sf_dir: str, **options: object) -> GenotypePanel:
     return refresh_panel(
-        inputs.panel(spark, sf_dir), inputs.catalogue(spark, sf_dir), **options
+        inputs.packed_panel(spark, sf_dir), inputs.catalogue(spark, sf_dir), **options
     )
 
 
 def sparse(spark: SparkSession, sf_dir: str, **options: object) -> DataFrame:
     return encode_panel(
-        inputs.panel(spark, sf_dir), inputs.catalogue(spark, sf_dir), **options
+        inputs.packed_panel(spark, sf_dir), inputs.catalogue(spark, sf_dir), **options
     )
 
 
 def weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Associations in panel codes."""
     catalogue = inputs.catalogue(spark, sf_dir)
-    sites = refresh_rsids(inputs.panel(spark, sf_dir).calls, catalogue)
+    sites = refresh_rsids(inputs.packed_panel(spark, sf_dir).calls, catalogue)
     return prepare_associations(
         catalogue, inputs.associations(spark, sf_dir), allele_code_map(catalogue, sites)
     )
@@ -266,13 +266,13 @@ def rsid_change_audit_known(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def allele_code_map_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = inputs.catalogue(spark, sf_dir)
-    sites = refresh_rsids(inputs.panel(spark, sf_dir).calls, catalogue)
+    sites = refresh_rsids(inputs.packed_panel(spark, sf_dir).calls, catalogue)
     return allele_code_map(catalogue, sites)
 
 
 def split_panel(spark: SparkSession, sf_dir: str) -> GenotypePanel:
     """The panel with a row per ALT allele, so that some sites are repeated."""
-    panel = inputs.panel(spark, sf_dir)
+    panel = inputs.packed_panel(spark, sf_dir)
     rows = panel.calls.withColumn("alt", F.explode(F.split("alt", ",")))
     return panel._replace(calls=rows)
 
@@ -337,7 +337,7 @@ def sparse_unmerged_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def sparse_recode(spark: SparkSession, sf_dir: str) -> DataFrame:
     catalogue = inputs.catalogue(spark, sf_dir)
-    panel = inputs.panel(spark, sf_dir)
+    panel = inputs.packed_panel(spark, sf_dir)
     sites = refresh_rsids(panel.calls, catalogue)
     return recode_sparse(to_sparse(sites, panel.headers), allele_code_map(catalogue, sites))
 
@@ -440,7 +440,7 @@ def indexed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of every sample for every study, from the dense panel on."""
     return score_run(
-        inputs.panel(spark, sf_dir),
+        inputs.packed_panel(spark, sf_dir),
         inputs.catalogue(spark, sf_dir),
         inputs.associations(spark, sf_dir),
     )
@@ -449,7 +449,7 @@ def prs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prs_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panel_score_matrix(
-        inputs.panel(spark, sf_dir),
+        inputs.packed_panel(spark, sf_dir),
         inputs.catalogue(spark, sf_dir),
         inputs.catalogue(spark, sf_dir, newer=True),
         inputs.associations(spark, sf_dir),

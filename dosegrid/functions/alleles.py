@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Calls that carry no non-reference allele.
@@ -32,3 +32,20 @@ def two_codes(cell: Column, phased_only: bool = False) -> tuple[Column, Column]:
         F.instr(cell, "|") > 0, F.substring_index(F.substring_index(cell, "|", 2), "|", -1)
     )
     return tuple(F.coalesce(c.try_cast("int"), F.lit(0)) for c in (first, second))
+
+
+def pack_calls(calls: DataFrame) -> DataFrame:
+    """``alternates`` and ``n_calls`` in place of the text in ``genotypes``.
+
+    Text is parsed here only, and only of calls that are not plain reference.
+    """
+
+    def coded(cell: Column, i: Column) -> Column:
+        (a, b), (pa, pb) = two_codes(cell), two_codes(cell, phased_only=True)
+        codes = {"a": a, "b": b, "pa": pa, "pb": pb}
+        call = F.struct(i.alias("position"), *(c.alias(n) for n, c in codes.items()))
+        return F.when(~reference_cells(cell), call)
+
+    found = F.array_compact(F.transform("genotypes", coded))
+    found = F.filter(found, lambda c: F.greatest(c["a"], c["b"], c["pa"], c["pb"]) > 0)
+    return calls.withColumns({"alternates": found, "n_calls": F.size("genotypes")}).drop("genotypes")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosegrid.functions import reference_cells, two_codes
+from dosegrid.functions import pack_calls
 from dosegrid.operators.joins import left_lookup
 from dosegrid.schemas import SPARSE
 from dosegrid.session import broadcast_if_small, broadcast_limit, durable, measured_bytes
@@ -28,22 +28,12 @@ def quality_filter(
 def compact_genotypes(calls: DataFrame) -> DataFrame:
     """Replace ``genotypes`` by ``alternates``: position and codes of the non-reference calls.
 
-    A narrow step to take before anything that moves whole sites. Codes are
-    kept as read by default (a, b) and as ``phased_only`` reads them (pa, pb),
-    so sub-fields go here; ``n_calls`` keeps the number of calls.
+    A narrow step to take before anything that moves whole sites, and the form
+    in which panels are stored. Codes are kept as read by default (a, b) and as
+    ``phased_only`` reads them (pa, pb), so sub-fields go here; ``n_calls``
+    keeps the number of calls.
     """
-    if "alternates" in calls.columns:
-        return calls
-
-    def coded(cell: Column, i: Column) -> Column:
-        (a, b), (pa, pb) = two_codes(cell), two_codes(cell, phased_only=True)
-        codes = {"a": a, "b": b, "pa": pa, "pb": pb}
-        call = F.struct(i.alias("position"), *(c.alias(n) for n, c in codes.items()))
-        return F.when(~reference_cells(cell), call)
-
-    found = F.array_compact(F.transform("genotypes", coded))
-    found = F.filter(found, lambda c: F.greatest(c["a"], c["b"], c["pa"], c["pb"]) > 0)
-    return calls.withColumns({"alternates": found, "n_calls": F.size("genotypes")}).drop("genotypes")
+    return calls if "alternates" in calls.columns else pack_calls(calls)
 
 
 def nonreference_cells(
@@ -51,23 +41,16 @@ def nonreference_cells(
 ) -> DataFrame:
     """One row per call that is not plain reference: site columns, position, codes a and b.
 
-    ``who`` may name an array of sample structs by position. They are put
-    beside the calls within the row, so the whole array is not carried along
-    with each call.
+    ``who`` may name an array of sample structs by position; the sample of a
+    call is picked from it as the call becomes a row.
     """
-    a, b = ("pa", "pb") if phased_only else ("a", "b")
-
-    def chosen(call: Column) -> Column:
-        fields = [call["position"].alias("position"), call[a].alias("a"), call[b].alias("b")]
-        if who:
-            at = F.get(F.col(who), call["position"])
-            fields += [at[c].alias(c) for c in ("sample", "sample_name")]
-        return F.struct(*fields)
-
+    chosen = ("pa", "pb") if phased_only else ("a", "b")
     compact = compact_genotypes(calls)
-    cells = compact.withColumn("alternates", F.transform("alternates", chosen))
-    dropped = ["alternates", "n_calls", *([who] if who else [])]
-    return cells.select("*", F.inline("alternates")).drop(*dropped)
+    kept = [c for c in compact.columns if c not in ("alternates", "n_calls", who)]
+    cells = compact.select(*kept, *([who] if who else []), F.inline("alternates"))
+    named = [F.get(F.col(who), F.col("position"))[c].alias(c) for c in ("sample", "sample_name")] if who else []
+    codes = [F.col(c).alias(name) for c, name in zip(chosen, ("a", "b"))]
+    return cells.select(*kept, "position", *codes, *named)
 
 
 def _named_cells(calls: DataFrame, headers: DataFrame, phased_only: bool) -> DataFrame:
@@ -167,15 +150,9 @@ _KEY = ["key_rsid", "key_contig", "key_pos"]
 
 
 def repeated_sites(calls: DataFrame) -> DataFrame:
-    """Keys of the sites that occur in more than one input row, and where these lie."""
-    ranges = {"chr_low": F.min("chr"), "chr_high": F.max("chr"), "low": F.min("pos"), "high": F.max("pos")}
-    return (
-        calls.select(*_site_key(), "chr", "pos")
-        .groupBy(*_KEY)
-        .agg(F.count(F.lit(1)).alias("n"), *(c.alias(n) for n, c in ranges.items()))
-        .where("n > 1")
-        .drop("n")
-    )
+    """Keys of the sites that occur in more than one input row."""
+    counted = calls.select(*_site_key()).groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"))
+    return counted.where("n > 1").drop("n")
 
 
 def to_sparse(
@@ -207,35 +184,36 @@ def to_sparse(
 
 def _rows(cells: DataFrame) -> DataFrame:
     """One row per allele of a call: homozygous 2, heterozygous 1 each."""
-    same = F.col("a") == F.col("b")
-    pair = F.array(
-        F.struct(F.col("a").alias("code"), F.when(same, 2).otherwise(1).alias("dose")),
-        F.struct(F.when(same, 0).otherwise(F.col("b")).alias("code"), F.lit(1).alias("dose")),
-    )
-    return cells.select("*", F.inline(pair)).where("code > 0")
+    kept = [c for c in cells.columns if c not in ("a", "b")]
+    alleles = cells.select(*cells.columns, F.explode(F.array(F.lit(1), F.lit(2))).alias("nth"))
+    same, first = F.col("a") == F.col("b"), F.col("nth") == 1
+    code = F.when(first, F.col("a")).when(~same, F.col("b")).otherwise(0)
+    dose = F.when(first & same, 2).otherwise(1)
+    return alleles.select(*kept, code.alias("code"), dose.alias("dose")).where("code > 0")
 
 
 def _merged(kept: DataFrame, headers: DataFrame, phased_only: bool) -> DataFrame:
+    """Sparse rows, those of a site in several input rows summed.
+
+    Such sites are marked by a broadcast of their keys in the one pass over the
+    calls; its rows are stored by that mark, and the marked part is summed.
+    """
     repeated = durable(repeated_sites(kept))
     size = measured_bytes(repeated)
     if size == 0:
         return _rows(_named_cells(kept, headers, phased_only))
     if size > broadcast_limit(kept.sparkSession):
         return _sum_doses(_rows(_named_cells(kept, headers, phased_only)))
-    # The second reading is cut to the stretch of each chromosome with repeats.
-    chr_low, chr_high, low, high = repeated.agg(
-        F.min("chr_low"), F.max("chr_high"), F.min("low"), F.max("high")
-    ).first()
     keyed = kept.withColumns(dict(zip(_KEY, _site_key()))).alias("s")
-    keys = F.broadcast(repeated.select(*_KEY).alias("r"))
+    keys = F.broadcast(repeated.withColumn("repeated", F.lit(True)).alias("r"))
     match = [F.col(f"s.{k}").eqNullSafe(F.col(f"r.{k}")) for k in _KEY]
-    stretch = (F.col("chr").isNull() | F.col("chr").between(chr_low, chr_high)) & (
-        F.col("pos").isNull() | F.col("pos").between(low, high)
-    )
-    once = keyed.join(keys, match, "left_anti").select(*kept.columns)
-    again = keyed.where(stretch).join(keys, match, "left_semi").select(*kept.columns)
-    rows = [_rows(_named_cells(part, headers, phased_only)) for part in (once, again)]
-    return rows[0].select(*SPARSE.names).unionByName(_sum_doses(rows[1]))
+    mark = F.coalesce("repeated", F.lit(False)).alias("repeated")
+    marked = keyed.join(keys, match, "left").select(*(f"s.{c}" for c in kept.columns), mark)
+    rows = _rows(_named_cells(marked, headers, phased_only))
+    columns = [*SPARSE.names, "contig", "repeated"]
+    stored = durable(rows.select(*columns), partition_by=["repeated"])
+    once = stored.where("NOT repeated").select(*SPARSE.names)
+    return once.unionByName(_sum_doses(stored.where("repeated")))
 
 
 def _sum_doses(rows: DataFrame) -> DataFrame:

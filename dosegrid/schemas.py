@@ -28,6 +28,21 @@ CALLS = T.StructType(
     ]
 )
 
+# A call that is not plain reference: its place among the samples, its codes as read by default
+# and as plain phased calls.
+CALL = T.StructType(
+    [T.StructField(name, T.IntegerType(), False) for name in ("position", "a", "b", "pa", "pb")]
+)
+
+# A stored panel holds its calls packed; the samples of its header rows are in ``genotypes``.
+STORED_CALLS = T.StructType(
+    [
+        *CALLS.fields,
+        T.StructField("alternates", T.ArrayType(CALL, False)),
+        T.StructField("n_calls", T.IntegerType()),
+    ]
+)
+
 CATALOGUE = T.StructType(
     [
         T.StructField("chr", T.IntegerType()),

@@ -65,17 +65,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 _STORED: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """Compute once and cut the lineage: a Parquet table in the shared folder.
 
     It outlives executors, is read column by column, and gives later plans its
     true size. A table that is stored already is returned as it is.
+    ``partition_by`` keeps rows with different values apart, so that a part of
+    the table can be read by itself.
     """
     if df in _STORED:
         return df
     path = scratch_path(df.sparkSession, "table")
     seen = Observation()
-    df.observe(seen, _row_bytes(df).alias("bytes")).write.parquet(path)
+    writer = df.observe(seen, _row_bytes(df).alias("bytes")).write
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _STORED[table] = seen.get["bytes"] or 0
     return table

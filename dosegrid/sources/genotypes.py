@@ -12,9 +12,9 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from dosegrid.functions import chrom_code, whole_number
+from dosegrid.functions import chrom_code, pack_calls, whole_number
 from dosegrid.operators.ids import ordered_ids
-from dosegrid.schemas import CALLS, HEADER_CHR, VCF_FIXED
+from dosegrid.schemas import CALLS, HEADER_CHR, STORED_CALLS, VCF_FIXED
 from dosegrid.sources.lines import is_data
 
 
@@ -128,17 +128,26 @@ def write_panel(lines: DataFrame, output: str, partitions: int | None = None) ->
     however large it is. Sites are then placed by ranges of chromosome and
     position, so that files are few and each spans a stretch of one
     chromosome; rows of one position may lie in two files, so that a run of
-    copies does not fill a task.
+    copies does not fill a task. Calls are parsed here and stored packed, as
+    ``compact_genotypes`` gives them, so that no query parses their text again.
     """
     kept = lines.where(is_data() | _is_header())
     moved = kept.repartition(partitions) if partitions else kept.hint("rebalance")
     place = ["chr", "pos", "dealt"]
     header = F.startswith(F.col("contig"), F.lit("#CHROM"))
-    stored = _parse(moved).withColumns(
-        {
-            "chr": F.when(header, F.lit(HEADER_CHR)).otherwise(F.col("chr")),
-            "dealt": F.spark_partition_id(),
-        }
+    parsed = _parse(moved)
+    samples = F.when(header, F.col("genotypes"))
+    text = F.when(~header, F.col("genotypes"))
+    stored = (
+        pack_calls(parsed.withColumns({"samples": samples, "genotypes": text}))
+        .withColumnRenamed("samples", "genotypes")
+        .withColumns(
+            {
+                "chr": F.when(header, F.lit(HEADER_CHR)).otherwise(F.col("chr")),
+                "dealt": F.spark_partition_id(),
+            }
+        )
+        .select(*STORED_CALLS.names, "dealt")
     )
     seen = Observation()
     (
@@ -158,12 +167,13 @@ def write_panel(lines: DataFrame, output: str, partitions: int | None = None) ->
 
 
 def read_panel(spark: SparkSession, path: str) -> GenotypePanel:
-    """Panel stored by :func:`write_panel`; both parts prune partitions."""
-    stored = spark.read.schema(CALLS).parquet(path)
+    """Panel stored by :func:`write_panel`, its calls packed; both parts prune partitions."""
+    stored = spark.read.schema(STORED_CALLS).parquet(path)
     calls = stored.where(F.col("chr").isNull() | (F.col("chr") != HEADER_CHR))
     headers = (
         stored.where(F.col("chr") == HEADER_CHR)
         .groupBy("source")
         .agg(F.min("genotypes").alias("samples"))
     )
-    return GenotypePanel(calls.select(*CALLS.names), _with_panel(headers))
+    columns = [c for c in STORED_CALLS.names if c != "genotypes"]
+    return GenotypePanel(calls.select(*columns), _with_panel(headers))

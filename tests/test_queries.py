@@ -97,7 +97,7 @@ FIGURES = {
 @pytest.mark.parametrize("sf_dir", FIGURES)
 def test_chain_figures(spark, sf_dir):
     expected = FIGURES[sf_dir]
-    panel = inputs.panel(spark, sf_dir)
+    panel = inputs.packed_panel(spark, sf_dir)
     catalogue = durable(inputs.catalogue(spark, sf_dir).where("pos % 10 = 0"))
     given = inputs.associations(spark, sf_dir).where("pos % 20 = 10")
     assert catalogue.count() == expected["catalogue"]
