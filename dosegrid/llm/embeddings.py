@@ -139,30 +139,32 @@ def _bounds(dimensions: int) -> list[str]:
 
 def _interval_schema(dimensions: int) -> str:
     bounds = ", ".join(f"{b} double" for b in _bounds(dimensions))
-    return f"part int, nth int, nodes binary, copies binary, vectors binary, {bounds}"
+    return f"part int, start long, nodes binary, copies binary, vectors binary, {bounds}"
 
 
 def _pack(axes: np.ndarray, interval_bytes: int) -> Callable:
-    """Intervals of the sequence: packed vectors of one length, and the box that holds them."""
+    """Packed stretches of the sequence: vectors of one length, and the box that holds them.
 
-    def packed(nodes: list, copies: list, vectors: list, part: int, nth: int) -> pa.RecordBatch:
+    ``start`` is the place, in bytes, among the vectors of this length and task.
+    """
+
+    def packed(nodes: list, copies: list, vectors: list, part: int, start: int) -> pa.RecordBatch:
         own = np.concatenate(vectors)
         places = unit(own) @ axes[: own.shape[1]]
         bounds = [float(own.shape[1])] * 2
         for low, high in zip(places.min(axis=0), places.max(axis=0)):
             bounds += [float(low), float(high)]
         blobs = [np.concatenate(x).tobytes() for x in (nodes, copies)]
-        values = [part, nth, *blobs, own.tobytes(), *bounds]
-        names = ["part", "nth", "nodes", "copies", "vectors", *_bounds(axes.shape[1])]
-        kinds = [pa.int32()] * 2 + [pa.binary()] * 3 + [pa.float64()] * len(bounds)
+        values = [part, start, *blobs, own.tobytes(), *bounds]
+        names = ["part", "start", "nodes", "copies", "vectors", *_bounds(axes.shape[1])]
+        kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 3 + [pa.float64()] * len(bounds)
         arrays = [pa.array([v], k) for v, k in zip(values, kinds)]
         return pa.RecordBatch.from_arrays(arrays, names)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, nth, held = TaskContext.get().partitionId(), 0, 0
-        length = None
+        part, length, before, held = TaskContext.get().partitionId(), None, 0, 0
         parts: tuple[list, list, list] = ([], [], [])
         for batch in batches:
             nodes, copies = (batch.column(c).to_numpy() for c in ("node", "copies"))
@@ -172,15 +174,17 @@ def _pack(axes: np.ndarray, interval_bytes: int) -> Callable:
                 start = 0
                 while start < len(at):
                     if held and (length != vectors.shape[1] or held >= most):
-                        yield packed(*parts, part, nth)
-                        parts, held, nth = ([], [], []), 0, nth + 1
-                    length = vectors.shape[1]
+                        yield packed(*parts, part, before)
+                        before += sum(v.nbytes for v in parts[2])
+                        parts, held = ([], [], []), 0
+                    if length != vectors.shape[1]:
+                        length, before = vectors.shape[1], 0
                     end = min(len(at), start + most - held)
                     for kept, new in zip(parts, (nodes[at], copies[at], vectors)):
                         kept.append(new[start:end])
                     held, start = held + end - start, end
         if held:
-            yield packed(*parts, part, nth)
+            yield packed(*parts, part, before)
 
     return pack
 
@@ -188,10 +192,12 @@ def _pack(axes: np.ndarray, interval_bytes: int) -> Callable:
 def sequence_intervals(
     vectors: DataFrame, axes: np.ndarray, width: float, interval_bytes: int = INTERVAL_BYTES
 ) -> DataFrame:
-    """Stored intervals of the grid order, numbered along it.
+    """Intervals of the grid order, numbered along it, in one or several stored rows each.
 
     Vectors are sorted by their cells along the leading principal axes, equal
-    cells by node, so a hot cell is cut into intervals like any other.
+    cells by node, so a hot cell is cut into intervals like any other. An
+    interval has vectors of one length, of up to twice ``interval_bytes``, from
+    however many sorting tasks.
     """
     kind = vectors.schema["embedding"].dataType.simpleString()
     placed = vectors.select("node", "copies", "embedding").mapInArrow(
@@ -205,13 +211,22 @@ def sequence_intervals(
         .select("node", "copies", "embedding")
         .mapInArrow(_pack(axes, interval_bytes), _interval_schema(axes.shape[1]))
     )
-    first, offsets = 0, []
-    for part, n in packed.groupBy("part").count().orderBy("part").collect():  # a row for each task
-        offsets.append((part, first))
-        first += n
-    spark = vectors.sparkSession
-    numbered = packed.join(F.broadcast(spark.createDataFrame(offsets, "part int, first long")), "part")
-    return numbered.withColumn("interval", F.col("first") + F.col("nth")).drop("part", "nth", "first")
+    # A row for each task and length.
+    sizes = packed.groupBy("low0", "part").agg(F.sum(F.octet_length("vectors")).alias("n"))
+    offsets, first, before, length = [], 0, 0, None
+    for row in sizes.orderBy("low0", "part").collect():
+        if length is not None and row.low0 != length:
+            first, before = first + math.ceil(before / interval_bytes), 0
+        length = row.low0
+        offsets.append((length, row.part, first, before))
+        before += row.n
+    where = vectors.sparkSession.createDataFrame(offsets, "low0 double, part int, first long, before long")
+    nth = F.floor((F.col("before") + F.col("start")) / interval_bytes)
+    return (
+        packed.join(F.broadcast(where), ["low0", "part"])
+        .withColumn("interval", F.col("first") + nth)
+        .drop("part", "start", "first", "before")
+    )
 
 
 def _gap(i: int) -> Column:
@@ -230,12 +245,12 @@ def near_intervals(intervals: DataFrame, dimensions: int, reach: float) -> DataF
     ones each, and goes into those pairs alone whose boxes come near enough.
     """
     bounds = _bounds(dimensions)
-    level = intervals.select("interval", *bounds)
+    merged = [(F.min if b.startswith("low") else F.max)(b).alias(b) for b in bounds]
+    level = boxes = durable(intervals.groupBy("interval").agg(*merged))
     levels = [level]
-    n = intervals.agg(F.max("interval")).first()[0]
+    n = boxes.agg(F.max("interval")).first()[0]
     while n:  # one round for each level
         n //= FAN
-        merged = [(F.min if b.startswith("low") else F.max)(b).alias(b) for b in bounds]
         level = level.groupBy(F.floor(F.col("interval") / FAN).alias("interval")).agg(*merged)
         levels.append(level)
     apart = reduce(lambda x, i: x + _gap(i) * _gap(i), range(2, dimensions + 1), _gap(1) * _gap(1))
@@ -243,7 +258,7 @@ def near_intervals(intervals: DataFrame, dimensions: int, reach: float) -> DataF
     pairs = levels.pop().select(F.col("interval").alias("a"), F.col("interval").alias("b"))
     while levels:
         children = broadcast_if_small(
-            levels.pop().withColumn("parent", F.floor(F.col("interval") / FAN)), within=intervals
+            levels.pop().withColumn("parent", F.floor(F.col("interval") / FAN)), within=boxes
         )
         pairs = (
             pairs.join(children.alias("a"), F.col("a") == F.col("a.parent"))
@@ -284,10 +299,10 @@ class _Groups:
 class _Side:
     """Vectors of one interval, with its halves, quarters and so on down to the leaves."""
 
-    def __init__(self, row: dict, kind: np.dtype, axes: np.ndarray, leaf: int) -> None:
-        self.nodes = np.frombuffer(row["nodes"], np.int64)
-        self.copies = np.frombuffer(row["copies"], np.int64)
-        self.raw = np.frombuffer(row["vectors"], kind).reshape(len(self.nodes), -1)
+    def __init__(self, rows: list[dict], kind: np.dtype, axes: np.ndarray, leaf: int) -> None:
+        self.nodes = np.frombuffer(b"".join([r["nodes"] for r in rows]), np.int64)
+        self.copies = np.frombuffer(b"".join([r["copies"] for r in rows]), np.int64)
+        self.raw = np.frombuffer(b"".join([r["vectors"] for r in rows]), kind).reshape(len(self.nodes), -1)
         self.unit = unit(self.raw)
         places = self.unit @ axes[: self.raw.shape[1]]
         self.starts = np.arange(0, len(self.nodes), leaf)
@@ -372,8 +387,10 @@ def _compare(kind: str, axes: np.ndarray, threshold: float, reach: float, leaf:
     """For each pair of intervals: links of every vector, and one vector of its group."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in by_group(batches, ["a", "b"]):
-            sides = [_Side(r, np.dtype(kind), axes, leaf) for r in rows.to_pylist()]
+        for pair, table in by_group(batches, ["a", "b"]):
+            rows = table.to_pylist()
+            of = [[r for r in rows if r["interval"] == i] for i in sorted(set(pair))]
+            sides = [_Side(r, np.dtype(kind), axes, leaf) for r in of]
             one, other = sides[0], sides[-1]
             groups = _Groups(sum(len(s.nodes) for s in sides))
             _match(one, other, groups, threshold, reach)
