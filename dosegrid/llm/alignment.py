@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -27,6 +28,9 @@ ROW_PAIRS = 1 << 16
 SALTS = 16
 
 
+_SPACE_AND_MORE = re.compile(r" \s")
+
+
 def _path(name: str) -> str:
     if os.path.isabs(name):
         return name
@@ -101,7 +105,7 @@ class Tokenizers:
         if not self.cuts_at_spaces:
             return [" " + text]
         words = text.split(" ")
-        if not any(not w or w[0].isspace() for w in words):
+        if not (text[0].isspace() or text[-1] == " " or _SPACE_AND_MORE.search(text)):
             return [" " + w for w in words]
         out = [" " + words[0]]
         for before, word in zip(words, words[1:]):
@@ -139,66 +143,64 @@ class Chunks:
     def learn(self, documents: list[list[str]]) -> None:
         if len(self.known) > self.limit or len(self.links) > self.limit_links:
             self.forget()
-        new = list({c for chunks in documents for c in chunks if c not in self.known})
-        if not new:
-            return
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
-        a = [e.ids for e in self.of.a.encode_batch(new, add_special_tokens=False)]
-        b = self.of.b.encode([c[1:] for c in new], num_threads=1)
-        bytes_a, bytes_b = self.of.bytes_a, self.of.bytes_b
-        plain = [c.encode() for c in new]
-        valid = np.array(
-            [
-                b"".join([bytes_a[i] for i in x]) == c == b"".join([bytes_b[i] for i in y])
-                for c, x, y in zip(plain, a, b)
-            ]
-        )
-        texts, counts, links, sizes = self._aligned(
-            [x if v else [] for x, v in zip(a, valid)],
-            [y if v else [] for y, v in zip(b, valid)],
-            np.array([len(c) if v else 0 for c, v in zip(plain, valid)], np.int64),
-        )
-        self.text += texts
-        self.counts = np.concatenate((self.counts, counts))
-        self.valid = np.concatenate((self.valid, valid))
-        self.starts = np.concatenate((self.starts, len(self.links) + np.cumsum(sizes)))
-        self.links = np.concatenate((self.links, links))
-
-    def _aligned(
-        self, a: list[list[int]], b: list[list[int]], sizes: np.ndarray
-    ) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-        """Groups and links of chunks, whose bytes are laid one after another.
-
-        Where a token of either side ends, a stretch ends that lies in one token
-        of each side: every stretch is one link. Where both end, a group ends.
-        """
-        flat_a = np.array([i for x in a for i in x], np.int64)
-        flat_b = np.array([i for x in b for i in x], np.int64)
+        new = {c for chunks in documents for c in chunks if c not in self.known}
+        # What follows these may change their tokens; the others go in one call.
+        alone = [c for c in new if c[-1] == " " or "▁" in c or not self.of.cuts_at_spaces]
+        for part in [[*new.difference(alone)], *([c] for c in alone)]:
+            if part and not self._add(part):
+                for c in part:
+                    if len(part) == 1 or not self._add([c]):
+                        self._keep([c], [b""], np.zeros((1, 4), np.int64), self.links[:0], False)
+
+    def _add(self, chunks: list[str]) -> bool:
+        """Learn some chunks, if the tokens of both sides join to their bytes."""
+        plain = [c.encode() for c in chunks]
+        text = b"".join(plain)
+        a = self.of.a.encode("".join(chunks), add_special_tokens=False).ids
+        b = [i for ids in self.of.b.encode([c[1:] for c in chunks], num_threads=1) for i in ids]
+        if b"".join([self.of.bytes_a[i] for i in a]) != text or b"".join([self.of.bytes_b[i] for i in b]) != text:
+            return False
+        flat_a, flat_b = np.array(a, np.int64), np.array(b, np.int64)
         ends_a, ends_b = np.cumsum(self.of.length_a[flat_a]), np.cumsum(self.of.length_b[flat_b])
+        limits = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        groups = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        if not (groups[np.searchsorted(groups, limits)] == limits).all():
+            return False
+        # Where a token of either side ends, a stretch ends that lies in one token of each side:
+        # every stretch is one link. Where both end, a group ends.
         ends = np.union1d(ends_a, ends_b)
         links = (
             flat_a[np.searchsorted(ends_a, ends)] * self.width
             + flat_b[np.searchsorted(ends_b, ends)]
         )
-        groups = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        limits = np.cumsum(sizes)
         upto = [np.searchsorted(x, limits, "right") for x in (ends_a, ends_b, groups, ends)]
         counts = np.stack([np.diff(x, prepend=0) for x in upto], axis=1)
         # Tokens in the order of the text: those of A, then those of B, group by group.
         in_a, in_b = np.searchsorted(ends_a, groups, "right"), np.searchsorted(ends_b, groups, "right")
         group_a, group_b = np.searchsorted(groups, ends_a), np.searchsorted(groups, ends_b)
         at_a = np.arange(len(flat_a)) + np.concatenate(([0], in_b))[group_a]
-        at_b = np.arange(len(flat_b)) + in_a[group_b] if len(in_a) else np.arange(0)
+        at_b = np.arange(len(flat_b)) + in_a[group_b]
         ids = np.empty(len(flat_a) + len(flat_b), np.int64)
         sign = np.zeros(len(ids), np.int64)
         ids[at_a], ids[at_b] = flat_a, flat_b
-        if len(in_a):
-            sign[at_a[in_a - 1]], sign[at_b[in_b - 1]] = 1, 2
+        sign[at_a[in_a - 1]], sign[at_b[in_b - 1]] = 1, 2
         before = self.before
         parts = [before[s][i] for s, i in zip(sign.tolist(), ids.tolist())]
         cut = (upto[0] + upto[1]).tolist()
         texts = [b"".join(parts[i:j]) for i, j in zip([0, *cut], cut)]
-        return texts, counts, links, counts[:, 3]
+        self._keep(chunks, texts, counts, links, True)
+        return True
+
+    def _keep(
+        self, chunks: list[str], texts: list[bytes], counts: np.ndarray, links: np.ndarray, valid: bool
+    ) -> None:
+        first = len(self.known)
+        self.known.update(zip(chunks, range(first, first + len(chunks))))
+        self.text += texts
+        self.counts = np.concatenate((self.counts, counts))
+        self.valid = np.concatenate((self.valid, np.full(len(chunks), valid)))
+        self.starts = np.concatenate((self.starts, len(self.links) + np.cumsum(counts[:, 3])))
+        self.links = np.concatenate((self.links, links))
 
     def numbers(self, chunks: list[str]) -> np.ndarray:
         return np.fromiter(map(self.known.__getitem__, chunks), np.int64, len(chunks))
