@@ -47,6 +47,7 @@ def main() -> None:
     inputs.packed_panel(spark, sf_dir)
     inputs.catalogue(spark, sf_dir)
     inputs.catalogue(spark, sf_dir, newer=True)
+    inputs.associations(spark, sf_dir)
     seconds["load_inputs"] = round(time.perf_counter() - start, 3)
     for name in HEADLINE:
         start = time.perf_counter()

@@ -266,4 +266,7 @@ def associations_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def associations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_associations(associations_raw(spark, sf_dir))
+    """Typed associations, stored on first use."""
+    return _stored(
+        spark, sf_dir, "associations", lambda: clean_associations(associations_raw(spark, sf_dir))
+    )

@@ -72,6 +72,10 @@ CTES = {
     "catalogue_raw_newer": inputs.CATALOGUE_RAW_NEWER,
     "catalogue": _catalogue("catalogue_raw"),
     "newer": _catalogue("catalogue_raw_newer"),
+    "catalogue_more": """
+SELECT * FROM catalogue_raw UNION ALL SELECT * FROM catalogue_raw WHERE CAST(substr(rsID, 3) AS BIGINT) % 3 = 0
+UNION ALL SELECT chr, pos - 7, rsID, ref, alt, q1, q2, 'moved' FROM catalogue_raw WHERE CAST(substr(rsID, 3) AS BIGINT) % 5 = 0""",
+    "catalogue_moved": _catalogue("catalogue_more"),
     "lookup": "SELECT DISTINCT chr, pos, rsID FROM catalogue",
     "lookup_newer": "SELECT DISTINCT chr, pos, rsID FROM newer",
     "lookup_min": "SELECT chr, pos, min(rsID) AS rsID FROM catalogue GROUP BY chr, pos",
@@ -212,6 +216,14 @@ UNION ALL SELECT sample, rsID, 2, b FROM codes WHERE b > 0""",
     "gwas_from_files": f"SELECT {_GWAS} FROM gwas",
     "gwas_any_null": f"SELECT {_GWAS}, code FROM coded_gaps",
     "indexed_weights": 'SELECT CAST(v.i AS BIGINT) AS i, CAST(t.j AS BIGINT) AS j, w."OR" FROM weights w JOIN variants v ON w.rsID = v.rsID AND w.code = v.code JOIN traits t ON w.trait = t.trait AND w.pubmedID = t.pubmedID',
+    "score_product": """
+SELECT sample, CAST(t.j AS BIGINT) AS trait, CAST(sum(dose * "OR") AS DOUBLE) AS score
+FROM sparse s JOIN weights w ON s.rsID = w.rsID AND s.code = w.code JOIN traits t ON w.trait = t.trait AND w.pubmedID = t.pubmedID
+GROUP BY sample, t.j""",
+    "sparse_bucketed": f"SELECT {_SPARSE} FROM recoded",
+    "rsid_refresh_bucketed_keep": f"SELECT {_SITE} FROM refreshed_keep",
+    "gwas_code_bucketed": f"SELECT {_GWAS}, code FROM coded",
+    "catalogue_conflicts": "SELECT * FROM catalogue_moved",
     "gwas_fill_keep": f"SELECT {_GWAS} FROM filled",
     "gwas_fill_overwrite": f"SELECT {_GWAS} FROM filled_over",
     "gwas_fill_two_assemblies": "SELECT * FROM filled_two",

@@ -18,7 +18,13 @@ from dosegrid.operators.associations import (
 )
 from dosegrid.operators.harmonise import refresh_rsids, rsid_changes, split_sites
 from dosegrid.operators.ids import trait_ids, variant_ids
-from dosegrid.operators.score import index_weights, lookup_scores, with_trait_ids
+from dosegrid.operators.score import (
+    index_genotypes,
+    index_weights,
+    lookup_scores,
+    score_matrix,
+    with_trait_ids,
+)
 from dosegrid.operators.sparse import compact_genotypes, recode_sparse, to_coordinates, to_sparse
 from dosegrid.plans import (
     encode_panel,
@@ -30,6 +36,7 @@ from dosegrid.plans import (
 from dosegrid.schemas import SCORES, VCF_FIXED
 from dosegrid.session import durable, scratch_path
 from dosegrid.sources import (
+    BucketedCatalogue,
     GenotypePanel,
     header_columns,
     header_table,
@@ -40,9 +47,11 @@ from dosegrid.sources import (
     parse_calls,
     parse_catalogue,
     read_associations,
+    read_catalogue,
     read_lines,
     read_panel,
     write_blocks,
+    write_catalogue,
     write_counted,
     write_panel,
     write_parquet,
@@ -270,6 +279,48 @@ def allele_code_map_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allele_code_map(catalogue, sites)
 
 
+def buckets(spark: SparkSession, sf_dir: str) -> BucketedCatalogue:
+    """The catalogue as it is stored in buckets."""
+    folder = scratch_path(spark, "buckets")
+    write_catalogue(inputs.catalogue(spark, sf_dir), folder, buckets=8)
+    return read_catalogue(spark, folder)
+
+
+@query
+def sparse_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Identifiers and codes from a catalogue that is joined where it lies."""
+    catalogue = buckets(spark, sf_dir)
+    panel = inputs.packed_panel(spark, sf_dir)
+    sites = refresh_rsids(panel.calls, catalogue)
+    return recode_sparse(to_sparse(sites, panel.headers), allele_code_map(catalogue, sites))
+
+
+@query
+def rsid_refresh_bucketed_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = inputs.packed_panel(spark, sf_dir).calls
+    return refresh_rsids(calls, buckets(spark, sf_dir), keep=True).select(*SITE)
+
+
+@query
+def gwas_code_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    filled = fill_rsids(inputs.catalogue(spark, sf_dir), inputs.associations(spark, sf_dir))
+    return attach_codes(buckets(spark, sf_dir), filled)
+
+
+@query
+def catalogue_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue from lines that repeat records, some of them elsewhere and with other text."""
+    lines = inputs.catalogue_lines(spark, sf_dir)
+    fields = F.split("value", "\t")
+    place = (F.get(fields, F.lit(1)).cast("long") - 7).cast("string")
+    moved = F.concat_ws(
+        "\t", F.get(fields, F.lit(0)), place, F.slice(fields, F.lit(3), F.lit(5)), F.lit("moved")
+    )
+    number = F.regexp_extract("value", r"\trs(\d+)\t", 1).cast("long")
+    again = lines.where(number % 3 == 0).union(lines.where(number % 5 == 0).withColumn("value", moved))
+    return parse_catalogue(lines.union(again))
+
+
 def split_panel(spark: SparkSession, sf_dir: str) -> GenotypePanel:
     """The panel with a row per ALT allele, so that some sites are repeated."""
     panel = inputs.packed_panel(spark, sf_dir)
@@ -427,6 +478,16 @@ def gwas_in_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restrict_to_panel(weights(spark, sf_dir), sparse(spark, sf_dir))
 
 
+@query
+def score_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by dense ids, from the product of two sparse matrices."""
+    table, genotypes = durable(weights(spark, sf_dir)), durable(sparse(spark, sf_dir))
+    variants, traits = variant_ids(genotypes), trait_ids(table)
+    return score_matrix(
+        index_genotypes(genotypes, variants), index_weights(table, variants, traits)
+    )
+
+
 @query
 def indexed_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = durable(weights(spark, sf_dir))

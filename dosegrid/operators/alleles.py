@@ -6,34 +6,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosegrid.functions import allele_list
-from dosegrid.operators.joins import left_lookup, reduced
-from dosegrid.session import broadcast_if_small, durable
+from dosegrid.operators.joins import left_lookup
+from dosegrid.operators.numbers import reduced_by_number
+from dosegrid.operators.sparse import site_table
+from dosegrid.session import broadcast_if_small, durable, fits_broadcast, one_task
+from dosegrid.sources.catalogue import BucketedCatalogue
 
 
 def site_alleles(calls: DataFrame) -> DataFrame:
     """(rsID, code, allele) as coded in the panel, each once."""
     return (
-        calls.where("rsID IS NOT NULL")
-        .select("rsID", "ref", "alt")
-        .distinct()
+        site_table(calls)
+        .where("rsID IS NOT NULL")
         .select("rsID", F.posexplode(allele_list(F.col("ref"), F.col("alt"))).alias("code", "allele"))
         .distinct()
     )
 
 
-def allele_code_map(catalogue: DataFrame, calls: DataFrame) -> DataFrame:
+def allele_code_map(catalogue: DataFrame | BucketedCatalogue, calls: DataFrame) -> DataFrame:
     """(rsID, file_code, code): panel code and catalogue code of each shared allele.
 
-    The catalogue is reduced to the variants of the panel before it moves.
+    Where the alleles of the panel fit a broadcast, the catalogue is read once
+    and does not move. Beyond, it is cut to the variants of the panel by bitmaps
+    of their numbers before it moves; one in buckets stays where it is.
     """
-    sites = durable(site_alleles(calls))
-    known = reduced(catalogue.select("rsID", "allele", "code"), sites, ["rsID"])
-    return (
-        sites.withColumnRenamed("code", "file_code")
-        .join(known, ["rsID", "allele"])
-        .select("rsID", "file_code", "code")
-        .distinct()
-    )
+    stored = one_task(durable(site_alleles(calls)))
+    sites = stored.withColumnRenamed("code", "file_code")
+    if isinstance(catalogue, BucketedCatalogue):
+        known = catalogue.by_allele
+    elif fits_broadcast(stored):
+        known, sites = catalogue, F.broadcast(sites)
+    else:
+        known = reduced_by_number(catalogue, stored, "rsID")
+    known = known.select("rsID", "allele", "code")
+    return sites.join(known, ["rsID", "allele"]).select("rsID", "file_code", "code").distinct()
 
 
 def with_allele(sparse: DataFrame, alleles: DataFrame) -> DataFrame:

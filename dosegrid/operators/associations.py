@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from dosegrid.operators.harmonise import position_lookup
 from dosegrid.operators.joins import left_lookup, reduced
-from dosegrid.session import broadcast_if_small, durable
+from dosegrid.session import broadcast_if_small, durable, one_task, remembered
+from dosegrid.sources.catalogue import BucketedCatalogue
 
 _KEYS = ["trait", "rsID", "alt"]
 
@@ -58,7 +59,7 @@ def fill_rsids(
     catalogue: DataFrame, associations: DataFrame, overwrite: bool = False
 ) -> DataFrame:
     """Take missing rsIDs from the catalogue by position, or all with ``overwrite``."""
-    associations = durable(associations)
+    associations = one_task(durable(associations))
     joined = left_lookup(associations, _found(catalogue, associations), ["chr", "pos"])
     rsid = F.col("found") if overwrite else F.coalesce("rsID", "found")
     return unique_associations(
@@ -70,7 +71,7 @@ def fill_rsids_two_assemblies(
     older: DataFrame, newer: DataFrame, associations: DataFrame
 ) -> DataFrame:
     """Missing rsIDs from the older assembly, then from the newer one."""
-    filled = associations = durable(associations)
+    filled = associations = one_task(durable(associations))
     for catalogue in (older, newer):
         filled = (
             left_lookup(filled, _found(catalogue, associations), ["chr", "pos"])
@@ -82,9 +83,13 @@ def fill_rsids_two_assemblies(
     )
 
 
-def attach_codes(catalogue: DataFrame, associations: DataFrame) -> DataFrame:
+def attach_codes(
+    catalogue: DataFrame | BucketedCatalogue, associations: DataFrame
+) -> DataFrame:
     """Add the catalogue code of the risk allele; rows with any null are dropped."""
     associations = durable(associations)
+    if isinstance(catalogue, BucketedCatalogue):
+        catalogue = catalogue.by_allele
     coded = catalogue.select("rsID", F.col("allele").alias("alt"), "code")
     return (
         broadcast_if_small(associations.na.drop(), within=associations)
@@ -96,8 +101,9 @@ def attach_codes(catalogue: DataFrame, associations: DataFrame) -> DataFrame:
 
 def recode_associations(associations: DataFrame, code_map: DataFrame) -> DataFrame:
     """Catalogue codes to panel codes; what the panel lacks becomes 0."""
+    codes = one_task(remembered(code_map, "distinct", lambda: durable(code_map.distinct())))
     return (
-        left_lookup(associations, code_map.distinct(), ["rsID", "code"])
+        left_lookup(associations, broadcast_if_small(codes), ["rsID", "code"])
         .withColumn("code", F.coalesce("file_code", F.lit(0)))
         .select(*associations.columns)
         .distinct()

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dosegrid.session import broadcast_if_small
+from dosegrid.session import broadcast_if_small, fits_broadcast
 
 
 def left_lookup(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
@@ -31,5 +31,9 @@ def reduced(large: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
 
     With keys that fit a broadcast, ``large`` is filtered where it is read.
     """
-    keys = broadcast_if_small(small.select(*on).distinct(), within=small)
+    keys = small.select(*on)
+    if fits_broadcast(keys, within=small):
+        keys = F.broadcast(keys)
+    else:
+        keys = broadcast_if_small(keys.distinct())
     return large.join(keys, on, "left_semi").select(*large.columns)

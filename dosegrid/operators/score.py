@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dosegrid.session import broadcast_if_small, durable
+from dosegrid.session import broadcast_if_small, durable, fits_broadcast, one_task
 
 _STUDY = ["trait", "pubmedID"]
 
@@ -37,7 +37,7 @@ def study_scores(sparse: DataFrame, associations: DataFrame) -> DataFrame:
 
 def polygenic_scores(sparse: DataFrame, associations: DataFrame) -> DataFrame:
     """Scores with the dates of their study, sorted by sample and trait."""
-    used = durable(associations.select("rsID", "code", "OR", *_STUDY, "date"))
+    used = one_task(durable(associations.select("rsID", "code", "OR", *_STUDY, "date")))
     dates = used.select(*_STUDY, "date").distinct().alias("d")
     same_study = [F.col(f"s.{c}").eqNullSafe(F.col(f"d.{c}")) for c in _STUDY]
     return (
@@ -63,7 +63,7 @@ def lookup_scores(
 def with_trait_ids(associations: DataFrame, traits: DataFrame) -> DataFrame:
     """Associations plus ``traitID``, with ids from ``trait_ids``."""
     same_study = [F.col(f"a.{c}").eqNullSafe(F.col(f"t.{c}")) for c in _STUDY]
-    ids = broadcast_if_small(traits.select(*_STUDY, F.col("j").alias("traitID")))
+    ids = broadcast_if_small(traits.select(*_STUDY, F.col("j").alias("traitID")), within=traits)
     return (
         associations.alias("a")
         .join(ids.alias("t"), same_study)
@@ -87,11 +87,29 @@ def index_weights(
     )
 
 
+#: Tasks that the genotypes of one variant are dealt out to where weights are not broadcast.
+SALTS = 8
+
+
 def score_matrix(genotypes: DataFrame, weights: DataFrame) -> DataFrame:
-    """Product of two sparse matrices: (sample, i, dose) x (i, j, OR)."""
+    """Product of two sparse matrices: (sample, i, dose) x (i, j, OR).
+
+    All weights of a variant are one array, so a genotype is joined once however
+    many traits the variant has, and becomes a row for each of them afterwards,
+    next to the partial sums.
+    """
     summed = weights.groupBy("i", "j").agg(F.sum("OR").alias("OR"))
+    packed = summed.groupBy("i").agg(F.collect_list(F.struct("j", "OR")).alias("weights"))
+    packed = durable(packed)  # a row for each variant, as long as there are traits
+    if fits_broadcast(packed):
+        joined = genotypes.join(F.broadcast(packed), "i")
+    else:
+        salt = F.pmod(F.xxhash64("sample"), F.lit(SALTS)).cast("int")
+        salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+        spread = packed.withColumn("salt", F.explode(salts))
+        joined = genotypes.withColumn("salt", salt).join(spread, ["i", "salt"])
     return (
-        genotypes.join(broadcast_if_small(summed, within=weights), "i")
+        joined.select("sample", "dose", F.inline("weights"))
         .groupBy("sample", F.col("j").alias("trait"))
         .agg(F.sum(F.col("dose").cast("double") * F.col("OR")).alias("score"))
     )

@@ -8,12 +8,25 @@ from pyspark.sql import functions as F
 from dosegrid.functions import pack_calls
 from dosegrid.operators.joins import left_lookup
 from dosegrid.schemas import SPARSE
-from dosegrid.session import broadcast_if_small, broadcast_limit, durable, measured_bytes
+from dosegrid.session import (
+    broadcast_if_small,
+    broadcast_limit,
+    durable,
+    measured_bytes,
+    one_task,
+    remembered,
+)
 from dosegrid.sources.genotypes import sample_table, single_panel_samples
 
 _SITE = ["rsID", "chr", "pos"]
 
 
+def site_table(calls: DataFrame) -> DataFrame:
+    """Stored site columns of a panel with rsIDs, for the passes that need no calls."""
+    columns = ["contig", *_SITE, "ref", "alt"]
+    return remembered(calls, "sites", lambda: one_task(durable(calls.select(*columns))))
+
+
 def quality_filter(
     calls: DataFrame, min_quality: float = 0, pass_only: bool = False
 ) -> DataFrame:
@@ -62,18 +75,19 @@ def _named_cells(calls: DataFrame, headers: DataFrame, phased_only: bool) -> Dat
     broadcast limit, cells are joined to the names instead, which happens
     after the reference calls are gone.
     """
-    headers = durable(headers)
+    headers = one_task(durable(headers))
     limit = broadcast_limit(headers.sparkSession)
     names_size = F.octet_length(F.array_join("samples", "")) + 64 * F.size("samples")
     twice = F.size(F.array_distinct("samples")) < F.size("samples")
-    panels, names_bytes, files_bytes, unclear = (
+    panels, names_bytes, files_bytes, whole_bytes, unclear = (
         headers.groupBy("panel")
         .agg(
             F.first(names_size).alias("names"),
             F.sum(F.octet_length("source") + F.lit(96)).alias("files"),
+            F.sum(names_size).alias("whole"),
             F.min(F.when(twice, F.col("source"))).alias("twice"),
         )
-        .agg(F.count(F.lit(1)), F.sum("names"), F.sum("files"), F.min("twice"))
+        .agg(F.count(F.lit(1)), F.sum("names"), F.sum("files"), F.sum("whole"), F.min("twice"))
         .first()
     )
     if not panels:
@@ -81,6 +95,13 @@ def _named_cells(calls: DataFrame, headers: DataFrame, phased_only: bool) -> Dat
     if unclear is not None:
         raise ValueError(f"a sample is listed twice in {unclear}")
     files = headers.select("source", "panel", F.size("samples").alias("n_samples"))
+    samples = single_panel_samples(headers) if panels == 1 else sample_table(headers)
+    names = samples.groupBy("panel").agg(
+        F.sort_array(F.collect_list(F.struct("position", "sample", "sample_name"))).alias("who")
+    )
+    by_file = files_bytes + whole_bytes <= limit  # a list for each file, in one broadcast
+    if by_file:
+        files = files.join(names, "panel")
     if files_bytes <= limit:
         files = F.broadcast(files)
     missing = F.raise_error(F.concat(F.lit("no #CHROM line in "), F.col("source")))
@@ -88,28 +109,20 @@ def _named_cells(calls: DataFrame, headers: DataFrame, phased_only: bool) -> Dat
     surplus = F.raise_error(
         F.concat(F.lit("more calls than samples in "), F.col("source"), F.lit(" at "), place)
     )
-    checked = (
-        compact_genotypes(calls)
-        .join(files, "source", "left")
-        # The first is part of the join key, as an inner join skips null keys; the second is part
-        # of the calls themselves, so that sites without any to show are checked too.
-        .withColumns(
-            {
-                "panel": F.coalesce("panel", missing),
-                "alternates": F.when(F.col("n_calls") > F.col("n_samples"), surplus).otherwise(
-                    F.col("alternates")
-                ),
-            }
-        )
-        .drop("n_samples")
-    )
-    samples = single_panel_samples(headers) if panels == 1 else sample_table(headers)
+    # Files without a header are found out by a part of the calls themselves, or of the join key,
+    # and so are sites with too many calls, also those without any to show.
+    wanted = F.when(F.col("n_calls") > F.col("n_samples"), surplus).otherwise(F.col("alternates"))
+    checked = compact_genotypes(calls).join(files, "source", "left")
+    if by_file:
+        known = F.when(F.col("panel").isNull(), missing).otherwise(wanted)
+        named = checked.withColumn("alternates", known).drop("n_samples")
+        return nonreference_cells(named, phased_only, "who")
+    checked = checked.withColumns(
+        {"panel": F.coalesce("panel", missing), "alternates": wanted}
+    ).drop("n_samples")
     if names_bytes > limit:
         cells = nonreference_cells(checked, phased_only)
         return cells.join(samples, ["panel", "position"])
-    names = samples.groupBy("panel").agg(
-        F.sort_array(F.collect_list(F.struct("position", "sample", "sample_name"))).alias("who")
-    )
     return nonreference_cells(checked.join(F.broadcast(names), "panel"), phased_only, "who")
 
 
@@ -175,9 +188,11 @@ def to_sparse(
     kept = quality_filter(calls, min_quality, pass_only).select(
         "source", "contig", *_SITE, *_payload(calls)
     )
-    sparse = _merged(kept, headers, phased_only) if merge_duplicate_sites else (
-        _rows(_named_cells(kept, headers, phased_only))
-    )
+    if merge_duplicate_sites:
+        whole = min_quality <= 0 and not pass_only and {"ref", "alt"} <= set(calls.columns)
+        sparse = _merged(kept, site_table(calls) if whole else kept, headers, phased_only)
+    else:
+        sparse = _rows(_named_cells(kept, headers, phased_only))
     sparse = sparse.select(*SPARSE.names)
     return sparse if code_map is None else recode_sparse(sparse, code_map)
 
@@ -192,13 +207,15 @@ def _rows(cells: DataFrame) -> DataFrame:
     return alleles.select(*kept, code.alias("code"), dose.alias("dose")).where("code > 0")
 
 
-def _merged(kept: DataFrame, headers: DataFrame, phased_only: bool) -> DataFrame:
+def _merged(
+    kept: DataFrame, sites: DataFrame, headers: DataFrame, phased_only: bool
+) -> DataFrame:
     """Sparse rows, those of a site in several input rows summed.
 
     Such sites are marked by a broadcast of their keys in the one pass over the
     calls; its rows are stored by that mark, and the marked part is summed.
     """
-    repeated = durable(repeated_sites(kept))
+    repeated = durable(repeated_sites(sites))
     size = measured_bytes(repeated)
     if size == 0:
         return _rows(_named_cells(kept, headers, phased_only))
@@ -232,7 +249,7 @@ def _sum_doses(rows: DataFrame) -> DataFrame:
 
 def recode_sparse(sparse: DataFrame, code_map: DataFrame) -> DataFrame:
     """Panel codes to catalogue codes; an allele the catalogue lacks becomes 0."""
-    mapping = broadcast_if_small(durable(code_map.distinct()))
+    mapping = broadcast_if_small(remembered(code_map, "distinct", lambda: durable(code_map.distinct())))
     return (
         left_lookup(sparse.withColumnRenamed("code", "file_code"), mapping, ["rsID", "file_code"])
         .withColumn("code", F.coalesce("code", F.lit(0)))

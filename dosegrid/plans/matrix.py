@@ -11,12 +11,13 @@ from dosegrid.operators.associations import (
     fill_rsids_two_assemblies,
     recode_associations,
 )
-from dosegrid.operators.harmonise import attach_rsids, position_lookup
+from dosegrid.operators.harmonise import attach_rsids
 from dosegrid.operators.ids import trait_ids
 from dosegrid.operators.joins import reduced
 from dosegrid.operators.score import with_trait_ids
 from dosegrid.operators.sparse import compact_genotypes, to_sparse
-from dosegrid.session import broadcast_if_small, durable, fits_broadcast
+from dosegrid.plans.scoring import weighted_positions
+from dosegrid.session import broadcast_if_small, durable, fits_broadcast, one_task
 from dosegrid.sources.genotypes import GenotypePanel
 
 
@@ -31,13 +32,13 @@ def panel_score_matrix(
     whole panel.
     """
     filled = durable(fill_rsids_two_assemblies(older, newer, associations))
-    coded = durable(attach_codes(older, filled))
-    known = durable(reduced(older, coded, ["rsID"]))
-    lookup = durable(reduced(position_lookup(older, "min_rsid"), coded, ["rsID"]))
+    coded = one_task(durable(attach_codes(older, filled)))
+    known = one_task(durable(reduced(older, coded, ["rsID"])))
+    lookup = durable(weighted_positions(older, known, "min_rsid"))
     small = fits_broadcast(lookup)
     calls = panel.calls if small else compact_genotypes(panel.calls)
     sites = attach_rsids(calls, lookup, small=small)
-    weights = durable(recode_associations(coded, allele_code_map(known, sites)))
+    weights = one_task(durable(recode_associations(coded, allele_code_map(known, sites))))
     placed = with_trait_ids(weights.where("code > 0"), trait_ids(weights))
     summed = durable(
         placed.groupBy("rsID", "code", F.col("traitID").alias("trait")).agg(

@@ -10,7 +10,7 @@ from dosegrid.operators.harmonise import attach_rsids, position_lookup
 from dosegrid.operators.joins import reduced
 from dosegrid.operators.score import polygenic_scores
 from dosegrid.operators.sparse import compact_genotypes, to_sparse
-from dosegrid.session import durable, fits_broadcast
+from dosegrid.session import durable, fits_broadcast, one_task
 from dosegrid.sources.genotypes import GenotypePanel
 
 
@@ -26,6 +26,18 @@ def prepare_associations(
     return coded if code_map is None else recode_associations(coded, code_map)
 
 
+def weighted_positions(catalogue: DataFrame, known: DataFrame, multi: str = "all") -> DataFrame:
+    """:func:`position_lookup` of the variants in ``known``, the catalogue rows with a weight.
+
+    Which rsID of a position is the smallest depends on all rows there, so these
+    are taken from the catalogue, cut to the positions that are known.
+    """
+    if multi == "all":
+        return position_lookup(known, multi)
+    places = position_lookup(reduced(catalogue, known, ["chr", "pos"]), multi)
+    return reduced(places, known, ["rsID"])
+
+
 def score_run(
     panel: GenotypePanel,
     catalogue: DataFrame,
@@ -41,11 +53,11 @@ def score_run(
     place by a measured broadcast of positions; should these outgrow the limit,
     non-reference calls alone are shuffled.
     """
-    coded = durable(prepare_associations(catalogue, associations, overwrite=overwrite))
-    lookup = durable(reduced(position_lookup(catalogue, multi), coded, ["rsID"]))
+    coded = one_task(durable(prepare_associations(catalogue, associations, overwrite=overwrite)))
+    known = one_task(durable(reduced(catalogue, coded, ["rsID"])))
+    lookup = durable(weighted_positions(catalogue, known, multi))
     small = fits_broadcast(lookup)
     calls = panel.calls if small else compact_genotypes(panel.calls)
     sites = attach_rsids(calls, lookup, small=small)
-    known = reduced(catalogue, coded, ["rsID"])
     weights = recode_associations(coded, allele_code_map(known, sites))
     return polygenic_scores(to_sparse(sites, panel.headers, **sparse_options), weights)

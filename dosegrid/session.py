@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from typing import TypeVar
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+T_ = TypeVar("T_")
+
 # Largest side that is broadcast, measured in bytes of its rows; a session setting.
 BROADCAST_SETTING = "spark.dosegrid.broadcastBytes"
 BROADCAST_BYTES = 256 * 1024 * 1024
@@ -56,13 +61,17 @@ def _one_process(master: str) -> bool:
     return master.split("[")[0] == "local"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """Fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def scratch_path(spark: SparkSession, name: str, folder: str | None = None) -> str:
+    """Fresh path below the shared folder, or below the one given."""
+    return f"{(folder or shared_folder(spark)).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # Size of the tables stored by this process, seen while they were written.
 _STORED: WeakKeyDictionary[DataFrame, int] = WeakKeyDictionary()
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+# Folders of the runs that are open, the latest last.
+_FOLDERS: list[str] = []
 
 
 def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
@@ -75,15 +84,70 @@ def durable(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     """
     if df in _STORED:
         return df
-    path = scratch_path(df.sparkSession, "table")
+    path = scratch_path(df.sparkSession, "table", _FOLDERS[-1] if _FOLDERS else None)
     seen = Observation()
     writer = df.observe(seen, _row_bytes(df).alias("bytes")).write
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     _STORED[table] = seen.get["bytes"] or 0
+    _PATHS[table] = path
     return table
 
 
+#: Largest stored table, in bytes of its rows, that is handled by one task without a shuffle.
+ONE_TASK_BYTES = 32 * 1024 * 1024
+
+
+def one_task(table: DataFrame) -> DataFrame:
+    """A small stored table as one partition, so that grouping it moves nothing.
+
+    A larger one, or one whose size is not known, comes back as it is.
+    """
+    if not fits_one_task(table):
+        return table
+    whole = table.coalesce(1)
+    _STORED[whole], _PATHS[whole] = _STORED[table], _PATHS[table]
+    return whole
+
+
+def fits_one_task(table: DataFrame) -> bool:
+    """Whether a table is stored and small."""
+    return _STORED.get(table, ONE_TASK_BYTES + 1) <= ONE_TASK_BYTES
+
+
+# What is known of a table by now, by the table and a name; gone with the table.
+_KNOWN: WeakKeyDictionary[DataFrame, dict[str, object]] = WeakKeyDictionary()
+
+
+def remembered(table: DataFrame, name: str, build: Callable[[], T_]) -> T_:
+    """What ``build`` makes of a table, made once for all operators that ask by this name."""
+    known = _KNOWN.setdefault(table, {})
+    if name not in known:
+        known[name] = build()
+    return known[name]
+
+
+@contextmanager
+def run_store(spark: SparkSession) -> Iterator[str]:
+    """Keep the stored tables of a run in a folder of its own, and remove it at the end.
+
+    Results that are read after the run have to be written elsewhere within it.
+    """
+    folder = scratch_path(spark, "run")
+    _FOLDERS.append(folder)
+    try:
+        yield folder
+    finally:
+        _FOLDERS.remove(folder)
+        for tables in (_STORED, _KNOWN):
+            for table in [t for t in tables.keys() if folder in _PATHS.get(t, "")]:
+                del tables[table]
+        _KNOWN.clear()
+        context = spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _row_bytes(df: DataFrame) -> Column:
     """Sum over the rows: text by its length, arrays by 64 a field, the rest by 16."""
     width = F.lit(16 * max(1, len(df.columns))).cast("long")

@@ -1,6 +1,12 @@
 from dosegrid.sources.associations import clean_associations, read_associations
 from dosegrid.sources.blocks import read_blocks, write_blocks
-from dosegrid.sources.catalogue import parse_catalogue, unique_catalogue
+from dosegrid.sources.catalogue import (
+    BucketedCatalogue,
+    parse_catalogue,
+    read_catalogue,
+    unique_catalogue,
+    write_catalogue,
+)
 from dosegrid.sources.genotypes import (
     GenotypePanel,
     header_columns,
@@ -17,6 +23,7 @@ from dosegrid.sources.load import load_variants, merge_by_name
 from dosegrid.sources.sinks import write_counted, write_parquet, write_tsv
 
 __all__ = [
+    "BucketedCatalogue",
     "GenotypePanel",
     "clean_associations",
     "header_columns",
@@ -29,12 +36,14 @@ __all__ = [
     "parse_catalogue",
     "read_associations",
     "read_blocks",
+    "read_catalogue",
     "read_lines",
     "read_lines_capped",
     "read_panel",
     "sample_table",
     "unique_catalogue",
     "write_blocks",
+    "write_catalogue",
     "write_counted",
     "write_panel",
     "write_parquet",

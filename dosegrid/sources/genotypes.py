@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from dosegrid.functions import chrom_code, pack_calls, whole_number
 from dosegrid.operators.ids import ordered_ids
 from dosegrid.schemas import CALLS, HEADER_CHR, STORED_CALLS, VCF_FIXED
+from dosegrid.session import durable
 from dosegrid.sources.lines import is_data
 
 
@@ -106,6 +107,7 @@ def sample_table(headers: DataFrame) -> DataFrame:
         first.select("sample_name", "at.source", "at.position"),
         [F.col("source"), F.col("position")],
         "sample",
+        of=headers,
     ).select("sample_name", "sample")
     return placed.join(numbered, "sample_name").select(
         "panel", "position", "sample", "sample_name"
@@ -123,9 +125,10 @@ def single_panel_samples(headers: DataFrame) -> DataFrame:
 def write_panel(lines: DataFrame, output: str, partitions: int | None = None) -> int:
     """Store lines as a Parquet panel partitioned by chromosome; number of sites.
 
-    The text is read once: header lines go to a partition of their own. Lines
-    are dealt out in turn before they are parsed, as a gzip file is one task
-    however large it is. Sites are then placed by ranges of chromosome and
+    The text is read and parsed once: header lines go to a partition of their
+    own. Lines are dealt out in turn before they are parsed, as a gzip file is
+    one task however large it is, and stored as they come; ranges are found from
+    the stored positions. Sites are then placed by ranges of chromosome and
     position, so that files are few and each spans a stretch of one
     chromosome; rows of one position may lie in two files, so that a run of
     copies does not fill a task. Calls are parsed here and stored packed, as
@@ -138,7 +141,7 @@ def write_panel(lines: DataFrame, output: str, partitions: int | None = None) ->
     parsed = _parse(moved)
     samples = F.when(header, F.col("genotypes"))
     text = F.when(~header, F.col("genotypes"))
-    stored = (
+    stored = durable(
         pack_calls(parsed.withColumns({"samples": samples, "genotypes": text}))
         .withColumnRenamed("samples", "genotypes")
         .withColumns(

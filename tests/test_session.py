@@ -32,3 +32,45 @@ def test_a_cluster_needs_a_shared_folder(master):
 @pytest.mark.parametrize("master", ["local", "local[4]"])
 def test_one_process_may_use_its_own_disk(master):
     assert "dosegrid-" in shared_folder(Cluster(master))
+
+
+def test_tables_of_a_run_are_removed_at_its_end(spark, tmp_path):
+    from pathlib import Path
+
+    from dosegrid.session import _STORED, durable, measured_bytes, run_store
+
+    kept = durable(spark.range(5))
+    with run_store(spark) as folder:
+        inside = durable(spark.range(10))
+        with run_store(spark) as inner:
+            durable(spark.range(3))
+            assert len(list(Path(inner.removeprefix("file:")).iterdir())) == 1
+        assert not Path(inner.removeprefix("file:")).exists()
+        assert inside.count() == 10 and inside in _STORED
+        inside.write.parquet(str(tmp_path / "result"))
+    assert not Path(folder.removeprefix("file:")).exists() and inside not in _STORED
+    assert kept.count() == 5 and measured_bytes(kept) > 0
+    assert spark.read.parquet(str(tmp_path / "result")).count() == 10
+
+
+def test_a_failed_run_is_removed_too(spark):
+    from pathlib import Path
+
+    from dosegrid.session import durable, run_store
+
+    with pytest.raises(ValueError), run_store(spark) as folder:
+        durable(spark.range(10))
+        raise ValueError
+    assert not Path(folder.removeprefix("file:")).exists()
+    assert durable(spark.range(2)).count() == 2
+
+
+def test_what_is_known_of_a_table_is_made_once(spark):
+    from dosegrid.session import remembered
+
+    made = []
+    table, other = spark.range(1), spark.range(1)
+    for df in (table, table, other):
+        remembered(df, "count", lambda df=df: made.append(df) or df.count())
+    assert made == [table, other]
+    assert remembered(table, "more", lambda: 7) == 7
