@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosegrid.llm.common import SPAN, covered, groups_of, raw, runs, slices, span_lists, spread
+from dosegrid.session import broadcast_if_small, durable
 
 #: Normal form: A-Z in lower case, other ASCII but digits and letters to a space.
 _NORMAL = bytes(
@@ -78,49 +80,56 @@ def _held(items: Broadcast, window: int) -> Items:
     return items.value["built"]
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> list[Broadcast]:
-    """The items in blocks of about ``block_bytes``, one broadcast each."""
+def _blocks(items: DataFrame, block_bytes: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcast items, in blocks of about ``block_bytes``, and whether there is one block only.
+
+    A block is made when the one before it has been used, and that one is freed.
+    """
     narrow = items.select(F.col("item_id").cast("string").alias("name"), "text").dropna()
     blocks = groups_of(narrow.agg(F.sum(F.octet_length("text"))).first()[0] or 0, block_bytes)
-    sent = []
     for block in range(blocks):
         rows = narrow.where(spread(blocks, "name") == block).toLocalIterator()
         block_items = [(r["name"], r["text"].encode()) for r in rows]
-        sent.append(items.sparkSession.sparkContext.broadcast({"items": block_items}))
-    return sent
+        sent = items.sparkSession.sparkContext.broadcast({"items": block_items})
+        yield sent, blocks == 1
+        if blocks > 1:
+            sent.unpersist()
+
+
+_SPANS = "array<struct<start:int,end:int>>"
+
 
+def _row(docs: DataFrame) -> DataFrame:
+    """What is read of a document; equal ids and texts have equal results."""
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text")
 
-def _scan(items: Broadcast, window: int, last: bool) -> _Scan:
-    """Add what the items of one block cover to the columns hits and items."""
+
+def _scan(items: Broadcast, window: int) -> _Scan:
+    """Words in passages of the items of one block."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _held(items, window)
         for batch in slices(batches):
             counts, spans, names, places = [], [], [], []
-            earlier = batch.column("hits").to_pylist()
-            known = batch.column("items").to_pylist()
-            for text, before, own in zip(raw(batch.column("text")), earlier, known):
+            for text in raw(batch.column("text")):
                 words = normal_words(text)
                 hit, found = block.found(words)
-                for span in before:
-                    hit[span["start"] : span["end"]] = True
                 counts.append(len(words))
                 spans.append(runs(hit))
-                names.append(sorted(found.union(own)))
-                if last:
-                    ranges = list(zip(*(x.tolist() for x in spans[-1])))
-                    places.append(_places(text.decode(), ranges) if ranges else [])
-            columns = {
-                "doc_id": batch.column("doc_id"),
-                "text": batch.column("text"),
-                "n_words": pa.array(counts, pa.int64()),
-                "hits": span_lists(spans),
-                "items": pa.array(names, pa.list_(pa.string())),
-            }
-            if last:
-                columns["places"] = pa.array(places, pa.list_(SPAN))
-                del columns["text"]
-            yield pa.RecordBatch.from_pydict(columns)
+                names.append(sorted(found))
+                ranges = list(zip(*(x.tolist() for x in spans[-1])))
+                places.append(_places(text.decode(), ranges) if ranges else [])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc_id"),
+                    batch.column("text_hash"),
+                    pa.array(counts, pa.int64()),
+                    span_lists(spans),
+                    pa.array(names, pa.list_(pa.string())),
+                    pa.array(places, pa.list_(SPAN)),
+                ],
+                ["doc_id", "text_hash", "n_words", "hits", "items", "places"],
+            )
 
     return scan
 
@@ -133,8 +142,9 @@ def find_items(
     A passage is ``window`` consecutive words of an item, or the whole item if
     it is shorter. All passages form one Aho-Corasick automaton, which goes to
     the executors; documents are scanned once, where they are, without a
-    shuffle. Items of more than ``block_bytes`` are taken in blocks of that
-    size, one automaton and one scan each, so memory does not grow with them.
+    shuffle. Items of more than ``block_bytes`` are taken block by block: one
+    job with one automaton for each, which stores what it found and frees its
+    block, so no more than a block is ever held by the driver or a worker.
 
     Returns per row: doc_id, n_words, hits (spans of words, end exclusive),
     items (ids as text, sorted) and places (the hits as positions of characters
@@ -142,21 +152,51 @@ def find_items(
     items with equal ids count as one. A null or empty text has no words.
     Other columns are not read.
     """
-    empty_spans = F.array().cast("array<struct<start:int,end:int>>")
-    scanned = docs.select(
-        F.col("doc_id").cast("long"),
-        "text",
-        empty_spans.alias("hits"),
-        F.array().cast("array<string>").alias("items"),
+    schema = f"doc_id long, text_hash long, n_words long, hits {_SPANS}, items array<string>, places {_SPANS}"
+    narrow = _row(docs)
+    columns = ["doc_id", "n_words", "hits", "items", "places"]
+    found = []
+    for block, only in _blocks(items, block_bytes):
+        scanned = narrow.mapInArrow(_scan(block, window), schema)
+        if only:
+            return scanned.select(*columns)
+        found.append(durable(scanned.where(F.size("items") > 0).drop("n_words").distinct()))
+    # At most one row of each block for a document.
+    merged = reduce(DataFrame.union, found).groupBy("doc_id", "text_hash").agg(
+        F.flatten(F.collect_list("hits")).alias("hits"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
+    same = F.col("c.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("c.text_hash") == F.col("f.text_hash"))
+    joined = narrow.alias("c").join(broadcast_if_small(durable(merged)).alias("f"), same, "left")
+    given = joined.select("c.doc_id", "c.text", "f.hits", "f.items")
+    return given.mapInArrow(
+        _united, f"doc_id long, n_words long, hits {_SPANS}, items array<string>, places {_SPANS}"
     )
-    spans = "array<struct<start:int,end:int>>"
-    sent = _blocks(items, block_bytes)
-    for block in sent:
-        last = block is sent[-1]
-        found = f"n_words long, hits {spans}, items array<string>"
-        schema = f"{found}, places {spans}" if last else f"text string, {found}"
-        scanned = scanned.mapInArrow(_scan(block, window, last), f"doc_id long, {schema}")
-    return scanned
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the scans of several blocks found, as spans that don't touch."""
+    for batch in slices(batches):
+        counts, spans, places = [], [], []
+        for text, hits in zip(raw(batch.column("text")), batch.column("hits").to_pylist()):
+            words = normal_words(text)
+            hit = np.zeros(len(words), bool)
+            for span in hits or ():
+                hit[span["start"] : span["end"]] = True
+            counts.append(len(words))
+            spans.append(runs(hit))
+            ranges = list(zip(*(x.tolist() for x in spans[-1])))
+            places.append(_places(text.decode(), ranges) if ranges else [])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("doc_id"),
+                pa.array(counts, pa.int64()),
+                span_lists(spans),
+                pa.array([x or [] for x in batch.column("items").to_pylist()], pa.list_(pa.string())),
+                pa.array(places, pa.list_(SPAN)),
+            ],
+            ["doc_id", "n_words", "hits", "items", "places"],
+        )
 
 
 def _clean(items: Broadcast, window: int) -> _Scan:
@@ -174,6 +214,7 @@ def contaminated_removed(
     docs: DataFrame, items: DataFrame, window: int = 10, block_bytes: int = 2 << 20
 ) -> DataFrame:
     """Rows of ``docs`` without any passage of an item, with all their columns."""
-    for sent in _blocks(items, block_bytes):
-        docs = docs.mapInArrow(_clean(sent, window), docs.schema)
+    for block, only in _blocks(items, block_bytes):
+        docs = docs.mapInArrow(_clean(block, window), docs.schema)
+        docs = docs if only else durable(docs)
     return docs

@@ -178,13 +178,21 @@ def mix_to_targets(
     placed = counted.join(small_side(plan), levels)
     placed = placed.withColumn("place", _order(seed, F.col("epochs"), F.col("key")))
     cut = durable(_cutoffs(placed, plan, levels, slice_rows).select(*levels, "epochs", "cutoff"))
-    named = docs.drop("mix_tokens", "mix_copies").withColumns({**leaf, "mix_tokens": word_count(), "mix_key": key})
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    named = docs.select(
+        row.alias("row"),
+        *(c.alias(n) for n, c in leaf.items()),
+        word_count().alias("mix_tokens"),
+        key.alias("mix_key"),
+    )
     copies = F.col("epochs") + (
         _order(seed, F.col("epochs"), F.col("mix_key")) <= F.col("cutoff")
     ).cast("long")
+    added = ["mix_domain", "mix_tokens", "mix_copies"]
+    kept = [F.col(f"row.`{c}`") for c in docs.columns if c not in added]
     return (
         named.join(small_side(cut), levels)
         .withColumn("mix_copies", copies)
         .where("mix_copies > 0")
-        .drop("mix_lang", "mix_source", "mix_key", "epochs", "cutoff")
+        .select(*kept, *added)
     )

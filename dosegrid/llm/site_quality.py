@@ -117,9 +117,10 @@ def fit_classifier(
         .orderBy(F.xxhash64(F.lit("fit"), "labelled"), "labelled")
         .limit(fit_rows)
     )
-    sample = durable(
-        docs.join(F.broadcast(picked), F.col("doc_id") == F.col("labelled")).select("good", "text")
-    )
+    # An id may stand in several rows, so the bound holds for the rows that are found.
+    place = F.xxhash64(F.lit("fit"), "doc_id", "text")
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("labelled"))
+    sample = durable(found.orderBy(place, "doc_id", "text").limit(fit_rows).select("good", "text"))
     n = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum("good"), F.lit(0))).first()
     rate = (n[1] + 1) / (n[0] + 2)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

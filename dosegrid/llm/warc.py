@@ -27,7 +27,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from dosegrid.session import scratch_path
+from dosegrid.session import broadcast_if_small, durable, scratch_path
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, date string, "
@@ -43,6 +43,10 @@ FIELDS = {
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To",
 }
+LENGTH, KIND = "Content-Length", "Content-Type"
+_KNOWN = {name.lower(): name for name in (*FIELDS.values(), LENGTH, KIND)}
+#: Name in ``headers`` for the HTTP head of a record, which stands before the payload in its block.
+HTTP = "http"
 VERSION = "WARC/1.1"
 DONE = "_archives"
 _CHUNK = 1 << 16
@@ -75,7 +79,7 @@ def member(record: bytes, level: int = 1) -> bytes:
 def record_bytes(headers: dict[str, str], payload: bytes) -> bytes:
     """One record in plain form."""
     lines = [VERSION, *(f"{k}: {_one_line(v)}" for k, v in headers.items() if v is not None)]
-    lines.append(f"Content-Length: {len(payload)}")
+    lines.append(f"{LENGTH}: {len(payload)}")
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
 
 
@@ -158,56 +162,102 @@ class _Member(_Plain):
         self.held = self.held[n:]
 
     def close(self) -> None:
-        """Go to the next member: by the stored length, or by unpacking to the end."""
-        if self.size:
-            self.file.seek(self.start + self.size)
-            return
-        while not self.unpack.eof and self.more():
-            pass
-        self.file.seek(-len(self.unpack.unused_data), io.SEEK_CUR)
+        """Go to the next member, by the stored length."""
+        self.file.seek(self.start + self.size)
+
+
+class _Members(_Plain):
+    """The plain bytes of all gzip members on from here, one after another."""
+
+    def __init__(self, file: BinaryIO) -> None:
+        super().__init__(file)
+        self.unpack = zlib.decompressobj(zlib.MAX_WBITS | 16)
+
+    def more(self) -> bytes:
+        out = b""
+        while not out:
+            packed = self.unpack.unconsumed_tail or self.unpack.unused_data or self.file.read(_CHUNK)
+            if not packed:
+                break
+            if self.unpack.eof:
+                if not packed.strip(b"\0"):  # padding behind the last member
+                    break
+                self.unpack = zlib.decompressobj(zlib.MAX_WBITS | 16)
+            out = self.unpack.decompress(packed, _CHUNK)
+        return out
+
+    def skip(self, n: int) -> None:
+        while n > len(self.held):
+            n -= len(self.held)
+            self.held = self.more()
+            if not self.held:
+                raise ValueError("cut off within a record")
+        self.held = self.held[n:]
 
 
 Head = dict[str, str]
 
 
 def _head(stream: _Plain) -> Head | None:
-    text = stream.until(b"\r\n\r\n")
-    if text is None:
-        return None
+    """Header of the next record; names that are known are spelt as the format has them."""
+    text = b""
+    while not text.strip():  # the blank lines behind the record before
+        text = stream.until(b"\r\n\r\n")
+        if text is None:
+            return None
     version, *lines = text.decode("utf-8", "replace").strip().split("\r\n")
     if not version.startswith("WARC/"):
         raise ValueError(f"not a WARC record: {version[:40]!r}")
     head = {}
     for line in lines:
         name, _, value = line.partition(":")
-        head[name.strip()] = value.strip()
+        name = name.strip()
+        head[_KNOWN.get(name.lower(), name)] = value.strip()
     return head
 
 
+def _taken(
+    stream: _Plain, wanted: Callable[[Head], bool], payloads: bool
+) -> Iterator[tuple[Head, bytes | None]]:
+    while (head := _head(stream)) is not None:
+        size, take = int(head.get(LENGTH, 0)), wanted(head)
+        payload = stream.read(size) if take and payloads else None
+        if payload is None:
+            stream.skip(size)
+        if take:
+            yield head, payload
+
+
+def http_body(head: Head, block: bytes) -> tuple[str | None, bytes]:
+    """HTTP head and payload of a block, if the record says that it holds such a message."""
+    if not head.get(KIND, "").lower().startswith("application/http"):
+        return None, block
+    text, found, body = block.partition(b"\r\n\r\n")
+    return (text.decode("utf-8", "replace"), body) if found else (None, block)
+
+
 def records(
     file: BinaryIO, wanted: Callable[[Head], bool], payloads: bool
 ) -> Iterator[tuple[Head, bytes | None]]:
-    """Records whose header is wanted. Other payloads are passed over, not decoded."""
+    """Records whose header is wanted. Other payloads are passed over, not decoded.
+
+    Members that carry their length are passed over as a whole. Others are
+    unpacked, however many records one member holds, or members a record takes.
+    """
     start = file.read(2)
     file.seek(0)
     if start != b"\x1f\x8b":
-        stream = _Plain(file)
-        while (head := _head(stream)) is not None:
-            size = int(head.get("Content-Length", 0))
-            if take := wanted(head):
-                payload = stream.read(size) if payloads else None
-            if not take or not payloads:
-                stream.skip(size)
-            stream.skip(4)
-            if take:
-                yield head, payload
+        yield from _taken(_Plain(file), wanted, payloads)
         return
     while file.read(1):
         file.seek(-1, io.SEEK_CUR)
         stream = _Member(file)
+        if not stream.size:
+            yield from _taken(_Members(file), wanted, payloads)
+            return
         head = _head(stream)
         if head is not None and wanted(head):
-            yield head, stream.read(int(head.get("Content-Length", 0))) if payloads else None
+            yield head, stream.read(int(head.get(LENGTH, 0))) if payloads else None
         stream.close()
 
 
@@ -217,7 +267,11 @@ class _Files(InputPartition):
 
 
 class WarcReader(DataSourceReader):
-    """Reads archives file by file; tests on header fields are made before a payload is touched."""
+    """Reads archives file by file; tests on header fields are made before a payload is touched.
+
+    The payload of a record that holds an HTTP message is its body; the head is
+    in ``headers`` then, under ``http``. content_length is that of the block.
+    """
 
     def __init__(self, options: dict[str, str], schema: StructType) -> None:
         self.path = options["path"]
@@ -276,9 +330,9 @@ class WarcReader(DataSourceReader):
             with store.open_input_file(path) as file:
                 for head, payload in records(file, self._wanted, payloads):
                     row: dict[str, Any] = {k: head.get(v) for k, v in FIELDS.items()}
-                    row["headers"] = head
-                    row["content_length"] = int(head.get("Content-Length", 0))
-                    row["payload"] = payload
+                    row["content_length"] = int(head.get(LENGTH, 0))
+                    http, row["payload"] = http_body(head, payload) if payload else (None, payload)
+                    row["headers"] = head if http is None else head | {HTTP: http}
                     yield tuple(row[c] for c in self.columns)
 
 
@@ -327,8 +381,10 @@ class WarcWriter(DataSourceArrowWriter):
     def _record(self, row: dict[str, Any]) -> bytes:
         headers = dict(row.get("headers") or [])
         headers |= {v: row[k] for k, v in FIELDS.items() if row.get(k) is not None}
-        headers.pop("Content-Length", None)
-        record = record_bytes(headers, row.get("payload") or b"")
+        headers.pop(LENGTH, None)
+        http, payload = headers.pop(HTTP, None), row.get("payload") or b""
+        block = payload if http is None else http.encode() + b"\r\n\r\n" + payload
+        record = record_bytes(headers, block)
         return member(record) if self.gzip else record
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -391,7 +447,10 @@ def page_records(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
         .where("owner > other")
         .drop("other")
     )
-    revisits = ids.join(owners, "digest").where("page_id < owner").distinct()
+    # Few pages are revisits; where their list is small, the bodies stay where they are.
+    revisits = broadcast_if_small(
+        durable(ids.join(owners, "digest").where("page_id < owner").distinct())
+    )
     again = F.col("owner").isNotNull()
     return (
         hashed.join(revisits, ["page_id", "digest"], "left")

@@ -19,5 +19,5 @@ def clashing(make_docs):
     """Add columns with the names that operators use for themselves."""
     from pyspark.sql import functions as F
 
-    names = "n_words words spans kept node label cluster task batch bucket hits items keys p host path base url key place gone".split()
-    return lambda df: df.withColumns({n: F.lit("x") for n in names})
+    names = "n_words words spans kept node label cluster task batch bucket hits items keys p host path base url key place gone good labelled epochs cutoff mix_lang mix_key domain n_tokens copies text_hash row digest size owner".split()
+    return lambda df: df.withColumns({n: F.lit("x") for n in names if n not in df.columns})

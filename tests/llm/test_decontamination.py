@@ -36,6 +36,26 @@ def found(df):
     )
 
 
+def test_blocks_give_the_same_in_one_scan_each(spark, make_docs, make_items, monkeypatch):
+    from dosegrid.llm import decontamination
+
+    rng = random.Random(9)
+    items = [(i, sentence(rng.choice([3, 12, 30]), i, "abcd")) for i in range(20)]
+    docs = [(i, f"{sentence(5, 90 + i)} {rng.choice(items)[1]} {rng.choice(items)[1]}") for i in range(20)]
+    docs += [(3, docs[3][1]), (None, items[1][1]), (21, None)]
+    kept = []
+    stored = decontamination.durable
+    monkeypatch.setattr(decontamination, "durable", lambda df: kept.append(df) or stored(df))
+    whole = find_items(make_docs(docs), make_items(items))
+    assert not kept
+    cut = find_items(make_docs(docs), make_items(items), block_bytes=200)
+    assert len(kept) > 4
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in kept]
+    assert all(p.count("MapInArrow") <= 1 for p in plans)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(cut) == rows(whole)
+
+
 @pytest.fixture
 def make_items(spark):
     return lambda rows: spark.createDataFrame(rows, "item_id long, text string")

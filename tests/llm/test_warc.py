@@ -101,6 +101,45 @@ def test_members_without_lengths_and_damage():
     assert list(records(io.BytesIO(b""), lambda h: True, True)) == []
 
 
+def test_one_member_holds_many_records():
+    rows = [record_bytes({"WARC-Type": "response", "WARC-Record-ID": str(i)}, bytes([i]) * 100_000) for i in range(3)]
+    whole = gzip.compress(b"".join(rows))
+    cut = b"".join(gzip.compress(b"".join(rows)[at : at + 70_000]) for at in range(0, 400_000, 70_000))
+    for data in (whole, cut, whole + whole, cut + bytes(512)):
+        found = list(records(io.BytesIO(data), lambda h: True, True))
+        assert [(h["WARC-Record-ID"], len(p)) for h, p in found][:3] == [(str(i), 100_000) for i in range(3)]
+        assert len(found) == (6 if data == whole + whole else 3)
+        some = list(records(io.BytesIO(data), lambda h: h["WARC-Record-ID"] == "2", True))
+        assert [p for _, p in some][0] == rows[2][-100_004:-4]
+
+
+def test_header_names_in_any_case():
+    text = b"WARC/1.0\r\nwarc-type: response\r\nWARC-RECORD-ID: <a>\r\ncontent-length: 5\r\nX-Own: 1\r\n\r\nhello\r\n\r\n"
+    odd = b"\r\n" + text + b"\r\n\r\n" + text.rstrip()  # more blank lines than there should be, and none at the end
+    found = list(records(io.BytesIO(odd), lambda h: h["WARC-Type"] == "response", True))
+    assert [(h["WARC-Record-ID"], h["X-Own"], p) for h, p in found] == [("<a>", "1", b"hello")] * 2
+
+
+def test_http_messages(spark, tmp_path):
+    register(spark)
+    block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>\r\n\r\nbody</p>"
+    head = {"WARC-Type": "response", "WARC-Record-ID": "<a>", "Content-Type": "application/http; msgtype=response"}
+    (tmp_path / "a.warc").write_bytes(record_bytes(head, block))
+    read = spark.read.format("warc").load(f"file://{tmp_path}/a.warc")
+    row = read.first()
+    assert bytes(row.payload) == b"<p>\r\n\r\nbody</p>" and row.content_length == len(block)
+    assert row.headers["http"].startswith("HTTP/1.1 200 OK")
+    read.write.format("warc").mode("append").save(f"file://{tmp_path}/b")
+    again = spark.read.format("warc").load(f"file://{tmp_path}/b").first()
+    assert bytes(again.payload) == bytes(row.payload) and again.headers["http"] == row.headers["http"]
+
+
+def test_clashing_columns_and_no_broadcast(make_pages, clashing, no_broadcast):
+    rows = [(i, "u", f"{i % 3}" * 1500) for i in range(9)]
+    got = through_archives(clashing(make_pages(rows))).drop("url").collect()
+    assert sorted((tuple(r) for r in got), key=str) == plain(rows)
+
+
 def test_unlisted_archives_are_not_read(spark, make_pages, tmp_path):
     path = f"file://{tmp_path}/a"
     write_archives(make_pages([(1, "u", "one"), (2, "v", "two")]), path)
