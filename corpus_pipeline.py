@@ -43,10 +43,13 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken into the mix, with the times each is read."""
+    """Documents taken into the mix, with the times each is read.
+
+    Columns domain, n_tokens and copies are added, in place of any of these names.
+    """
     taken = mixed(docs)
     return taken.select(
-        *docs.columns,
+        *(F.col(f"`{c}`") for c in docs.columns if c not in ("domain", "n_tokens", "copies")),
         F.col("mix_domain").alias("domain"),
         F.col("mix_tokens").alias("n_tokens"),
         F.col("mix_copies").alias("copies"),
