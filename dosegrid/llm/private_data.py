@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import copy
+import pickle
 import re
-from collections import Counter
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dosegrid.llm.common import slices
+from dosegrid.session import durable
 
 #: Kinds in the order of the report; label 0 of the field is "none".
 KINDS = ("email", "ip", "card", "phone")
@@ -79,188 +82,300 @@ def base_spans(text: str) -> list[Span]:
     ]
 
 
+#: Places of hashed features.
+FEATURES = 1 << 14
+LABELS = 1 + len(KINDS)
+#: Edges: neighbours, equal tokens, similar tokens.
+CHAIN, EQUAL, SIMILAR = range(3)
+_EDGE_KINDS = 3
+_BIAS = zlib.crc32(b"bias") % FEATURES
+_AROUND = ".,;:!?\"'<>[]{}"
+
+
 class _Token:
-    """A token with a digit or an @, without the punctuation around it."""
+    """A token with a digit or an @, without the punctuation around it, and its features."""
 
-    __slots__ = ("start", "end", "shape", "key", "label")
+    __slots__ = ("start", "end", "features", "keys", "label")
 
-    def __init__(self, start: int, core: str, label: int) -> None:
+    def __init__(self, start: int, core: str, near: tuple[str, str, str], label: int) -> None:
         self.start, self.end, self.label = start, start + len(core), label
         digits = _digits(core)
         n = len(digits)
         size = sum(n >= limit for limit in (1, 4, 6, 7, 9, 10, 13, 16, 20))
-        marks = "".join(c for c in "@+(-" if c in core)
         letters = "a" if any(c.isalpha() for c in core) else ""
         sums = "L" if 13 <= n <= 19 and luhn(digits) else ""
-        self.shape = f"{size}{marks}{min(core.count('.'), 3)}{letters}{sums}"
-        if "@" in core:
-            self.key: str | None = core.partition("@")[0].lower()
-        else:
-            self.key = digits[-7:] if n >= 6 else None
+        dots = min(core.count("."), 3)
+        marks = "".join(c for c in "@+(-" if c in core)
+        form = re.sub("[0-9]+", lambda m: f"9{min(len(m[0]), 5)}", core) if len(core) < 40 else "long"
+        told = [
+            "bias",
+            f"shape={size}{marks}{dots}{letters}{sums}",
+            f"size={size}{letters}{sums}",
+            f"form={re.sub('[^0-9@+().:/=_-]+', 'a', form)}",
+            f"marks={marks}{dots}",
+            *(f"{place}={word}" for place, word in zip(("before2", "before", "after"), near)),
+        ]
+        self.features = [zlib.crc32(f.encode()) % FEATURES for f in told]
+        self.keys = _keys(core, digits)
+
+
+def _keys(core: str, digits: str) -> tuple[list[str], list[str]]:
+    """What equal tokens share, and what similar ones do.
+
+    Numbers are equal by their last seven digits, and similar if the last nine
+    differ by one digit. Names before an @ are equal whatever their case, and
+    similar without marks, digits and what follows a plus.
+    """
+    if "@" in core:
+        name = core.partition("@")[0].lower()
+        plain = re.sub("[^a-z]", "", name.partition("+")[0])
+        return ([f"@{name}"] if name else []), ([f"~{plain}"] if len(plain) > 2 else [])
+    if len(digits) < 6:
+        return [], []
+    last = digits[-9:]
+    cut = sorted({f"~{len(last)}{last[:i]}-{last[i + 1 :]}" for i in range(len(last))}) if len(digits) >= 9 else []
+    return [digits[-7:]], cut
 
 
 def _tokens(text: str, spans: list[Span]) -> list[_Token]:
-    found = []
     order = sorted((start, end, KINDS.index(kind) + 1) for kind, start, end in spans)
-    at = 0
-    for match in _TOKEN.finditer(text):
+    words = list(_TOKEN.finditer(text))
+    bare = lambda i: words[i][0].strip(_AROUND).lower()[:20] if 0 <= i < len(words) else ""
+    found, at, open_spans = [], 0, []
+    for i, match in enumerate(words):
         word = match[0]
-        if _HINT.search(word):
-            core = word.strip(".,;:!?\"'<>[]{}")
-            if not core:
-                continue
-            start = match.start() + word.index(core)
-            end = start + len(core)
-            while at < len(order) and order[at][1] <= start:
-                at += 1
-            inside = [k for a, b, k in order[at : at + 8] if a < end and b > start]
-            found.append(_Token(start, core, inside[0] if inside else 0))
+        core = word.strip(_AROUND) if _HINT.search(word) else ""
+        if not core:
+            continue
+        start = match.start() + word.index(core)
+        end = start + len(core)
+        while at < len(order) and order[at][0] < end:
+            open_spans.append(order[at])
+            at += 1
+        open_spans = [span for span in open_spans if span[1] > start]
+        near = tuple(_DIGITS.sub("9", bare(j)) for j in (i - 2, i - 1, i + 1))
+        found.append(_Token(start, core, near, open_spans[0][2] if open_spans else 0))
     return found
 
 
-def _edges(tokens: list[_Token]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Neighbours in the text, and each token with the last one before it that resembles it."""
-    chain = [
-        (i, i + 1) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if b.start - a.end <= 3
+def _edges(tokens: list[_Token]) -> list[tuple[int, int, int]]:
+    """(token, token, kind): neighbours, and each token with the last ones that resemble it."""
+    edges = [
+        (i, i + 1, CHAIN) for i, (a, b) in enumerate(zip(tokens, tokens[1:])) if b.start - a.end <= 3
     ]
-    skip, seen = [], {}
+    seen: dict[str, int] = {}
     for i, token in enumerate(tokens):
-        if token.key:
-            if token.key in seen:
-                skip.append((seen[token.key], i))
-            seen[token.key] = i
-    return chain, skip
-
+        linked: set[int] = set()
+        for kind, keys in zip((EQUAL, SIMILAR), token.keys):
+            for key in keys:
+                other = seen.get(key)
+                if other is not None and other not in linked:
+                    linked.add(other)
+                    edges.append((other, i, kind))
+                seen[key] = i
+    return edges
+
+
+class Graph:
+    """Tokens of some texts with their edges, as arrays."""
+
+    def __init__(self, texts: list[list[_Token]]) -> None:
+        edges: list[tuple[int, int, int]] = []
+        first = 0
+        for tokens in texts:
+            edges += [(a + first, b + first, kind) for a, b, kind in _edges(tokens)]
+            first += len(tokens)
+        every = [t for tokens in texts for t in tokens]
+        self.n = len(every)
+        self.labels = np.array([t.label for t in every], np.int64)
+        self.feature = np.array([f for t in every for f in t.features], np.int64)
+        self.owner = np.repeat(np.arange(self.n), [len(t.features) for t in every])
+        self.pairs = np.array(edges, np.int64).reshape(-1, 3)
+
+    def without(self, tokens: np.ndarray) -> Graph:
+        """The same with nothing known of some tokens but their edges."""
+        out = copy.copy(self)
+        use = ~tokens[self.owner] | (self.feature == _BIAS)
+        out.feature, out.owner = self.feature[use], self.owner[use]
+        return out
+
+    def scores(self, field: Field) -> np.ndarray:
+        out = np.zeros((self.n, LABELS))
+        np.add.at(out, self.owner, field.weights[self.feature])
+        return out
 
-LABELS = 1 + len(KINDS)
+    def beliefs(
+        self, field: Field, given: np.ndarray | None = None, rounds: int = 8
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Log-potentials of each label after loopy messages, and the messages of the edges.
+
+        ``given`` has the label of each token, or -1 where it is open. Messages
+        go along all edges at once, first from the first to the second token of
+        each, then back.
+        """
+        nodes = self.scores(field)
+        if given is not None:
+            known = np.flatnonzero(given >= 0)
+            nodes[known] = -30.0
+            nodes[known, given[known]] = 0.0
+        a, b, kind = self.pairs.T
+        n = len(a)
+        source, target = np.concatenate((a, b)), np.concatenate((b, a))
+        back = np.concatenate((np.arange(n, 2 * n), np.arange(n)))
+        of_kind = [np.flatnonzero(np.concatenate((kind, kind)) == k) for k in range(_EDGE_KINDS)]
+        powers = np.exp(field.edges)
+        messages = np.zeros((2 * n, LABELS))
+        total = nodes
+        for _ in range(rounds if n else 0):
+            sent = total[source] - messages[back]
+            sent = np.exp(sent - sent.max(axis=1, keepdims=True))
+            new = np.empty_like(messages)
+            for at, power in zip(of_kind, powers):
+                new[at] = np.log(sent[at] @ power + 1e-300)
+            new -= new.max(axis=1, keepdims=True)
+            messages = 0.5 * messages + 0.5 * new
+            total = nodes.copy()
+            np.add.at(total, target, messages)
+        return total, messages
+
+    def pair_shares(self, field: Field, total: np.ndarray, messages: np.ndarray) -> np.ndarray:
+        """Probabilities of the label pairs of each edge."""
+        a, b, kind = self.pairs.T
+        n = len(a)
+        left, right = total[a] - messages[n:], total[b] - messages[:n]
+        return _shares(left[:, :, None] + right[:, None, :] + field.edges[kind])
+
+
+def _shares(potentials: np.ndarray) -> np.ndarray:
+    """Probabilities from log-potentials, over all axes but the first."""
+    if not len(potentials):
+        return potentials
+    flat = potentials.reshape(len(potentials), -1)
+    flat = np.exp(flat - flat.max(axis=1, keepdims=True))
+    return (flat / flat.sum(axis=1, keepdims=True)).reshape(potentials.shape)
 
 
 class Field:
-    """Potentials of the field, trained piece by piece from counts of labelled tokens.
-
-    The node potential is the share of a label among tokens of one shape. An
-    edge potential says how much likelier a label is beside another along an
-    edge than anywhere, taken from both ends. Counts are smoothed.
-    """
-
-    def __init__(self, counts: dict[tuple[str, str], list[float]]) -> None:
-        rare = np.array([1.0, *[0.05] * len(KINDS)])
-        nodes = {shape: np.array(n) for (kind, shape), n in counts.items() if kind == "node"}
-        self.shapes = {s: np.log((n + rare) / (n + rare).sum()) for s, n in nodes.items()}
-        self.unknown = np.log(rare / rare.sum())
-        anywhere = sum(nodes.values(), rare.copy())
-        anywhere /= anywhere.sum()
-        self.chain = self._affinity(counts.get(("edge", "chain")), anywhere)
-        self.skip = self._affinity(counts.get(("edge", "skip")), anywhere)
-
-    @staticmethod
-    def _affinity(counts: list[float] | None, anywhere: np.ndarray) -> np.ndarray:
-        pairs = np.array(counts or [0.0] * LABELS**2).reshape(LABELS, LABELS)
-        pairs = pairs + pairs.T + 0.1 * np.outer(anywhere, anywhere) + 0.1 * np.diag(anywhere)
-        beside = np.log(pairs / pairs.sum(axis=1, keepdims=True) / anywhere)
-        return (beside + beside.T) / 2
-
-    def node(self, token: _Token) -> np.ndarray:
-        if token.label:  # found by the base patterns: given
-            given = np.full(LABELS, -30.0)
-            given[token.label] = 0.0
-            return given
-        return self.shapes.get(token.shape, self.unknown)
-
-    def beliefs(
-        self, tokens: list[_Token], chain: list, skip: list, rounds: int = 8
-    ) -> np.ndarray:
-        """Label probabilities by loopy sum-product messages over all edges at once."""
-        nodes = np.array([self.node(t) for t in tokens])
-        pairs = np.array([*chain, *skip], np.int64).reshape(-1, 2)
-        if len(pairs):
-            source = np.concatenate((pairs[:, 0], pairs[:, 1]))
-            target = np.concatenate((pairs[:, 1], pairs[:, 0]))
-            back = np.concatenate((np.arange(len(pairs), 2 * len(pairs)), np.arange(len(pairs))))
-            kinds = np.exp(np.array([self.chain] * len(chain) + [self.skip] * len(skip)))
-            kinds = np.concatenate((kinds, kinds))
-            messages = np.zeros((len(source), LABELS))
-            for _ in range(rounds):
-                total = nodes.copy()
-                np.add.at(total, target, messages)
-                sent = total[source] - messages[back]
-                sent = np.exp(sent - sent.max(axis=1, keepdims=True))
-                new = np.log(np.einsum("ei,eij->ej", sent, kinds) + 1e-300)
-                new -= new.max(axis=1, keepdims=True)
-                messages = 0.5 * messages + 0.5 * new
-            np.add.at(nodes, target, messages)
-        nodes = np.exp(nodes - nodes.max(axis=1, keepdims=True))
-        return nodes / nodes.sum(axis=1, keepdims=True)
+    """A skip-chain conditional random field: weights of features and of edges by label."""
+
+    def __init__(self) -> None:
+        self.weights = np.zeros((FEATURES, LABELS))
+        self.edges = np.zeros((_EDGE_KINDS, LABELS, LABELS))
+
+    def slopes(self, graph: Graph, given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slopes of the log-likelihood; edge weights are the same in both directions."""
+        shares, pairs = [], []
+        for labels in (given, None):
+            total, messages = graph.beliefs(self, labels)
+            shares.append(_shares(total))
+            pairs.append(graph.pair_shares(self, total, messages))
+        slope, slope_edges = np.zeros_like(self.weights), np.zeros_like(self.edges)
+        np.add.at(slope, graph.feature, (shares[0] - shares[1])[graph.owner])
+        difference = pairs[0] - pairs[1]
+        np.add.at(slope_edges, graph.pairs[:, 2], (difference + difference.transpose(0, 2, 1)) / 2)
+        return slope, slope_edges
+
+    def fit(self, graph: Graph, rounds: int = 100, prior: float = 0.02) -> Field:
+        """Raise the likelihood of the labels by adaptive gradient steps.
+
+        The slope is the difference of what features and edges are expected
+        with the labels given and without, both by loopy messages. A token
+        without a label that an edge of resemblance links to a labelled one is
+        left open: it may be what the patterns miss. In each round the features
+        of every other token, by chance, are left out, so that edges have to
+        tell labels as well.
+        """
+        given = graph.labels.copy()
+        for a, b, kind in graph.pairs:
+            if kind != CHAIN:
+                for one, other in ((a, b), (b, a)):
+                    if graph.labels[one] and not graph.labels[other]:
+                        given[other] = -1
+        n = max(1, graph.n)
+        squares, squares_edges = np.full_like(self.weights, 1e-8), np.full_like(self.edges, 1e-8)
+        chance = np.random.default_rng(5)
+        for _ in range(rounds if graph.n else 0):
+            slope, slope_edges = self.slopes(graph.without(chance.random(graph.n) < 0.5), given)
+            slope = (slope - prior * self.weights) / n
+            slope_edges = (slope_edges - prior * self.edges) / n
+            squares += slope**2
+            squares_edges += slope_edges**2
+            self.weights += 0.3 * slope / np.sqrt(squares)
+            self.edges += 0.3 * slope_edges / np.sqrt(squares_edges)
+        return self
+
+
+def _merged(text: str, tokens: list[tuple[_Token, int]]) -> list[Span]:
+    """Tokens of one kind with nothing but blanks and number marks between them are one span."""
+    spans: list[Span] = []
+    for token, label in tokens:
+        kind = KINDS[label - 1]
+        if spans and spans[-1][0] == kind != "email" and not text[spans[-1][2] : token.start].strip(" ().-"):
+            spans[-1] = (kind, spans[-1][1], token.end)
+        else:
+            spans.append((kind, token.start, token.end))
+    return spans
 
 
 def _all_spans(texts: list[str | None], field: Field, sure: float) -> list[list[tuple[Span, bool]]]:
     """Base spans and added ones (False) of each text; one field for all texts of a batch."""
-    every: list[list[tuple[Span, bool]]] = []
-    tokens: list[_Token] = []
-    owner: list[int] = []
-    chain: list[tuple[int, int]] = []
-    skip: list[tuple[int, int]] = []
-    for text in texts:
-        spans = base_spans(text) if text else []
-        if text and _HINT.search(text):
-            own = _tokens(text, spans)
-            # Without a token that is labelled, or one that the field may label, nothing can change.
-            if any(t.label for t in own) or any(field.node(t)[0] < np.log(sure) for t in own):
-                near, far = _edges(own)
-                first = len(tokens)
-                chain += [(a + first, b + first) for a, b in near]
-                skip += [(a + first, b + first) for a, b in far]
-                tokens += own
-                owner += [len(every)] * len(own)
-        every.append([(s, True) for s in spans])
-    if tokens:
-        beliefs = field.beliefs(tokens, chain, skip)
-        labels = beliefs[:, 1:].argmax(axis=1) + 1
-        for i in np.flatnonzero(beliefs.max(axis=1) >= sure):
-            token, best = tokens[i], int(labels[i])
-            if not token.label and beliefs[i, best] >= sure:
-                every[owner[i]].append(((KINDS[best - 1], token.start, token.end), False))
-    for spans in every:
-        spans.sort(key=lambda s: (KINDS.index(s[0][0]), s[0][1]))
+    base = [base_spans(text) if text else [] for text in texts]
+    tokens = [
+        _tokens(text, spans) if text and _HINT.search(text) else [] for text, spans in zip(texts, base)
+    ]
+    graph = Graph(tokens)
+    # Tokens in base spans have their label given, the others are open.
+    beliefs = _shares(graph.beliefs(field, np.where(graph.labels > 0, graph.labels, -1))[0])
+    best = beliefs[:, 1:].argmax(axis=1) + 1
+    added = (graph.labels == 0) & (beliefs[np.arange(graph.n), best] >= sure)
+    every, first = [], 0
+    for text, spans, own in zip(texts, base, tokens):
+        new = [(own[i], int(best[first + i])) for i in range(len(own)) if added[first + i]]
+        first += len(own)
+        found = [(s, True) for s in spans] + [(s, False) for s in _merged(text or "", new)]
+        every.append(sorted(found, key=lambda s: (KINDS.index(s[0][0]), s[0][1])))
     return every
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of labels by shape and by edge, as the base patterns label tokens."""
-    counts: Counter = Counter()
-    for batch in batches:
+def _with_hint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of texts that may hold personal data, without what is not used of them."""
+    for batch in slices(batches):
+        kept = []
         for text in batch.column("text").to_pylist():
-            if text and _HINT.search(text):
-                tokens = _tokens(text, base_spans(text))
-                counts.update(("node", t.shape, t.label) for t in tokens)
-                for name, pairs in zip(("chain", "skip"), _edges(tokens)):
-                    counts.update(
-                        ("edge", name, LABELS * tokens[a].label + tokens[b].label) for a, b in pairs
-                    )
-    kinds, names, at = zip(*counts) if counts else ((), (), ())
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(kinds, pa.string()), pa.array(names, pa.string()), pa.array(at, pa.int32()),
-         pa.array(list(counts.values()), pa.int64())],
-        ["kind", "name", "at", "n"],
-    )
-
-
-def fit_field(docs: DataFrame, fit_rows: int = 4000) -> Field:
-    """Train on ``fit_rows`` documents at most, which a hash of their ids picks.
-
-    Tokens are labelled by the base patterns; what comes back is one count per
-    shape and label.
+            tokens = _tokens(text, base_spans(text)) if text and _HINT.search(text) else []
+            kept.append([(t.start, t.end, t.features, *t.keys, t.label) for t in tokens])
+        columns = [pa.array([pickle.dumps(k) for k in kept], pa.binary()), pa.array([len(k) for k in kept], pa.int64())]
+        yield pa.RecordBatch.from_arrays([batch.column("place"), *columns], ["place", "tokens", "n"])
+
+
+def _restored(rows: list[tuple]) -> list[_Token]:
+    tokens = []
+    for start, end, features, equal, similar, label in rows:
+        token = _Token.__new__(_Token)
+        token.start, token.end, token.features = start, end, features
+        token.keys, token.label = (equal, similar), label
+        tokens.append(token)
+    return tokens
+
+
+def fit_field(docs: DataFrame, fit_rows: int = 4000, fit_tokens: int = 60_000) -> Field:
+    """Train on ``fit_rows`` rows at most that a hash picks, and on about ``fit_tokens`` tokens.
+
+    Rows are those with a digit or an @. Their tokens are labelled by the base
+    patterns; rows are taken in the order of the hash until they have so many
+    tokens, and no more than these reach the driver.
     """
-    order = F.xxhash64(F.lit("fit"), "doc_id")
-    picked = docs.select(F.col("doc_id").alias("picked"), order.alias("o")).orderBy("o", "picked")
-    picked = F.broadcast(picked.limit(fit_rows).select("picked").distinct())
-    sample = docs.select("doc_id", "text").join(picked, F.col("doc_id").eqNullSafe(F.col("picked")), "left_semi")
-    counted = sample.select("text").mapInArrow(_count, "kind string, name string, at int, n long")
-    counts: dict[tuple[str, str], list[float]] = {}
-    for row in counted.groupBy("kind", "name", "at").agg(F.sum("n").alias("n")).collect():
-        size = LABELS if row["kind"] == "node" else LABELS**2
-        counts.setdefault((row["kind"], row["name"]), [0.0] * size)[row["at"]] = float(row["n"])
-    return Field(counts)
+    place = F.xxhash64(F.lit("fit"), "doc_id", "text")
+    told = docs.select("text", place.alias("place")).where(F.col("text").rlike("[0-9@]"))
+    picked = durable(told.orderBy("place", "text").limit(fit_rows))
+    rows = picked.mapInArrow(_with_hint, "place long, tokens binary, n long").where("n > 0")
+    texts, total = [], 0
+    for row in rows.orderBy("place", "tokens").toLocalIterator():
+        if texts and total + row["n"] > fit_tokens:
+            break
+        texts.append(_restored(pickle.loads(row["tokens"])))
+        total += row["n"]
+    return Field().fit(Graph(texts))
 
 
 def _joined(spans: list[Span]) -> str:
@@ -294,12 +409,12 @@ def find_private_data(
     """Personal data of each document.
 
     Fixed patterns give the base spans. A skip-chain conditional random field
-    over the tokens with a digit or an @ adds spans: neighbours are linked, and
-    so are distant tokens with the same digits at the end or the same name
-    before an @. Tokens in base spans have their label given; messages are
-    passed for a fixed number of rounds, and a token is added if one label has
-    a probability of ``sure``. The field is trained on ``fit_rows`` documents
-    at most, unless it is given.
+    over the tokens with a digit or an @ adds spans. Features are the form of a
+    token and the words beside it; neighbours are linked, and so are distant
+    tokens that are equal or similar numbers or names. Tokens in base spans have
+    their label given; messages are passed for a fixed number of rounds, and a
+    token is added if one label has a probability of ``sure``. The field is
+    trained by likelihood (:func:`fit_field`), unless it is given.
 
     Returns per row: doc_id, n_email, n_ip, n_card, n_phone (base spans), base
     and spans (kind:start:end, joined by commas; code points, end exclusive).
