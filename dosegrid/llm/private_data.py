@@ -358,20 +358,20 @@ def _restored(rows: list[tuple]) -> list[_Token]:
     return tokens
 
 
-def fit_field(docs: DataFrame, fit_rows: int = 4000, fit_tokens: int = 60_000) -> Field:
-    """Train on ``fit_rows`` rows at most that a hash picks, and on about ``fit_tokens`` tokens.
+def fit_field(docs: DataFrame, fit_rows: int = 4000, fit_tokens: int = 20_000) -> Field:
+    """Train on ``fit_rows`` rows and ``fit_tokens`` tokens at most, which a hash picks.
 
     Rows are those with a digit or an @. Their tokens are labelled by the base
-    patterns; rows are taken in the order of the hash until they have so many
-    tokens, and no more than these reach the driver.
+    patterns; rows are taken in the order of the hash as long as they have no
+    more tokens together, and no more than these reach the driver.
     """
     place = F.xxhash64(F.lit("fit"), "doc_id", "text")
     told = docs.select("text", place.alias("place")).where(F.col("text").rlike("[0-9@]"))
     picked = durable(told.orderBy("place", "text").limit(fit_rows))
-    rows = picked.mapInArrow(_with_hint, "place long, tokens binary, n long").where("n > 0")
+    rows = picked.mapInArrow(_with_hint, "place long, tokens binary, n long").where(F.col("n").between(1, fit_tokens))
     texts, total = [], 0
     for row in rows.orderBy("place", "tokens").toLocalIterator():
-        if texts and total + row["n"] > fit_tokens:
+        if total + row["n"] > fit_tokens:
             break
         texts.append(_restored(pickle.loads(row["tokens"])))
         total += row["n"]

@@ -9,7 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dosegrid.llm.common import covered, mixed, raw, rolling, slices, small_side
@@ -190,25 +190,61 @@ def measure_documents(
     )
 
 
-def bands(measured: DataFrame, width: float = 6.0, least: int = 30) -> DataFrame:
+#: Steps in which measures are counted, in one unit.
+TICKS = 10_000
+
+
+def _quartiles(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, measure, n, middle, spread) from counted ticks: median and interquartile range."""
+    ticks = counts.groupBy(*keys, "measure", "tick").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*keys, "measure")
+    upto = F.sum("n").over(group.orderBy("tick"))
+    placed = ticks.withColumns({"upto": upto, "total": F.sum("n").over(group)})
+    at = lambda q: F.min(F.when(F.col("upto") >= F.ceil(q * F.col("total")), F.col("tick"))) / TICKS
+    return placed.groupBy(*keys, "measure").agg(
+        F.first("total").alias("n"), at(0.5).alias("middle"), (at(0.75) - at(0.25)).alias("spread")
+    )
+
+
+def bands(measured: DataFrame, width: float = 6.0, prior: float = 30.0) -> DataFrame:
     """Accepted range of every measure by language and size class, over all documents.
 
     The middle is the median; the half width is ``width`` robust deviations
     (interquartile range / 1.349), at least a twentieth of the middle. Size classes
-    are powers of four of the number of words, as short texts vary more.
-    Classes of fewer than ``least`` documents get no band.
+    are powers of four of the number of words, as short texts vary more. The
+    figures of a class are drawn to those of its language, and these to those
+    of all documents, as if ``prior`` documents more stood there. Quartiles are
+    exact, of values in ticks, whatever task counts which rows.
     """
-    judged = measured.where(~base_failed())
-    quartiles = [
-        F.percentile_approx(F.element_at(m, 1), [0.25, 0.5, 0.75], 2000).alias(m) for m in MEASURES
+    tick = F.round(F.col("value") * TICKS).cast("long").alias("tick")
+    values = [F.struct(F.lit(m).alias("measure"), F.element_at(m, 1).alias("value")) for m in MEASURES]
+    counts = durable(
+        measured.where(~base_failed())
+        .select("lang", _size_class(), F.inline(F.array(*values)))
+        .groupBy("lang", "size_class", "measure", tick)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    found = _quartiles(counts, []).withColumnsRenamed({"middle": "up_middle", "spread": "up_spread"}).drop("n")
+    keys: list[str] = []
+    for key in ("lang", "size_class"):
+        own, above = _quartiles(counts, [*keys, key]).alias("o"), F.broadcast(found).alias("a")
+        same = F.col("o.measure") == F.col("a.measure")
+        for k in keys:
+            same = same & F.col(f"o.{k}").eqNullSafe(F.col(f"a.{k}"))
+        keys.append(key)
+        drawn = [
+            ((F.col("o.n") * F.col(f"o.{c}") + prior * F.col(f"a.up_{c}")) / (F.col("o.n") + prior)).alias(f"up_{c}")
+            for c in ("middle", "spread")
+        ]
+        found = own.join(above, same).select(*(f"o.{k}" for k in keys), "o.measure", *drawn)
+    half = F.greatest(width * F.col("up_spread") / 1.349, 0.05 * F.col("up_middle"))
+    edges = {"low": F.col("up_middle") - half, "high": F.col("up_middle") + half}
+    columns = [
+        F.first(F.when(F.col("measure") == m, edge), ignorenulls=True).alias(f"{m}_{side}")
+        for m in MEASURES
+        for side, edge in edges.items()
     ]
-    found = judged.groupBy("lang", _size_class()).agg(F.count(F.lit(1)).alias("n"), *quartiles)
-    columns = []
-    for m in MEASURES:
-        low, middle, high = (F.col(m)[i] for i in range(3))
-        half = F.greatest(width * (high - low) / 1.349, 0.05 * middle)
-        columns += [(middle - half).alias(f"{m}_low"), (middle + half).alias(f"{m}_high")]
-    return found.where(F.col("n") >= least).select("lang", "size_class", *columns)
+    return found.groupBy(*keys).agg(*columns)
 
 
 def _size_class() -> Column:

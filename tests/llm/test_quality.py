@@ -1,6 +1,7 @@
 """Quality rules: counts against plain Python, fertility against whole encodings, bands."""
 
 import collections
+import math
 import random
 
 import pytest
@@ -73,6 +74,54 @@ def test_bands_reject_what_is_far_out_and_keep_the_rest(make_docs):
     assert 1000 not in kept
 
 
+def plain_verdicts(rows, width=6.0, prior=30.0):
+    """{doc_id: kept} from the measures, by plain sorting."""
+    size_class = lambda r: math.floor(math.log2(max(1, r.n_words)) / 2)
+    judged = [r for r in rows if not r.base_failed]
+
+    def own(group, m):
+        ticks = sorted(round(getattr(r, m)[0] * 10_000) for r in group)
+        at = lambda q: ticks[math.ceil(q * len(ticks)) - 1] / 10_000
+        return at(0.5), at(0.75) - at(0.25)
+
+    def drawn(group, m, above):
+        n = len(group)
+        return tuple((n * x + prior * y) / (n + prior) for x, y in zip(own(group, m), above))
+
+    kept = {}
+    for r in rows:
+        kept[r.doc_id] = not r.base_failed
+        if r.base_failed:
+            continue
+        lang = [x for x in judged if x.lang == r.lang]
+        group = [x for x in lang if size_class(x) == size_class(r)]
+        for m in ("chars_per_token", "byte_share", "entropy"):
+            middle, spread = drawn(group, m, drawn(lang, m, own(judged, m)))
+            half, value = max(width * spread / 1.349, 0.05 * middle), getattr(r, m)[0]
+            high = m != "entropy" and value > middle + half + (0.05 if m == "byte_share" else 0)
+            kept[r.doc_id] &= not (high or (m != "byte_share" and value < middle - half))
+    return kept
+
+
+def test_verdicts_equal_plain_bands(spark, make_docs):
+    rng = random.Random(3)
+    rows = []
+    for i in range(260):
+        lang = rng.choice(["en", "en", "en", "de", "fr", None])
+        letters = {"en": "etaoinshr", "de": "äöüßen", "fr": "éèçaiu", None: "xyz"}[lang]
+        text = sentence(rng.choice([20, 60, 70, 300, 1200]), i, letters if i % 40 else "☃日本語")
+        rows.append((i, text, lang, "s", len(text)))
+    for docs in (make_docs(rows), spark.read.parquet("/root/testdata/sf0.001/documents.parquet")):
+        got = quality_report(docs.repartition(5), width=2.0).collect()
+        expected = plain_verdicts(got, width=2.0)
+        assert {r.doc_id: r.kept for r in got} == expected
+        assert len(set(expected.values())) == 2
+    good, odd = corpus()
+    got = quality_report(make_docs(good + odd)).collect()
+    assert {r.doc_id: r.kept for r in got} == plain_verdicts(got)
+    assert {r.doc_id for r in got if not r.kept} == {1000, 1001}
+
+
 def test_filter_keeps_columns_and_repeated_rows(make_docs, clashing):
     good, odd = corpus()
     rows = [*good, good[0], (None, good[1][1]), (None, "short"), (7, None), *odd]
