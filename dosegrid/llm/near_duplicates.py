@@ -26,7 +26,7 @@ from dosegrid.session import durable
 SHINGLE = 5
 #: Size of the universe that the two permutations act on.
 UNIVERSE = 1 << 20
-ROWS = 6
+ROWS = 8
 #: Shingles, over all its documents, that one comparing task takes.
 BLOCK_SHINGLES = 1 << 20
 
@@ -47,25 +47,34 @@ def bands_for(percent: int, rows: int = ROWS, missed: float = 1e-5) -> int:
 class Circulant:
     """All signature coordinates from two permutations.
 
-    The first scatters the shingles over the universe. Coordinate k is the
-    smallest value that the second permutation, shifted by k places around the
-    circle, has at those places; the shifted values of one place lie side by
-    side, so a signature is the minimum over slices of one array.
+    The first scatters the shingles over the places of a circle. Coordinate k is
+    the smallest value that the second permutation, shifted by k places around
+    the circle, has at those places; the shifted values of one place lie side by
+    side, so it is the minimum over slices of one array. Of several shingles at
+    the place that is found the one with the smallest hash is taken, and this
+    hash is the coordinate: sets of more shingles than there are places still
+    differ.
     """
 
     def __init__(self, coordinates: int, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
         self.scatter = rng.permutation(UNIVERSE).astype(np.int32)
         circle = rng.permutation(UNIVERSE).astype(np.int32)
+        self.place = np.empty(UNIVERSE, np.int32)
+        self.place[circle] = np.arange(UNIVERSE, dtype=np.int32)
+        self.shift = np.arange(coordinates)
         circle = np.concatenate((circle, circle[:coordinates]))
         self.shifted = np.lib.stride_tricks.sliding_window_view(circle, coordinates)
 
     def signature(self, values: np.ndarray) -> np.ndarray:
+        """``values`` are sorted."""
         places = self.scatter[(values & np.uint64(UNIVERSE - 1)).astype(np.int64)]
         least = self.shifted[places[:4096]].min(axis=0)
         for start in range(4096, len(places), 4096):
             np.minimum(least, self.shifted[places[start : start + 4096]].min(axis=0), out=least)
-        return least
+        found = (self.place[least] - self.shift) % UNIVERSE
+        order = np.argsort(places, kind="stable")
+        return values[order[np.searchsorted(places[order], found)]]
 
 
 def _node(own: np.ndarray) -> int:
@@ -87,7 +96,7 @@ def _sign(bands: int, rows: int) -> Callable:
                 sizes.append(len(own))
                 if len(own):
                     nodes.append(_node(own))
-                    rows_of = family.signature(own).astype(np.uint64).reshape(bands, rows)
+                    rows_of = family.signature(own).reshape(bands, rows)
                     keys.append(mixed(mixed(rows_of + weights).sum(axis=1) + salt).view(np.int64))
                 else:
                     nodes.append(None)
@@ -236,22 +245,102 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _candidates(classes: DataFrame) -> DataFrame:
-    """(node, cluster): classes that share a bucket with another, connected over buckets."""
+def _buckets(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored (node, cluster) of the buckets that several classes share, and (cluster, first, n)."""
     banded = classes.select("node", F.posexplode("keys").alias("band", "key"))
-    buckets = (
-        banded.groupBy("band", "key")
+    keyed = banded.select("node", F.xxhash64("band", "key").alias("cluster"))
+    shared = durable(
+        keyed.groupBy("cluster")
         .agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("n"))
         .where("n > 1")
-        .drop("n")
     )
-    star = (
-        banded.join(buckets, ["band", "key"])
-        .where("node != first")
-        .select(F.col("node").alias("a"), F.col("first").alias("b"))
-        .distinct()
+    return durable(keyed.join(shared.select("cluster"), "cluster")), shared
+
+
+def _verify(percent: int) -> Callable:
+    """Within each group: members whose similarity to the first reaches the threshold."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (first, _), rows in by_group(batches, ["first", "salt"]):
+            nodes = rows["node"].to_pylist()
+            sets = [np.frombuffer(s.as_py(), np.uint64) for s in rows["set"]]
+            own = sets[nodes.index(first)] if first in nodes else np.empty(0, np.uint64)
+            linked = []
+            for node, other in zip(nodes, sets):
+                if node != first and len(own):
+                    at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                    both = int((own[at] == other).sum())
+                    if 100 * both >= percent * (len(own) + len(other) - both):
+                        linked.append(node)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(linked, pa.int64()), pa.array([first] * len(linked), pa.int64())], ["a", "b"]
+            )
+
+    return verify
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """Stored (a, b) of the pairs (node, first) that are links; each first meets its members in groups."""
+    sized = pairs.join(sets.select("node", "n").distinct(), "node")
+    salts = sized.groupBy("first").agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("salts"))
+    salt = F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt")
+    members = sized.join(salts, "first").select("first", "node", salt)
+    firsts = salts.select(
+        "first", F.col("first").alias("node"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
     )
-    return components(star).withColumnRenamed("label", "cluster")
+    keys = ["first", "salt"]
+    dealt = members.union(firsts).join(sets.select("node", "set"), "node").repartition(*keys)
+    return durable(dealt.sortWithinPartitions(*keys).mapInArrow(_verify(percent), "a long, b long"))
+
+
+def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, label) of all nodes; one that has no link is its own label."""
+    found = components(links)
+    return nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+
+def _stars(docs: DataFrame, classes: DataFrame, percent: int, block_shingles: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Links found by comparing each class with the first one of its buckets, and what they leave.
+
+    Every class is compared with the smallest of the firsts it meets, and then
+    with those others that it is not connected with by now. Returns the links,
+    the stored sets (node, n, set) of all classes in a shared bucket, and
+    (node, cluster, label) of the buckets in which a pair may still be unseen:
+    those of three classes or more that are not all connected.
+    """
+    placed, shared = _buckets(classes)
+    met = classes.select("node", "class_id").join(placed.select("node").distinct(), "node")
+    wanted = F.broadcast(met) if few_rows(met) else met
+    sets = docs.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id")
+    sets = durable(
+        sets.mapInArrow(_shingle_sets, "node long, set binary").withColumn(
+            "n", (F.octet_length("set") / 8).cast("long")
+        )
+    )
+    star = placed.join(shared, "cluster").where("node != first").select("node", "first")
+    star = durable(star.distinct())
+    nearest = star.groupBy("node").agg(F.min("first").alias("first"))
+    links = _verified(nearest, sets, percent, block_shingles)
+    nodes = placed.select("node").distinct()
+    labels = durable(_labelled(nodes, links))
+    others = (
+        star.join(labels, "node")
+        .join(labels.select(F.col("node").alias("first"), F.col("label").alias("other")), "first")
+        .where("label != other")
+        .join(nearest, ["node", "first"], "left_anti")
+        .select("node", "first")
+    )
+    links = links.union(_verified(others, sets, percent, block_shingles))
+    labels = durable(_labelled(nodes, links))
+    spread = placed.join(labels, "node")
+    unsure = (
+        spread.join(shared.where("n > 2").select("cluster"), "cluster")
+        .groupBy("cluster")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        .where("low < high")
+        .select("cluster")
+    )
+    return links, sets, durable(spread.join(unsure, "cluster"))
 
 
 _KEYS = ["cluster", "task"]
@@ -266,41 +355,37 @@ def _connected(
     docs: DataFrame, classes: DataFrame, percent: int, block_shingles: int
 ) -> DataFrame:
     """(node, label) of all classes that are linked to another one."""
-    clusters = durable(_candidates(classes))
-    sized = clusters.join(classes.select("node", "class_id", "n_shingles"), "node")
+    links, sets, unsure = _stars(docs, classes, percent, block_shingles)
+    if not unsure.limit(1).count():
+        return components(links)
+    sized = unsure.join(sets.select("node", "n").distinct(), "node")
     blocks = sized.groupBy("cluster").agg(
-        F.ceil(F.sum("n_shingles") / block_shingles).cast("int").alias("blocks")
+        F.ceil(F.sum("n") / block_shingles).cast("int").alias("blocks")
     )
     block = F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block")
-    placed = durable(
-        sized.join(blocks, "cluster").select("node", "class_id", "cluster", "blocks", block)
-    )
-    wanted = F.broadcast(placed) if few_rows(placed) else placed
-    sets = (
-        docs.withColumnRenamed("doc_id", "class_id")
-        .join(wanted, "class_id")
-        .mapInArrow(_shingle_sets, "node long, cluster long, blocks int, block int, set binary")
-        .withColumn("label", F.col("node"))
-    )
+    placed = sized.join(blocks, "cluster").select("node", "cluster", "label", "blocks", block)
+    placed = placed.join(sets.select("node", "set"), "node")
     one = F.col("blocks") == 1
-    if not placed.where(~one).limit(1).count():
-        return components(_links(sets.withColumn("task", F.col("block")), percent))
-    return _connected_blocks(durable(sets), one, percent, block_shingles)
+    if not blocks.where(~one).limit(1).count():
+        return components(links.union(_links(placed.withColumn("task", F.col("block")), percent)))
+    return components(links.union(_block_links(durable(placed), one, percent, block_shingles)))
 
 
-def _connected_blocks(
+def _block_links(
     sets: DataFrame, one: Column, percent: int, block_shingles: int
 ) -> DataFrame:
-    """The same where some clusters take several tasks.
+    """The same where some buckets take several tasks.
 
-    Every block is compared with the first one of its cluster, and then with
+    Every block is compared with the first one of its bucket, and then with
     all that this has left outside the largest component, in chunks.
     """
     first = F.col("block") == 0
     to_blocks = F.sequence(F.lit(1), F.col("blocks") - 1)
     beside = F.when(one | ~first, F.array("block")).otherwise(to_blocks)
     found = durable(_links(sets.withColumn("task", F.explode(beside)), percent))
-    labels = durable(components(found))
+    # Labels known so far, with what the first blocks have told of them.
+    told = sets.select(F.col("node").alias("a"), F.col("label").alias("b")).where("a != b").distinct()
+    labels = durable(components(found.union(told)))
     many = (
         sets.where(~one)
         .drop("label")
@@ -327,7 +412,7 @@ def _connected_blocks(
         .select(*columns)
     )
     staying = many.join(chunks, "cluster").withColumn("chunk", every_chunk).select(*columns)
-    return components(found.union(_links(moving.unionByName(staying), percent)))
+    return found.union(_links(moving.unionByName(staying), percent))
 
 
 def near_duplicates(
@@ -343,12 +428,13 @@ def near_duplicates(
     their sets of lower-cased five-word shingles. Equal sets form one class,
     and only classes go on. A class has ``rows`` circulant MinHash coordinates
     in each of so many bands that a linked pair meets in no band with a chance
-    of ``missed`` at most. Classes that meet are connected into clusters over
-    narrow rows, and each cluster is compared on the full sets in a task of
-    bounded size: documents are compared until they are connected, and a
-    cluster too large for one task is split into blocks, which are compared
-    with each other as far as they are not connected yet. No partner is
-    dropped, and no list of pairs is made.
+    of ``missed`` at most. In each bucket of classes that meet, all are compared
+    on the full sets with its first one, unless they are connected by then. Only
+    buckets of three or more that this leaves in several components are compared
+    further: documents until they are connected, in tasks of bounded size, and a
+    bucket too large for one task is split into blocks, which are compared with
+    each other as far as they are not connected yet. Classes are connected by
+    verified links alone. No partner is dropped, and no list of pairs is made.
 
     Returns per row: doc_id, n_shingles, component_id (smallest id that is
     reached, itself included), kept (doc_id = component_id). A null or empty

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from dosegrid.llm.near_duplicates import (
@@ -86,6 +87,44 @@ def test_signatures_estimate_similarity():
     assert bands_for(85) > bands_for(95)
 
 
+def test_long_sets_do_not_fill_the_signature():
+    """Disjoint sets of more shingles than there are places share no coordinate."""
+    rng = np.random.default_rng(0)
+    family_ = Circulant(64)
+    a, b = (np.unique(rng.integers(0, 1 << 63, 3_000_000).astype(np.uint64)) for _ in range(2))
+    assert not (family_.signature(a) == family_.signature(b)).any()
+    assert (family_.signature(a) == family_.signature(np.union1d(a, b[:10_000]))).mean() > 0.9
+
+
+def test_shared_boilerplate_is_compared_little(spark, make_docs, monkeypatch):
+    """Two thousand texts alike by 40 %, none of them linked: few pairs of sets meet."""
+    from dosegrid.llm import near_duplicates as module
+
+    shared = sentence(60, 99)
+    rows = [(k, f"{shared} {sentence(40, 700 + k)}") for k in range(2000)]
+    stars, bucket = [], []
+    verified, links = module._verified, module._links
+    monkeypatch.setattr(module, "_verified", lambda pairs, *a: stars.append(pairs.count()) or verified(pairs, *a))
+    monkeypatch.setattr(module, "_links", lambda df, percent: bucket.extend(
+        r["count"] for r in df.groupBy("cluster", "task").count().collect()) or links(df, percent))
+    got = near_duplicates(make_docs(rows)).collect()
+    assert all(r.kept for r in got) and len(got) == 2000
+    compared = sum(stars) + sum(n * (n - 1) // 2 for n in bucket)
+    assert sum(stars) <= bands_for(85) * 2000
+    assert compared < 0.1 * 2000 * 1999 / 2
+
+
+def test_linked_beside_an_unlinked_first(make_docs):
+    """Texts that meet in a bucket whose first one is linked with neither of them."""
+    base = sentence(120, 1)
+    rows = [(0, edited(base, 0.035, 1))]
+    for k in range(1, 40):
+        other = edited(base, 0.035, 100 + k)
+        rows += [(2 * k, other), (2 * k + 1, edited(other, 0.008, 500 + k))]
+    got = near_duplicates(make_docs(rows), 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == near_components(rows, 80)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(200, 199)], "a long, b long")
     labels = {r.node: r.label for r in components(links).collect()}
