@@ -4,7 +4,7 @@ Tokenisers (op9, op11), the random field (op10) and the trained classifiers (op3
 op5) have none; tests hold them against brute force or held-out accuracy.
 """
 
-from dosegrid.llm.url_filter import SOFT, SOFT_NEEDED, STRICT
+from dosegrid.llm.url_filter import LIMIT, VOCABULARY
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -197,8 +197,7 @@ def _bounded(term: str) -> str:
     return f"regexp_matches(folded, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
 
 
-def _any_of(terms: tuple[str, ...], needed: int) -> str:
-    return "(" + " + ".join(f"{_bounded(t)}::INT" for t in sorted(set(terms))) + f") >= {needed}"
+_WEIGHT = " + ".join(f"{_bounded(t)}::INT * {w}" for t, w in sorted(VOCABULARY.items()))
 
 
 _OP8 = rf"""
@@ -227,7 +226,7 @@ WITH parts AS (
 SELECT page_id, host, path, rule,
        CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
             WHEN rule IS NOT NULL THEN 'block'
-            WHEN {_any_of(STRICT, 1)} OR {_any_of(SOFT, SOFT_NEEDED)} THEN 'block'
+            WHEN {_WEIGHT} >= {LIMIT} THEN 'block'
             ELSE 'allow' END AS verdict
 FROM ruled
 """

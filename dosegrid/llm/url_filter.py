@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Terms of unwanted addresses. One strict term is enough to reject.
-STRICT = (
-    "adult-x", "casino", "escort", "free-bets", "hentai", "porn", "sexcam", "spam-farm", "xxx",
-)
-# Of these it takes several different ones.
-SOFT = (
-    "ads", "adult", "bet", "bets", "bonus", "cheap", "cam", "dating", "farm", "free", "jackpot",
-    "loan", "lottery", "nude", "pills", "poker", "replica", "sex", "slots", "spam", "torrent",
-    "track", "viagra", "win",
-)
-SOFT_NEEDED = 2
+# Terms of unwanted addresses by topic, and the weight of each: one of a strict term is enough to
+# reject, of the others it takes several different ones. The terms are common words of these
+# trades; callers give their own table for their own sources.
+LIMIT = 2.0
+_STRICT = {
+    "adult": "escort hentai milf porn porno sexcam xxx",
+    "gambling": "casino roulette",
+    "medicine": "cialis viagra",
+}
+_SOFT = {
+    "adult": "adult cam dating erotic nude sex",
+    "gambling": "bet bets betting bonus jackpot lottery poker slots",
+    "medicine": "pharmacy pills replica",
+    "spam": "ads cheap farm free loan payday spam torrent track warez win",
+}
+VOCABULARY: dict[str, float] = {
+    **{term: LIMIT for terms in _STRICT.values() for term in terms.split()},
+    **{term: 1.0 for terms in _SOFT.values() for term in terms.split()},
+}
 
 Rule = tuple[str, str]
 RULES: tuple[Rule, ...] = (
@@ -57,16 +65,16 @@ def ruled(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Co
     return rule, verdict
 
 
-def _hits(strict: Sequence[str], soft: Sequence[str]) -> Callable:
-    """Distinct terms of each address that end and begin at a boundary."""
+def _hits(vocabulary: Mapping[str, float], limit: float) -> Callable:
+    """Distinct terms of each address that end and begin at a boundary, and the sum of their weights."""
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = ahocorasick.Automaton()
-        for term in {*strict, *soft}:
+        for term in vocabulary:
             terms.add_word(term, term)
         terms.make_automaton()
         for batch in batches:
-            found: dict[str, list] = {"strict_hits": [], "soft_hits": []}
+            found: list[list] = [[], [], []]
             for url in batch.column("url").to_pylist():
                 text = f" {_folded(url or '')} "
                 met = {
@@ -74,11 +82,13 @@ def _hits(strict: Sequence[str], soft: Sequence[str]) -> Callable:
                     for end, term in (terms.iter(text) if len(terms) else ())
                     if not _inside(text[end + 1]) and not _inside(text[end - len(term)])
                 }
-                found["strict_hits"].append(sorted(met.intersection(strict)))
-                found["soft_hits"].append(sorted(met.intersection(soft)))
+                found[0].append(sorted(t for t in met if vocabulary[t] >= limit))
+                found[1].append(sorted(t for t in met if vocabulary[t] < limit))
+                found[2].append(float(sum(vocabulary[t] for t in sorted(met))))
+            kinds = [pa.list_(pa.string())] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *(pa.array(v, pa.list_(pa.string())) for v in found.values())],
-                [*batch.schema.names, *found],
+                [*batch.columns, *map(pa.array, found, kinds)],
+                [*batch.schema.names, "strict_hits", "soft_hits", "weight"],
             )
 
     return hits
@@ -97,32 +107,32 @@ def _inside(character: str) -> bool:
 def filter_urls(
     pages: DataFrame,
     rules: Sequence[Rule] = RULES,
-    strict: Sequence[str] = STRICT,
-    soft: Sequence[str] = SOFT,
-    soft_needed: int = SOFT_NEEDED,
+    vocabulary: Mapping[str, float] = VOCABULARY,
+    limit: float = LIMIT,
 ) -> DataFrame:
     """Judge every address.
 
     A rule is a host with a start of a path. It fits the host and all hosts
     below it, if the path starts so; of several, the longest decides. Without a
     rule the vocabulary does: all terms are found in one pass of an Aho-Corasick
-    automaton and count where no ASCII letter or digit stands beside them. One
-    strict term blocks, and so do ``soft_needed`` different soft ones.
+    automaton and count where no ASCII letter or digit stands beside them. The
+    weights of the different terms of an address are summed, and ``limit``
+    blocks: one term of that weight (a strict one), or several soft ones. Terms
+    are in lower case.
 
     Returns per row: page_id, host, path, rule, verdict (allow or block),
-    strict_hits, soft_hits. A null address, or one without ``://``, has an empty
+    strict_hits, soft_hits, weight. A null address, or one without ``://``, has an empty
     host and path, so no rule fits it. Only the address is read; one narrow pass.
     """
     host, path = address_parts(F.col("url"))
     rule, says = ruled(F.col("host"), F.col("path"), rules)
     parts = pages.select(F.col("page_id").cast("long"), "url", host.alias("host"), path.alias("path"))
-    hits = "strict_hits array<string>, soft_hits array<string>"
+    hits = "strict_hits array<string>, soft_hits array<string>, weight double"
     judged = parts.mapInArrow(
-        _hits(strict, soft), f"page_id long, url string, host string, path string, {hits}"
+        _hits(dict(vocabulary), limit), f"page_id long, url string, host string, path string, {hits}"
     )
-    rejected = (F.size("strict_hits") > 0) | (F.size("soft_hits") >= soft_needed)
-    own = F.when(rejected, "block").otherwise("allow")
+    own = F.when(F.col("weight") >= limit, "block").otherwise("allow")
     return judged.select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(says, own).alias("verdict"),
-        "strict_hits", "soft_hits",
+        "strict_hits", "soft_hits", "weight",
     )

@@ -5,10 +5,10 @@ import re
 
 import pytest
 
-from dosegrid.llm.url_filter import RULES, SOFT, STRICT, filter_urls
+from dosegrid.llm.url_filter import LIMIT, RULES, VOCABULARY, filter_urls
 
 
-def plain(url):
+def plain(url, vocabulary=VOCABULARY, limit=LIMIT):
     host = path = ""
     if url and "://" in url:
         place = re.split("[?#]", url.split("://", 1)[1])[0]
@@ -22,8 +22,8 @@ def plain(url):
             if rule is None or len(name) > len(rule):
                 rule, verdict = name, says
     low = re.sub("[A-Z]", lambda m: m[0].lower(), url or "")
-    met = {t for t in {*STRICT, *SOFT} if re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low)}
-    own = "block" if met & set(STRICT) or len(met & set(SOFT)) >= 2 else "allow"
+    met = [w for t, w in vocabulary.items() if re.search(f"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])", low)]
+    own = "block" if sum(met) >= limit else "allow"
     return host, path, rule, verdict or own
 
 
@@ -42,6 +42,15 @@ def test_equals_plain_version(make_pages):
     rows = list(enumerate(rng.sample(urls, len(urls))))
     got = filter_urls(make_pages([(i, u, "") for i, u in rows])).collect()
     assert {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in got} == {i: plain(u) for i, u in rows}
+    own = {"win": 0.5, "cheap": 1.0, "casino": 3.0, "free-bets": 1.5}
+    got = filter_urls(make_pages([(i, u, "") for i, u in rows]), vocabulary=own, limit=1.5).collect()
+    assert {r.page_id: r.verdict for r in got} == {i: plain(u, own, 1.5)[3] for i, u in rows}
+
+
+def test_clashing_columns(make_pages, clashing):
+    rows = [(1, "http://x.org/casino", ""), (2, "http://a.net/fr/", "")]
+    got = filter_urls(clashing(make_pages(rows))).collect()
+    assert {r.page_id: (r.rule, r.verdict) for r in got} == {1: (None, "block"), 2: ("net/fr/", "block")}
 
 
 def test_edges(make_pages):
@@ -49,5 +58,5 @@ def test_edges(make_pages):
     got = filter_urls(make_pages(rows)).collect()
     assert len(got) == 4 and {r.verdict for r in got} == {"allow"}
     assert filter_urls(make_pages([])).count() == 0
-    bare = filter_urls(make_pages([(1, "http://porn.org/", "")]), rules=(), strict=(), soft=())
+    bare = filter_urls(make_pages([(1, "http://porn.org/", "")]), rules=(), vocabulary={})
     assert bare.first().verdict == "allow"
