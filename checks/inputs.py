@@ -19,7 +19,6 @@ from dosegrid.session import durable
 from dosegrid.sources import GenotypePanel, clean_associations, header_table, parse_catalogue
 
 COHORT_SIZE = 100
-FIRST_COHORT = "cohort_000000"
 
 # Columns used of the tables.
 TABLES = {

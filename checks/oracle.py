@@ -91,11 +91,12 @@ UNION ALL SELECT chr, pos - 7, rsID, ref, alt, q1, q2, 'moved' FROM catalogue_ra
     "codes_min": _codes("refreshed_keep_min"),
     "overlap_samples": inputs.OVERLAP_SAMPLES,
     "overlap_sites": inputs.OVERLAP_SITES,
-    "gt_overlap": f"SELECT s.k, p.source, s_suppkey AS sample, sample_name, {inputs.call_sql('s.k', 's_suppkey')} AS gt FROM sites s JOIN overlap_sites o ON s.k = o.k JOIN overlap_samples p ON o.source = p.source",
+    "overlap_ids": """
+SELECT sample_name, row_number() OVER (ORDER BY source, s_suppkey) - 1 AS sample
+FROM (SELECT sample_name, s_suppkey, min(source) AS source FROM overlap_samples GROUP BY sample_name, s_suppkey) a""",
+    "gt_overlap": f"SELECT s.k, p.source, i.sample, p.sample_name, {inputs.call_sql('s.k', 's_suppkey')} AS gt FROM sites s JOIN overlap_sites o ON s.k = o.k JOIN overlap_samples p ON o.source = p.source JOIN overlap_ids i ON p.sample_name = i.sample_name",
     "codes_overlap": _codes("refreshed").replace("JOIN gt g", "JOIN gt_overlap g"),
     "sparse_overlap": _sparse("codes_overlap"),
-    "codes_first": f"SELECT * FROM codes WHERE source = '{inputs.FIRST_COHORT}'",
-    "sparse_first": _sparse("codes_first"),
     "sparse": _sparse("codes"),
     "sparse_phased": _sparse("codes_phased"),
     "sparse_quality": _sparse("codes_quality"),
@@ -177,7 +178,7 @@ JOIN (SELECT count(*) AS sites FROM sites) t ON 1 = 1""",
 SELECT sample_name, count(*) AS files, CAST(coalesce(sum(n), 0) AS BIGINT) AS present, any_value(total) - CAST(coalesce(sum(n), 0) AS BIGINT) AS absent
 FROM overlap_samples p LEFT JOIN (SELECT source, count(*) AS n FROM overlap_sites GROUP BY source) s ON p.source = s.source
 JOIN (SELECT count(*) AS total FROM overlap_sites) t ON 1 = 1 GROUP BY sample_name""",
-    "sparse_overlapping_files": "SELECT sample_name, rsID, chr, pos, code, dose FROM sparse_overlap",
+    "sparse_overlapping_files": f"SELECT {_SPARSE} FROM sparse_overlap",
     "tables_merge_by_name": """
 SELECT chr, pos, rsID, code, allele, annot FROM catalogue
 UNION ALL SELECT chr, pos, rsID, code, allele, NULL FROM newer""",
@@ -185,7 +186,7 @@ UNION ALL SELECT chr, pos, rsID, code, allele, NULL FROM newer""",
 SELECT kind, LEAST(count(*), 1000) AS n FROM (SELECT CASE WHEN contig IN ('X', 'Y', 'M') THEN 'other' ELSE 'autosome' END AS kind FROM sites) a GROUP BY kind""",
     "catalogue_alleles": "SELECT * FROM catalogue",
     "catalogue_from_files": "SELECT * FROM catalogue",
-    "wide_panel": f"SELECT {_SPARSE} FROM sparse_first",
+    "wide_panel": f"SELECT {_SPARSE} FROM sparse",
     "chrom_codes": f"""
 SELECT k, {_CHR.format(c='contig')} AS named, {_CHR.format(c='number')} AS strict, CAST(number AS INT) AS lenient
 FROM (SELECT k, contig, CAST(k % 40 AS VARCHAR) AS number FROM sites) a""",

@@ -148,7 +148,7 @@ def sparse_overlapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample is its name, so what several files say of it adds up."""
     panel = panel_from_lines(inputs.overlapping_lines(spark, sf_dir))
     stored = GenotypePanel(durable(panel.calls), durable(panel.headers))
-    return encode_panel(stored, inputs.catalogue(spark, sf_dir)).drop("sample")
+    return encode_panel(stored, inputs.catalogue(spark, sf_dir))
 
 
 @query
@@ -163,9 +163,10 @@ def vcf_row_cap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "lines")
     contig = F.split_part("value", F.lit("\t"), F.lit(1))
     kind = F.when(contig.isin("X", "Y", "M"), "other").otherwise("autosome")
-    lines.select("value", kind.alias("kind")).write.partitionBy("kind").text(folder)
-    paths = [f"{folder}/kind={name}" for name in ("autosome", "other")]
-    calls = load_variants(spark, paths, format="gvcf", limit=1000).calls
+    # One file for each kind, in one folder.
+    kinds = lines.select("value", kind.alias("kind")).repartition("kind")
+    kinds.write.partitionBy("kind").text(folder)
+    calls = load_variants(spark, [folder], format="gvcf", limit=1000).calls
     return calls.groupBy(F.regexp_extract("source", r"kind=(\w+)", 1).alias("kind")).agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -206,17 +207,19 @@ def catalogue_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def wide_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first cohort, at most COHORT_SIZE samples, as a table with a column per sample."""
+    """All files merged to a table with a column per sample; a site has none of other files' calls."""
     panel = inputs.panel(spark, sf_dir)
-    first = panel.headers.where(F.col("source") == inputs.FIRST_COHORT)
-    samples = first.first()["samples"]
+    # The names are columns, so they have to be known before.
+    files = panel.headers.orderBy("source").collect()
+    columns = [
+        F.when(F.col("source") == file["source"], F.get("genotypes", F.lit(i))).alias(name)
+        for file in files
+        for i, name in enumerate(file["samples"])
+    ]
     fixed = ["contig", "pos", "id", "ref", "alt", "qual", "filter", "info", "format"]
-    wide = panel.calls.where(F.col("source") == inputs.FIRST_COHORT).select(
-        *(F.col(c).alias(n) for c, n in zip(fixed, VCF_FIXED)),
-        *(F.get("genotypes", F.lit(i)).alias(name) for i, name in enumerate(samples)),
-    )
-    packed = pack_wide(wide, samples, inputs.FIRST_COHORT)
-    return encode_panel(packed, inputs.catalogue(spark, sf_dir))
+    wide = panel.calls.select(*(F.col(c).alias(n) for c, n in zip(fixed, VCF_FIXED)), *columns)
+    samples = [name for file in files for name in file["samples"]]
+    return encode_panel(pack_wide(wide, samples, "merged"), inputs.catalogue(spark, sf_dir))
 
 
 @query

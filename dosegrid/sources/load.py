@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dosegrid.sources.catalogue import parse_catalogue
+from dosegrid.sources.catalogue import parse_catalogue, write_catalogue
 from dosegrid.sources.genotypes import GenotypePanel, panel_from_lines, write_panel
 from dosegrid.sources.lines import read_lines, read_lines_capped
 from dosegrid.sources.sinks import write_counted
@@ -33,16 +33,22 @@ def load_variants(
     output: str | None = None,
     partitions: int | None = None,
     limit: int = 0,
+    partition_by: list[str] | None = None,
+    buckets: int | None = None,
 ) -> DataFrame | GenotypePanel | int:
     """Load Parquet (pq), genotype (gvcf) or catalogue (dbsnp) files.
 
     Without ``output`` the loaded table or panel, else the number of records
-    stored there. ``limit`` keeps the first lines of each genotype file.
+    stored there. ``limit`` keeps the first lines of each genotype file. A table
+    is stored by the values of ``partition_by``, a catalogue also in ``buckets``,
+    to be read by ``read_catalogue``.
     """
     if format not in FORMATS:
         raise ValueError(f"format {format!r} is not one of {', '.join(FORMATS)}")
     if not paths:
         raise ValueError("no input paths")
+    if buckets and (format != "dbsnp" or not output):
+        raise ValueError("only a catalogue is stored in buckets")
     if format == "gvcf":
         if limit > 0:
             lines = read_lines_capped(spark, paths, limit)
@@ -56,4 +62,7 @@ def load_variants(
     else:
         table = spark.read.option("mergeSchema", "true").parquet(*paths)
         table = table.repartition(partitions) if partitions else table
-    return write_counted(table, output) if output else table
+    if buckets:
+        write_catalogue(table, output, buckets)
+        return table.count()
+    return write_counted(table, output, partition_by=partition_by) if output else table

@@ -297,6 +297,25 @@ def test_partitions_are_honoured_without_output(spark, tmp_path, format, monkeyp
     assert "RoundRobinPartitioning(8)" in plan or "Repartition 8" in plan
 
 
+def test_catalogue_is_stored_by_chromosome_or_in_buckets(spark, tmp_path):
+    from dosegrid.sources import read_catalogue
+
+    text = "".join(f"NC_00000{1 + k % 5}.1\t{10 + k}\trs{k}\tA\tC,G\t.\t.\tx\n" for k in range(40))
+    path = write_gz(tmp_path / "d.gz", "#c\n" + text)
+    plain = load_variants(spark, [path], format="dbsnp")
+    by_chr = str(tmp_path / "by_chr")
+    assert load_variants(spark, [path], format="dbsnp", output=by_chr, partition_by=["chr"]) == 120
+    assert {p.name for p in (tmp_path / "by_chr").iterdir() if p.is_dir()} == {f"chr={k}" for k in range(1, 6)}
+    back = spark.read.parquet(by_chr).select(*plain.columns)
+    assert rows(back) == rows(plain)
+    folder = str(tmp_path / "buckets")
+    assert load_variants(spark, [path], format="dbsnp", output=folder, buckets=3) == 120
+    stored = read_catalogue(spark, folder)
+    assert rows(stored.by_place) == rows(stored.by_allele) == rows(plain)
+    with pytest.raises(ValueError, match="buckets"):
+        load_variants(spark, [path], format="gvcf", output=folder, buckets=3)
+
+
 def test_catalogue_accessions(spark):
     df = spark.createDataFrame([("NC_000010.11",), ("NC_000010",), ("NC_000020",), ("NC_012920.1",), ("NT_1.1",), ("NC_0000101",)], "a string")
     assert [r.c for r in df.select(accession_code(F.col("a")).alias("c")).collect()] == [10, 10, 20, 25, None, None]
