@@ -12,12 +12,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dosegrid.session import broadcast_if_small
+
 # Words of one text are split at these six characters, which is what bytes.split does.
 SPACES = " \t\n\x0b\x0c\r"
 
-#: Longest side, in rows, that an operator sends to every executor.
-BROADCAST_ROWS = 4_000_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,14 +37,9 @@ def spread(groups: int, *columns: str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(groups)).cast("int")
 
 
-def few_rows(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has no more rows than may go to every executor."""
-    return df.limit(limit + 1).count() <= limit
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A narrow table, broadcast if its counted rows allow it."""
-    return F.broadcast(df) if few_rows(df, limit) else df
+def small_side(df: DataFrame) -> DataFrame:
+    """A side of a join, broadcast if its measured size allows it."""
+    return broadcast_if_small(df)
 
 
 class WordHashes(dict):

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from dosegrid.llm.common import (
     WordHashes,
     by_group,
-    few_rows,
     lowered,
     mixed,
     raw,
     rolling,
     slices,
+    small_side,
 )
 from dosegrid.session import durable
 
@@ -310,8 +310,7 @@ def _stars(docs: DataFrame, classes: DataFrame, percent: int, block_shingles: in
     """
     placed, shared = _buckets(classes)
     met = classes.select("node", "class_id").join(placed.select("node").distinct(), "node")
-    wanted = F.broadcast(met) if few_rows(met) else met
-    sets = docs.withColumnRenamed("doc_id", "class_id").join(wanted, "class_id")
+    sets = docs.withColumnRenamed("doc_id", "class_id").join(small_side(durable(met)), "class_id")
     sets = durable(
         sets.mapInArrow(_shingle_sets, "node long, set binary").withColumn(
             "n", (F.octet_length("set") / 8).cast("long")
@@ -483,6 +482,6 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     to. Rows without an id stay.
     """
     gone = durable(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct())
-    gone = F.broadcast(gone) if few_rows(gone) else gone
+    gone = small_side(gone)
     same = F.col("doc.doc_id") == F.col("gone.doc_id")
     return docs.alias("doc").join(gone.alias("gone"), same, "left_anti")

@@ -269,7 +269,7 @@ def quality_report(
     all of them.
     """
     measured = durable(measure_documents(docs, vocabularies))
-    ranges = small_side(bands(measured, width).withColumnRenamed("lang", "band_lang"), 100_000)
+    ranges = small_side(durable(bands(measured, width).withColumnRenamed("lang", "band_lang")))
     rows = measured.withColumn("size_class", _size_class()).alias("m")
     joined = rows.join(
         ranges.alias("b"),

@@ -149,6 +149,13 @@ def test_chunks_are_taken_one_by_one(both, text):
         assert [i for c in cut for i in both.b.encode(c[1:])] == both.b.encode(text)
 
 
+def test_ranks_give_the_same_tokens(both):
+    assert both.ranked is not None
+    for text in [t for _, t in ROWS if t]:
+        cut = both.chunks(text)
+        assert both.encode_a(cut) == both.a.encode(" " + text, add_special_tokens=False).ids
+
+
 def test_only_pairs_beside_the_map_are_shuffled(spark, make_docs, both):
     aligned = tokenised(make_docs([(1, "the cat and the dog"), (2, "the end")]))
     for r in aligned.where("row IS NOT NULL").collect():
