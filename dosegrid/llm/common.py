@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 from collections.abc import Iterable, Iterator
 
@@ -45,7 +46,7 @@ def small_side(df: DataFrame) -> DataFrame:
 class WordHashes(dict):
     """64-bit hash of a word; forgets all when full, so memory is bounded."""
 
-    limit = 300_000
+    limit = 150_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.limit:
@@ -67,10 +68,22 @@ def raw(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def slices(
-    batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 4 << 20
+    batches: Iterable[pa.RecordBatch], column: str = "text", size: int = 2 << 20
 ) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a piece have about ``size`` bytes; none is cut itself."""
+    """Cut batches so that the texts of a piece have about ``size`` bytes; none is cut itself.
+
+    A worker process serves many tasks: what the last one has freed is given
+    back to the system first.
+    """
+    _give_back()
     for batch in batches:
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(False)
         part = np.cumsum(lengths.astype(np.int64)) // size

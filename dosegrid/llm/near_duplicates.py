@@ -475,13 +475,15 @@ def near_duplicates(
     )
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = 80, rows: int = 6) -> DataFrame:
     """One document of each component, the one with the smallest id, with all its columns.
 
+    The lower threshold takes fewer rows a band, else there would be many bands.
+
     An id names one document here: of rows with equal ids, all go if one has
     to. Rows without an id stay.
     """
-    gone = durable(near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct())
+    gone = durable(near_duplicates(docs, percent, rows).where("NOT kept").select("doc_id").distinct())
     gone = small_side(gone)
     same = F.col("doc.doc_id") == F.col("gone.doc_id")
     return docs.alias("doc").join(gone.alias("gone"), same, "left_anti")
