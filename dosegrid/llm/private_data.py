@@ -367,7 +367,11 @@ def fit_field(docs: DataFrame, fit_rows: int = 4000, fit_tokens: int = 20_000) -
     """
     place = F.xxhash64(F.lit("fit"), "doc_id", "text")
     told = docs.select("text", place.alias("place")).where(F.col("text").rlike("[0-9@]"))
-    picked = durable(told.orderBy("place", "text").limit(fit_rows))
+    # Only the numbers of the hash are sorted; texts are read of the rows that are picked, equal
+    # ones once.
+    last = told.select("place").orderBy("place").limit(fit_rows).agg(F.max("place")).first()[0]
+    within = told.where(F.col("place") <= F.lit(last).cast("long"))
+    picked = durable(within.groupBy("place").agg(F.min("text").alias("text")))
     rows = picked.mapInArrow(_with_hint, "place long, tokens binary, n long").where(F.col("n").between(1, fit_tokens))
     texts, total = [], 0
     for row in rows.orderBy("place", "tokens").toLocalIterator():
