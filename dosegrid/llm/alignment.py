@@ -11,6 +11,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,14 +64,13 @@ class Tokenizers:
 
     def __init__(self, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> None:
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(_path(byte_level))
-        self.a.encode_special_tokens = True
+        self.path = _path(byte_level)
+        with open(self.path, encoding="utf-8") as file:
+            model = json.load(file)
         self.b = sentencepiece.SentencePieceProcessor(model_file=_path(pieces))
         symbols = _byte_of_symbol()
-        entries = self.a.get_vocab(with_added_tokens=True)
+        entries = model["model"]["vocab"] | {t["content"]: t["id"] for t in model.get("added_tokens", ())}
         self.bytes_a = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
             known = all(c in symbols for c in entry)
@@ -79,14 +79,24 @@ class Tokenizers:
             bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
             for i, p in enumerate(map(self.b.id_to_piece, range(self.b.piece_size())))
         ]
-        self.ranked = self._ranked(_path(byte_level))
+        self.ranked = self._ranked(model)
         by_bytes = {b: i for i, b in reversed([*enumerate(self.bytes_b)])}
         #: B-id with the same bytes as each A-id, or -1.
         self.identity = np.array([by_bytes.get(b, -1) for b in self.bytes_a], np.int64)
         self.length_a = np.array([len(b) for b in self.bytes_a], np.int64)
         self.length_b = np.array([len(b) for b in self.bytes_b], np.int64)
 
-    def _ranked(self, path: str):
+    @cached_property
+    def a(self):
+        """The byte-level tokeniser itself, loaded where ranks don't do."""
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        loaded = Tokenizer.from_file(self.path)
+        loaded.encode_special_tokens = True
+        return loaded
+
+    def _ranked(self, model: dict):
         """The same tokeniser by ranks, which takes plain texts faster, where its rules are those.
 
         They are if merges come in the order of their ids, and words are cut as
@@ -94,8 +104,6 @@ class Tokenizers:
         """
         import tiktoken
 
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)
         cut, bpe = model.get("pre_tokenizer") or {}, model["model"]
         as_usual = (
             model.get("normalizer") is None and bpe["type"] == "BPE" and not bpe.get("dropout")
@@ -160,7 +168,7 @@ class Chunks:
     """Tokens, groups and links of the chunks met lately."""
 
     #: Chunks and links to hold; beyond, all are forgotten.
-    limit = 300_000
+    limit = 250_000
     limit_links = 4_000_000
 
     def __init__(self, tokenizers: Tokenizers) -> None:
@@ -322,11 +330,15 @@ def _decoded(text: bytes | None) -> str:
         return ""
 
 
-def _align(byte_level: str, pieces: str) -> Callable:
+def _align(byte_level: str, pieces: str, held: Broadcast) -> Callable:
+    """``held`` keeps the tokenisers of a worker process from one task to the next."""
+
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tokenizers = Tokenizers(byte_level, pieces)
+        if "tokenizers" not in held.value:
+            held.value["tokenizers"] = Tokenizers(byte_level, pieces)
+        tokenizers = held.value["tokenizers"]
         known = Chunks(tokenizers)
         counts = _Counts(len(tokenizers.bytes_a))
         row = TaskContext.get().partitionId() << 33
@@ -372,7 +384,8 @@ def _align(byte_level: str, pieces: str) -> Callable:
 def tokenised(docs: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
     """Stored: a row for each document, and rows without a number that count pairs."""
     narrow = docs.select(F.col("doc_id").cast("long"), "text")
-    return durable(narrow.mapInArrow(_align(byte_level, pieces), _SCHEMA))
+    held = docs.sparkSession.sparkContext.broadcast({})
+    return durable(narrow.mapInArrow(_align(byte_level, pieces, held), _SCHEMA))
 
 
 def pair_counts(aligned: DataFrame, byte_level: str = BYTE_LEVEL, pieces: str = PIECES) -> DataFrame:
