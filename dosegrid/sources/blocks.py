@@ -233,13 +233,18 @@ def escaped(uri: str) -> str:
 
 
 def read_blocks(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(source, value): all lines of block gzip files (source, size), a task for each range."""
+    """(source, value): all lines of block gzip files (source, size), a task for each range.
+
+    Ranges are dealt out as rows of an RDD: the few bytes of a list of ranges, once it was shuffled,
+    would pass for the size of the lines, and adaptive execution would broadcast those in a join.
+    """
     start = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))
     ranges = files.select("source", "size", F.explode(start).alias("start")).select(
         "source", "start", (F.col("start") + range_bytes).alias("end"), "size"
     )
     tasks = max(1, ranges.count())
-    return ranges.repartition(tasks).mapInArrow(_read_ranges, "source string, value string")
+    dealt = files.sparkSession.createDataFrame(ranges.repartition(tasks).rdd, ranges.schema)
+    return dealt.mapInArrow(_read_ranges, "source string, value string")
 
 
 class _Writer:

@@ -115,3 +115,15 @@ def test_broken_block_is_an_error(spark, tmp_path):
     with pytest.raises(Exception, match="broken block|incomplete|Error"):
         read_lines(spark, [str(tmp_path)]).collect()
     assert read_blocks(spark.createDataFrame([], "source string, size long")).count() == 0
+
+
+def test_lines_are_not_broadcast_for_the_size_of_their_ranges(spark, tmp_path):
+    for name in "abc":
+        text = "".join(f"{name} {i} {'x' * 2000}\n" for i in range(3000)).encode()
+        (tmp_path / f"{name}.txt.gz").write_bytes(packed(text, range(0, len(text), 60_000)))
+    lines = read_lines(spark, [str(tmp_path)], range_bytes=1000)
+    last = lines.groupBy("source").agg(F.max(F.repeat("value", 5)).alias("last"))
+    joined = lines.join(last, "source").select(F.length("value"), F.length("last"))
+    assert len(joined.collect()) == 9000
+    final = joined._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BuildLeft" not in final  # the lines are on the left
