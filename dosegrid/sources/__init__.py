@@ -9,8 +9,10 @@ from dosegrid.sources.catalogue import (
 )
 from dosegrid.sources.genotypes import (
     GenotypePanel,
+    WideTable,
     header_columns,
     header_table,
+    merge_wide,
     pack_wide,
     panel_from_lines,
     parse_calls,
@@ -25,11 +27,13 @@ from dosegrid.sources.sinks import write_counted, write_parquet, write_tsv
 __all__ = [
     "BucketedCatalogue",
     "GenotypePanel",
+    "WideTable",
     "clean_associations",
     "header_columns",
     "header_table",
     "load_variants",
     "merge_by_name",
+    "merge_wide",
     "pack_wide",
     "panel_from_lines",
     "parse_calls",

@@ -9,6 +9,7 @@ from dosegrid.operators.sparse import to_sparse
 from dosegrid.sources import (
     load_variants,
     merge_by_name,
+    merge_wide,
     pack_wide,
     parse_catalogue,
     read_associations,
@@ -184,6 +185,49 @@ def test_wide_table(spark):
     ]
 
 
+@pytest.mark.parametrize("columns", [1, 2, 3, 100])
+def test_merged_wide_table_in_blocks_of_columns(spark, columns):
+    files = {
+        "b": (["S.4"], [site("2", 30, ["0|1"], id="rs3")]),
+        "a": (["S3", "S1", "S2"], [site("1", 10, ["0|1", "1|2", "1|1", "2|2"], id="rs1")]),  # a surplus call
+        "c": ([], [site("3", 40, [], id="rs4")]),
+        "d": (["S6", "S5"], [site("1", 10, ["0|0", "2|1"], id="rs1"), site("X", 20, ["./.", "1"], id="rs2")]),
+    }
+    whole = panel(spark, files)
+    no_header = whole.calls.where("source = 'b'").withColumns({"source": F.lit(None), "pos": F.lit(99)})
+    wide = merge_wide(whole._replace(calls=whole.calls.unionByName(no_header)), columns)
+    assert len(wide.columns) < 2 * columns
+    assert len(wide.columns) <= 6
+    assert wide.rows.where("POS = 40").count() == wide.rows.where("POS = 99").count() == 1
+    packed = pack_wide(wide)
+    assert sparse_rows(packed) == [
+        ("S.4", 3, 1, 1), ("S1", 1, 1, 1), ("S1", 1, 2, 1), ("S2", 1, 1, 2), ("S3", 1, 1, 1),
+        ("S5", 1, 1, 1), ("S5", 1, 2, 1), ("S5", 2, 1, 1),
+    ]
+    names = rows(sample_table(packed.headers).select("sample", "sample_name").distinct())
+    assert names == [(0, "S3"), (1, "S1"), (2, "S2"), (3, "S.4"), (4, "S6"), (5, "S5")]
+
+
+def test_columns_of_a_wide_table_do_not_grow_with_the_samples(spark):
+    names = [f"S{i:04}" for i in range(900)]
+    files = {
+        f"f{k}": (names[150 * k : 150 * k + 150], [site("1", 10 + k, ["0|1"] * 150, id=f"rs{k}")])
+        for k in range(6)
+    }
+    wide = merge_wide(panel(spark, files))
+    assert len(wide.columns) < 400
+    packed = pack_wide(wide)
+    assert packed.headers.count() > 1
+    assert packed.calls.select(F.sum(F.size("genotypes"))).first()[0] < 6 * 400
+    assert sparse_rows(packed) == [(n, i // 150, 1, 1) for i, n in enumerate(names)]
+
+
+def test_name_in_two_columns_of_a_wide_table(spark):
+    files = {"a": (["A", "B"], [site("1", 10, ["0|1", "0|0"])]), "b": (["B"], [site("1", 20, ["0|1"])])}
+    with pytest.raises(ValueError, match="sample B is listed twice"):
+        merge_wide(panel(spark, files))
+
+
 def test_sinks(spark, tmp_path):
     df = spark.range(10).withColumn("name", F.concat(F.lit("n"), "id"))
     assert write_counted(df, str(tmp_path / "p"), partitions=2) == 10
