@@ -5,6 +5,8 @@ from dosegrid.functions import (
     allele_list,
     chrom_code,
     chrom_code_or_number,
+    pack_calls,
+    reference_cells,
     rsid_number,
     two_codes,
     whole_number,
@@ -67,6 +69,23 @@ def test_calls(spark):
         assert codes(spark, cell, True) == phased, cell
 
 
+def test_packed_calls_are_those_of_two_codes(spark):
+    parts = ["", "0", "1", "2", "12", ".", " 1", "0|0", "./.", "1|1", "1/2", "0|2", ".|1", "1|0|1"]
+    cells = [a + b for a in parts for b in ["", "\n", ":", ":9", ":0|1", ":.:1/1", "|", "|1", "/0"]] + [None]
+    df = spark.createDataFrame([(cells,)], "genotypes array<string>").coalesce(1)
+    got = pack_calls(df).select(F.inline("alternates")).collect()
+    table = spark.createDataFrame(list(enumerate(cells)), "i int, v string").coalesce(1)
+    read = table.select("i", *two_codes(F.col("v")), *two_codes(F.col("v"), True)).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in read if max(r[1:]) > 0]
+
+
+def test_reference_calls_with_fields_are_not_parsed(spark):
+    plain = ["0|0:9", "0/0:1:2", "./.:.", ".|.:3", ".:3", "0:", None, "0|0"]
+    other = ["0|1:9", "1:0", "0/0:0|1", "00|0:1", "1|1", "", ":0|0"]
+    got = mapped(spark, reference_cells, plain + other)
+    assert got == [True] * len(plain) + [False] * len(other)
+
+
 def test_allele_list(spark):
     df = spark.createDataFrame([("A", "C,G"), ("A", None)], "r string, a string").coalesce(1)
     got = [r[0] for r in df.select(allele_list(F.col("r"), F.col("a"))).collect()]
