@@ -3,6 +3,7 @@
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from dosegrid.session import shared_folder
 
@@ -74,3 +75,19 @@ def test_what_is_known_of_a_table_is_made_once(spark):
         remembered(df, "count", lambda df=df: made.append(df) or df.count())
     assert made == [table, other]
     assert remembered(table, "more", lambda: 7) == 7
+
+
+def test_a_dozen_broadcasts_fit_the_driver():
+    from dosegrid.session import BROADCAST_BYTES
+
+    assert 12 * BROADCAST_BYTES < 1000e6
+
+
+def test_sites_are_dealt_to_all_cores(spark, tmp_path):
+    from checks import inputs
+
+    spark.sql("SELECT id AS p_partkey, 'A' AS p_type, 5 AS p_size FROM range(50)").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.sql("SELECT id AS s_suppkey, concat('S', id) AS s_name FROM range(3)").write.parquet(f"{tmp_path}/supplier.parquet")
+    for lines in (inputs.catalogue_lines(spark, str(tmp_path)), inputs.associations_raw(spark, str(tmp_path))):
+        assert lines.select(F.spark_partition_id().alias("p")).distinct().count() > 2
+    assert inputs.sites(spark, str(tmp_path)).count() == 50
